@@ -147,7 +147,8 @@ def _(t):
 REGION = f"""
 select p.genome, p.seqid, c.contig_idx, p.left_end + 1 as "start", p.right_start as "end", p.right_start - p.left_end - 1 as length
 from (select genome, min(seqid) as seqid, max(seqid) as other, count(*) as n,
-             arg_min(end_pos, start_pos) as left_end, arg_max(start_pos, end_pos) as right_start
+             arg_min(end_pos, row(start_pos, locus_tag)) as left_end,
+             arg_min(start_pos, row(-end_pos, locus_tag)) as right_start
       from loci where locus_tag in ('{BOUNDARY[0]}', '{BOUNDARY[1]}') group by genome) p
 join (select genome, seqid, min(contig_idx) as contig_idx from contigs group by 1, 2 having count(*) = 1) c
   on p.genome = c.genome and p.seqid = c.seqid

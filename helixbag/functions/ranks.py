@@ -61,8 +61,8 @@ def take_by_hash(rows: DataFrame, k: int, key: str, digits: int = 4) -> DataFram
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1
     return (
         bucketed.join(F.broadcast(needed), "_bucket")
-        .where(F.col("_before") + inside < k)
-        .drop("_bucket", "_before")
+        .withColumn("_rank", F.col("_before") + inside).where(F.col("_rank") < k)
+        .drop("_bucket", "_before", "_rank")
     )
 
 

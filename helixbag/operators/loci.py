@@ -63,9 +63,9 @@ def locate_capsule(contigs: DataFrame, loci: DataFrame, boundary: tuple[str, str
         .groupBy("genome")
         .agg(
             F.count(F.lit(1)).alias("_n"), F.min("seqid").alias("seqid"), F.max("seqid").alias("_other"),
-            # The key struct makes ties of Start or End deterministic.
+            # Of equal Starts or Ends the row of the lower tag counts.
             F.min_by("end_pos", F.struct("start_pos", "locus_tag")).alias("_left"),
-            F.max_by("start_pos", F.struct("end_pos", "locus_tag")).alias("end"),
+            F.min_by("start_pos", F.struct(-F.col("end_pos"), "locus_tag")).alias("end"),
         )
         .where((F.col("_n") == 2) & (F.col("seqid") == F.col("_other")))
     )

@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from helixbag.functions.ranks import running_sums
 
@@ -43,7 +44,7 @@ def wilcoxon_z(sums: DataFrame, correction: bool = True) -> DataFrame:
     return sums.withColumn("w", w).withColumn("z", F.when(spread > 0, (w - mean - shift) / spread))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _wilcoxon_p(n: pd.Series, w: pd.Series, z: pd.Series, exact: pd.Series) -> pd.Series:
     def two_sided(size, stat, score, use_exact):
         if size == 0:
@@ -88,7 +89,7 @@ def set_overlap(left: DataFrame, right: DataFrame, col: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     def log_choose(n, k):
         return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
