@@ -30,7 +30,7 @@ def vectors(t):
 
 @query("bpe_train")
 def _(t):
-    model = bpe_train(sample_subsequence(t.contigs()), 64)
+    model = bpe_train(sample_subsequence(t.contigs()), 40)
     return model.vocabulary(t.spark)
 
 

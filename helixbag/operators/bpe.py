@@ -48,11 +48,6 @@ class BpeModel:
         return BpeModel(tuple(sorted(vocab, key=vocab.get)), tuple(merges))
 
 
-def _wrapped(symbols: Column) -> Column:
-    """An array of symbols as one string with a bar on both sides of each."""
-    return F.array_join(F.transform(symbols, lambda s: F.concat(F.lit("|"), s, F.lit("|"))), "")
-
-
 def _symbols(wrapped: Column) -> Column:
     """The symbols of a wrapped string."""
     return F.filter(F.split(wrapped, r"\|"), lambda s: s != "")
@@ -62,15 +57,6 @@ def _letters(text: Column) -> Column:
     return F.regexp_replace(text, "(?s)(.)", r"|$1|")
 
 
-def _pairs(symbols: Column) -> Column:
-    """Neighbouring symbols as structs (left, right)."""
-    n = F.size(symbols)
-    return F.zip_with(
-        F.slice(symbols, 1, F.greatest(n - 1, F.lit(0))), F.slice(symbols, 2, F.greatest(n - 1, F.lit(0))),
-        lambda a, b: F.struct(a.alias("left"), b.alias("right")),
-    )
-
-
 def bpe_pair_counts(corpus: DataFrame, text: str = "sentence", weight: str | None = None) -> DataFrame:
     """Occurrences of each pair of neighbouring letters over a corpus."""
     return _count_pairs(corpus.select(_letters(F.col(text)).alias("state"),
@@ -78,10 +64,13 @@ def bpe_pair_counts(corpus: DataFrame, text: str = "sentence", weight: str | Non
 
 
 def _count_pairs(state: DataFrame) -> DataFrame:
+    """Counts of neighbouring symbols, combined before the shuffle."""
+    # SQL text keeps the many small round trips of expression building out of the learning loop.
     return (
-        state.select("n", F.explode(_pairs(_symbols(F.col("state")))).alias("p"))
-        .groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right"))
-        .agg(F.sum("n").cast("bigint").alias("n"))
+        state.selectExpr("n", "split(substr(state, 2, length(state) - 2), '[|][|]') as t")
+        .selectExpr("n", "t", "greatest(size(t) - 1, 0) as m")
+        .selectExpr("n", "inline(arrays_zip(slice(t, 1, m), slice(t, 2, m))) as (left, right)")
+        .groupBy("left", "right").agg(F.expr("cast(sum(n) as bigint) as n"))
     )
 
 
@@ -143,11 +132,12 @@ def bpe_train(corpus: DataFrame, vocab_size: int, min_frequency: int = MIN_FREQU
         state = F.replace(state, F.lit(f"|{token}|"), F.lit(f"|#{i}|"))
     current = materialize(sentences.select(F.replace(state, F.lit("#"), F.lit("")).alias("state"), "n"), "bpe")
 
-    rounds, held = 0, None
+    rounds = 0
+    held: list[DataFrame] = []
     while len(tokens) < vocab_size:
         top = (
-            _count_pairs(current).where(F.col("n") >= min_frequency)
-            .select(F.col("left").cast("int"), F.col("right").cast("int"), "n")
+            _count_pairs(current).where(f"n >= {int(min_frequency)}")
+            .selectExpr("cast(left as int) as left", "cast(right as int) as right", "n")
             .orderBy(F.desc("n"), "left", "right").limit(ROUND_CANDIDATES).collect()
         )
         if not top:
@@ -162,24 +152,24 @@ def bpe_train(corpus: DataFrame, vocab_size: int, min_frequency: int = MIN_FREQU
             if merged not in ids:
                 ids[merged] = len(tokens)
                 tokens.append(merged)
-            batch.append((f"|{a}||{b}|", f"|{ids[merged]}|"))
-        pairs = F.array(*[F.struct(F.lit(old).alias("old"), F.lit(new).alias("new")) for old, new in batch])
-        applied = F.aggregate(pairs, F.col("state"), lambda s, m: F.replace(s, m["old"], m["new"]))
-        nxt = current.select(applied.alias("state"), "n")
+            batch.append(f"struct('|{a}||{b}|' as old, '|{ids[merged]}|' as new)")
+        applied_state = current.selectExpr(
+            f"aggregate(array({', '.join(batch)}), state, (s, m) -> replace(s, m.old, m.new)) as state", "n"
+        )
         rounds += 1
-        if rounds % CUT_EVERY == 0:
-            current = materialize(nxt, "bpe")
-            if held is not None:
-                held.unpersist()
-            held = None
+        # The state of a round is computed by the pair count of the next one; its source stays cached until then.
+        done = [] if rounds % CUT_EVERY else held
+        if rounds % CUT_EVERY:
+            current = applied_state.persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(current)
+            done, held = held[:-2], held[-2:]
         else:
-            current = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-            current.count()
-            if held is not None:
-                held.unpersist()
-            held = current
-    if held is not None:
-        held.unpersist()
+            current = materialize(applied_state, "bpe")
+            held = []
+        for earlier in done:
+            earlier.unpersist()
+    for earlier in held:
+        earlier.unpersist()
     return BpeModel(tuple(tokens), tuple(merges))
 
 
