@@ -37,18 +37,15 @@ def drop_unscored(ko: DataFrame) -> DataFrame:
     return ko.where(F.col("after").isNotNull())
 
 
-def changed_contigs(contigs: DataFrame, located: DataFrame, padding: int, contig_key: str = "contig_idx",
-                    all_copies: bool = True) -> DataFrame:
+def changed_contigs(contigs: DataFrame, located: DataFrame, padding: int, all_copies: bool = True) -> DataFrame:
     """Contigs that a target changes, with the text before and after: (genome, target, seq, masked).
 
-    ``located`` has genome, target, the contig key, pos, start and end. Contigs no target touches never enter.
+    ``located`` has genome, target, contig_idx, pos, start and end. Contigs no target touches never enter.
     """
-    cut = F.struct("pos", "start", "end")
-    # One row per gene of a target, so a list is at most as long as the target's panel.
-    cuts = located.groupBy("genome", "target", contig_key).agg(F.array_sort(F.collect_list(cut)).alias("_cuts"))
+    cuts = L.ordered_cuts(located, "genome", "target", "contig_idx").hint("shuffle_hash")
     masked = mask_intervals(F.col("seq"), F.col("_cuts"), padding, all_copies)
     return (
-        contigs.join(cuts, ["genome", contig_key])
+        contigs.join(cuts, ["genome", "contig_idx"])
         .select("genome", "target", "seq", masked.alias("masked")).where("masked <> seq")
     )
 
@@ -113,14 +110,13 @@ def knockout_features(base_tf: DataFrame, changes: DataFrame, jobs: DataFrame, m
 
 
 def score_knockouts(contigs: DataFrame, located: DataFrame, jobs: DataFrame, vectorizer: TfidfModel,
-                    classifier: PipelineModel, padding: int, base_tf: DataFrame | None = None,
-                    contig_key: str = "contig_idx") -> DataFrame:
+                    classifier: PipelineModel, padding: int, base_tf: DataFrame | None = None) -> DataFrame:
     """Score each job (genome, target, original, length) whose length is positive after masking."""
     scored_jobs = jobs.where("length > 0")
     if base_tf is None:
         wanted = contigs.join(scored_jobs.select("genome").distinct(), "genome", "left_semi")
         base_tf = vectorizer.counter.counts(wanted)
-    changes = count_changes(changed_contigs(contigs, located, padding, contig_key), vectorizer.counter)
+    changes = count_changes(changed_contigs(contigs, located, padding), vectorizer.counter)
     used = feature_importances(classifier, contigs.sparkSession)
     features = knockout_features(base_tf, changes, scored_jobs, vectorizer, used)
     after = predict_proba(classifier, features, KEYS).select(*KEYS, F.col("probability").alias("after"))
@@ -165,18 +161,17 @@ def knockout_panel(predictions: DataFrame, contigs: DataFrame, loci: DataFrame,
 
 def _knockout(predictions, contigs, loci, panel, target, vectorizer, classifier, task, threshold, control, seed,
               padding, base_tf):
-    chosen = filter_predictions(predictions, task, threshold).select("genome", "probability")
+    chosen = checked_broadcast(filter_predictions(predictions, task, threshold).select("genome", "probability"))
     mine = contigs.join(chosen, "genome", "left_semi")
     located = L.locate_genes(mine, loci.join(chosen, "genome", "left_semi"), panel)
-    key = "contig_idx"
     if control:
-        located, mine, key = L.control_targets(mine, located, seed), L.with_contig_ord(mine), "contig_ord"
+        located = L.control_targets(mine, located, seed)
     located = located.withColumn("target", target)
     targets = checked_broadcast(panel.select(target.alias("target")).distinct())
     lengths = located.groupBy(*KEYS).agg(F.sum("length").alias("length"))
     jobs = _jobs(chosen, targets, lengths)
     return knockout_delta(
-        score_knockouts(mine, located, jobs, vectorizer, classifier, padding, base_tf, key)
+        score_knockouts(mine, located, jobs, vectorizer, classifier, padding, base_tf)
     ).select(*KEYS, "original", "removed", "delta", "length")
 
 
@@ -184,19 +179,19 @@ def knockout_capsule(predictions: DataFrame, contigs: DataFrame, loci: DataFrame
                      classifier: PipelineModel, threshold: float = 0.0, control: bool = False, seed: int = 0,
                      boundary: tuple[str, str] = L.CAPSULE_BOUNDARY, base_tf: DataFrame | None = None) -> DataFrame:
     """Region knockouts (genome, grp, before, after, length); genomes without a region are dropped."""
-    chosen = filter_predictions(predictions, "capsule", threshold).select("genome", "probability")
+    chosen = checked_broadcast(
+        filter_predictions(predictions, "capsule", threshold).select("genome", "probability")
+    )
     mine = contigs.join(chosen, "genome", "left_semi")
     name = "capsule-control" if control else "capsule"
     located = L.locate_capsule(mine, loci, boundary).where("length > 0").withColumn("pos", F.lit(0))
     located = located.withColumn("target", F.lit(name))
-    key = "contig_idx"
     if control:
-        located, key = L.control_targets(mine, located, seed, tag="target"), "contig_ord"
-        mine = L.with_contig_ord(mine)
+        located = L.control_targets(mine, located, seed, tag="target")
     jobs = chosen.join(located.select(*KEYS, "length"), "genome").select(
         *KEYS, F.col("probability").alias("original"), "length"
     )
-    scored = score_knockouts(mine, located, jobs, vectorizer, classifier, 0, base_tf, key)
+    scored = score_knockouts(mine, located, jobs, vectorizer, classifier, 0, base_tf)
     return drop_unscored(scored).select(
         "genome", F.col("target").alias("grp"), F.col("original").alias("before"), "after", "length"
     )

@@ -75,49 +75,45 @@ def locate_capsule(contigs: DataFrame, loci: DataFrame, boundary: tuple[str, str
     )
 
 
-def _contig_numbers(contigs: DataFrame) -> DataFrame:
-    return contigs.groupBy("genome").agg(F.count(F.lit(1)).alias("n_contigs"))
+def contig_order(contigs: DataFrame, block: int = 4096) -> DataFrame:
+    """Zero-based position of each contig in its genome, ranked per block of contig_idx values. Sequences stay
+    out of it: (genome, contig_idx, contig_ord)."""
+    keys = contigs.select("genome", "contig_idx", F.floor(F.col("contig_idx") / block).alias("_block"))
+    counts = keys.groupBy("genome", "_block").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy("genome").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.sum("_rows").over(earlier)
+    starts = counts.select("genome", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("genome", "_block").orderBy("contig_idx")) - 1
+    return keys.join(starts, ["genome", "_block"]).select(
+        "genome", "contig_idx", (F.col("_before") + inside).alias("contig_ord")
+    )
 
 
 def control_targets(contigs: DataFrame, located: DataFrame, seed: int = 0,
                     tag: str = "locus_tag") -> DataFrame:
-    """Move each located interval to a contig of the same genome chosen by hash; coordinates stay.
-
-    The chosen contig is the one at that position of the genome's contig order, so ``contig_ord`` replaces
-    ``contig_idx``.
-    """
+    """Move each located interval to a contig of the same genome chosen by hash; coordinates stay."""
     text = F.concat_ws("-", F.col("genome").cast("string"), F.col(tag), F.lit(str(seed)))
-    return (
-        located.join(_contig_numbers(contigs), "genome")
-        .withColumn("contig_ord", draw_int(text, F.col("n_contigs")))
-        .drop("n_contigs", "contig_idx", "seqid")
+    numbers = contigs.groupBy("genome").agg(F.count(F.lit(1)).alias("n_contigs"))
+    chosen = (
+        located.drop("contig_idx", "seqid").join(numbers, "genome")
+        .withColumn("contig_ord", draw_int(text, F.col("n_contigs"))).drop("n_contigs")
     )
+    return chosen.join(contig_order(contigs), ["genome", "contig_ord"]).drop("contig_ord")
 
 
-def with_contig_ord(contigs: DataFrame, block: int = 4096) -> DataFrame:
-    """Zero-based position of each contig in its genome, ranked per block of contig_idx values."""
-    blocked = contigs.withColumn("_block", F.floor(F.col("contig_idx") / block))
-    counts = blocked.groupBy("genome", "_block").agg(F.count(F.lit(1)).alias("_rows"))
-    order = Window.partitionBy("genome").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("genome", "_block", F.coalesce(F.sum("_rows").over(order), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("genome", "_block").orderBy("contig_idx")) - 1
-    keys = blocked.select("genome", "_block", "contig_idx").join(starts, ["genome", "_block"])
-    return contigs.join(
-        keys.select("genome", "contig_idx", (F.col("_before") + inside).alias("contig_ord")),
-        ["genome", "contig_idx"],
-    )
+def ordered_cuts(located: DataFrame, *keys: str) -> DataFrame:
+    """Ordered cuts per key. A genome has at most one row per panel gene, so a list is at most the panel."""
+    cut = F.struct("pos", "start", "end")
+    return located.groupBy(*keys).agg(F.array_sort(F.collect_list(cut)).alias("_cuts"))
 
 
-def _cuts(located: DataFrame, contig_key: str) -> DataFrame:
-    """Ordered cuts per contig. A genome has at most one row per panel gene, so a list is at most the panel."""
-    cut = F.struct(F.col("pos"), F.col("start"), F.col("end"))
-    return located.groupBy("genome", contig_key).agg(F.array_sort(F.collect_list(cut)).alias("_cuts"))
+def apply_cuts(contigs: DataFrame, located: DataFrame, padding: int, all_copies: bool = True) -> DataFrame:
+    """Mask the located intervals of each contig in panel order; other contigs pass unchanged.
 
-
-def apply_cuts(contigs: DataFrame, located: DataFrame, padding: int, contig_key: str = "contig_idx",
-               all_copies: bool = True) -> DataFrame:
-    """Mask the located intervals of each contig in panel order; other contigs pass unchanged."""
-    joined = contigs.join(_cuts(located, contig_key), ["genome", contig_key], "left")
+    The small side is hashed per shuffle partition, so long sequences are never sorted.
+    """
+    cuts = ordered_cuts(located, "genome", "contig_idx").hint("shuffle_hash")
+    joined = contigs.join(cuts, ["genome", "contig_idx"], "left")
     masked = mask_intervals(F.col("seq"), F.col("_cuts"), padding, all_copies)
     return joined.withColumn("seq", F.when(F.col("_cuts").isNull(), F.col("seq")).otherwise(masked)).drop("_cuts")
 
@@ -140,7 +136,7 @@ def mask_capsule(contigs: DataFrame, loci: DataFrame, boundary: tuple[str, str]
     region = region.select("genome", "contig_idx", F.col("start").alias("_start"), F.col("end").alias("_end"))
     masked = mask_interval(F.col("seq"), F.col("_start"), F.col("_end"), 0, all_copies)
     return (
-        contigs.join(region, ["genome", "contig_idx"], "left")
+        contigs.join(region.hint("shuffle_hash"), ["genome", "contig_idx"], "left")
         .withColumn("seq", F.when(F.col("_start").isNull(), F.col("seq")).otherwise(masked))
         .drop("_start", "_end")
     )
@@ -149,8 +145,7 @@ def mask_capsule(contigs: DataFrame, loci: DataFrame, boundary: tuple[str, str]
 def mask_control(contigs: DataFrame, loci: DataFrame, panel: DataFrame, padding: int = GENE_PADDING,
                  coord: str = "reference", seed: int = 0) -> DataFrame:
     """The same coordinates as ``mask_genes`` on hash-chosen contigs; a cut past the end changes nothing."""
-    moved = control_targets(contigs, locate_genes(contigs, loci, panel, coord), seed)
-    return apply_cuts(with_contig_ord(contigs), moved, padding, "contig_ord").drop("contig_ord")
+    return apply_cuts(contigs, control_targets(contigs, locate_genes(contigs, loci, panel, coord), seed), padding)
 
 
 def genomes_differ(left: DataFrame, right: DataFrame) -> DataFrame:

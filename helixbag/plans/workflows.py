@@ -11,7 +11,7 @@ from helixbag.operators.bpe import BpeModel, bpe_train
 from helixbag.operators.corpus import load_corpus
 from helixbag.operators.terms import KMER_VOCABULARIES
 from helixbag.operators.trials import METRIC_NAMES, refit_best, tidy_cv, union_trials
-from helixbag.session import materialize
+from helixbag.session import checked_broadcast, materialize
 
 
 def prepare_dataset(genomes: DataFrame, contigs: DataFrame, task: str, num_val: int = 500, num_test: int = 1000,
@@ -21,7 +21,7 @@ def prepare_dataset(genomes: DataFrame, contigs: DataFrame, task: str, num_val:
     labelled = labelled.withColumn("genome", C.genome_id_from_path(F.col("path")).cast("bigint"))
     quality = C.fraction_covered(contigs, num_contigs)
     measured = materialize(labelled.join(quality, "genome"), "quality")
-    balanced = C.balance_quality(C.cluster_quality(measured, n_clusters, seed), seed=seed)
+    balanced = C.balance_quality(C.cluster_quality(measured, n_clusters, seed), seed=seed, n_clusters=n_clusters)
     # k-means draws its start points from the data order, so its outcome is fixed before it is used twice.
     balanced = materialize(balanced.select("path", "genome", "label"), "balanced")
     return C.stratified_split(balanced, num_val, num_test, seed=seed)
@@ -30,7 +30,7 @@ def prepare_dataset(genomes: DataFrame, contigs: DataFrame, task: str, num_val:
 def learn_tokenizer(contigs: DataFrame, dataset: DataFrame, vocab_size: int, num_sentences: int | None = 1000,
                     seed: int = 0) -> BpeModel:
     """Learn a subword vocabulary from sampled passages of the training genomes."""
-    training = C.select_partition(dataset, "training").select("genome")
+    training = checked_broadcast(C.select_partition(dataset, "training").select("genome"))
     return bpe_train(load_corpus(contigs.join(training, "genome", "left_semi"), num_sentences, seed), vocab_size)
 
 
@@ -44,7 +44,8 @@ def vectorize(contigs: DataFrame, dataset: DataFrame, counter) -> tuple[X.TfidfM
     Counts are written once and read for document frequencies and for weights.
     """
     members = dataset.select("genome", "partition")
-    tf = materialize(counter.counts(contigs.join(members, "genome", "left_semi")), "tf")
+    chosen = checked_broadcast(members.select("genome"))
+    tf = materialize(counter.counts(contigs.join(chosen, "genome", "left_semi")), "tf")
     training = C.select_partition(members, "training").select("genome")
     model = X.TfidfVectorizer(counter).fit_counts(tf.join(training, "genome", "left_semi"), training)
     return model, model.transform_counts(tf).join(members, "genome")
