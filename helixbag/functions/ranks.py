@@ -75,7 +75,7 @@ def running_sums(rows: DataFrame, order_col: str, sums: dict[str, str], groups:
     than one range. The cut points only balance the work; the sums do not depend on them.
     """
     cuts = rows.approxQuantile(order_col, [i / buckets for i in range(1, buckets)], 0.5 / buckets)
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *sorted(set(cuts) or {0.0}), float("inf")]
     cut = Bucketizer(splits=splits, inputCol=order_col, outputCol="_range").transform(rows)
 
     def ordered(col: str) -> Column:
