@@ -46,7 +46,7 @@ def _pieces(rows: DataFrame, size: int, overlap: int) -> DataFrame:
 
     ``own`` is the number of window starts that belong to a row; it is cut along.
     """
-    starts = F.sequence(F.lit(0), F.greatest(F.col("own") - 1, F.lit(0)), F.lit(size))
+    starts = F.sequence(F.lit(0), F.col("own") - 1, F.lit(size))
     cut = rows.withColumn("_at", F.explode(starts))
     return (
         cut.withColumn("text", F.substring("text", F.col("_at") + 1, F.lit(size + overlap)))
@@ -55,39 +55,30 @@ def _pieces(rows: DataFrame, size: int, overlap: int) -> DataFrame:
     )
 
 
-def _windows(contigs: DataFrame, k_max: int, keys: Sequence[str]) -> DataFrame:
-    """One row per start position of each cleaned contig: the window of k_max letters, shorter at the end."""
-    text = contigs.select(*keys, clean_seq(F.col("seq")).alias("text")).withColumn("own", F.length("text"))
-    pieces = text
+def _windows(contigs: DataFrame, k_min: int, k_max: int, keys: Sequence[str]) -> DataFrame:
+    """One row per start position of each run of bases: the window of k_max letters, shorter near the end of the run.
+
+    Windows with another letter hold no k-mer, so splitting at other letters first leaves only bases to cut.
+    """
+    runs = contigs.select(*keys, F.explode(F.split("seq", "[^ACGT]+")).alias("text"))
+    pieces = runs.withColumn("own", F.length("text") - (k_min - 1)).where("own > 0")
     for size in PIECES:
         pieces = _pieces(pieces, size, k_max - 1)
-    # sequence(1, 0) would count down; a null array gives no rows.
-    starts = pieces.withColumn("_p", F.explode(F.when(F.col("own") > 0, F.sequence(F.lit(1), F.col("own")))))
+    starts = pieces.withColumn("_p", F.explode(F.sequence(F.lit(1), F.col("own"))))
     return starts.select(*keys, F.substring("text", F.col("_p"), F.lit(k_max)).alias("window"))
 
 
-def _valid_prefix(window: Column) -> Column:
-    """Number of leading letters of a window that are bases."""
-    # ltrim with a character list strips the leading run of those letters.
-    return F.length(window) - F.length(F.ltrim(window, F.lit("ACGT")))
-
-
 def _prefixes(windows: DataFrame, k_min: int, k_max: int) -> DataFrame:
-    """Every valid k-mer that starts where a window starts: its prefixes made of bases only."""
-    valid = windows.withColumn("_valid", _valid_prefix(F.col("window"))).where(F.col("_valid") >= k_min)
+    """Every k-mer that starts where a window starts: the prefixes of the window."""
     if k_min == k_max:
-        return valid.withColumnRenamed("window", "term").drop("_valid")
-    sizes = F.sequence(F.lit(k_min), F.col("_valid"))
-    return (
-        valid.withColumn("_k", F.explode(sizes))
-        .withColumn("term", F.substring("window", F.lit(1), F.col("_k")))
-        .drop("window", "_valid", "_k")
-    )
+        return windows.withColumnRenamed("window", "term")
+    sized = windows.withColumn("_k", F.explode(F.sequence(F.lit(k_min), F.length("window"))))
+    return sized.withColumn("term", F.substring("window", F.lit(1), F.col("_k"))).drop("window", "_k")
 
 
 def kmer_extract(contigs: DataFrame, k_min: int, k_max: int, keys: Sequence[str] = CONTIG_KEYS) -> DataFrame:
     """One row per k-mer occurrence over A, C, G, T inside each contig, for every k from k_min to k_max."""
-    return _prefixes(_windows(contigs, k_max, keys), k_min, k_max)
+    return _prefixes(_windows(contigs, k_min, k_max, keys), k_min, k_max)
 
 
 def kmer_counts(contigs: DataFrame, k_min: int, k_max: int, keys: Sequence[str] = ("genome",),
@@ -95,12 +86,13 @@ def kmer_counts(contigs: DataFrame, k_min: int, k_max: int, keys: Sequence[str]
     """Term counts of all k-mers without making one row per k.
 
     Windows of the largest k are counted first, combining before the shuffle; shorter k-mers are prefixes of
-    the few distinct windows that remain. The second step is partitioned by the first key alone, so a later
-    per-genome step needs no further shuffle; a genome has at most 4**k_max or so distinct windows there.
+    the few distinct windows that remain. The second step is partitioned by the keys alone, so a later
+    per-genome step needs no further shuffle; a genome brings one row per distinct window there, which the
+    vocabulary bounds.
     """
     carried = contigs if sign is None else contigs.withColumn("_sign", sign)
     extra = [] if sign is None else ["_sign"]
-    windows = _windows(carried, k_max, [*keys, *extra])
+    windows = _windows(carried, k_min, k_max, [*keys, *extra])
     amount = F.count(F.lit(1)) if sign is None else F.sum("_sign")
     counted = windows.groupBy(*keys, "window").agg(amount.alias("n"))
     terms = _prefixes(counted.repartition(*keys), k_min, k_max)
@@ -153,7 +145,9 @@ def idf_fit(tf: DataFrame, documents: DataFrame | None = None, min_df: int | flo
     """
     listed = tf if documents is None else documents
     n = listed.agg(F.count_distinct("genome")).scalar()
-    kept = min_max_df_filter(document_frequency(tf), n, min_df, max_df)
+    kept = document_frequency(tf)
+    if (min_df, max_df) != (1, 1.0):
+        kept = min_max_df_filter(kept, n, min_df, max_df)
     idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0
     return alphabetical_index(kept, "term", bound=bound).select(
         "term", F.col("idx").cast("bigint").alias("idx"), "df", idf.alias("idf")
