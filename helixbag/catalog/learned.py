@@ -61,7 +61,8 @@ class Study:
 
     def __init__(self, t):
         counter = X.KmerCounter(3, 3)
-        self.contigs = materialize(t.contigs(), "contigs")
+        t.stored()
+        self.contigs = t.contigs()
         self.loci = materialize(t.loci(), "loci")
         self.tf = materialize(counter.counts(self.contigs), "tf")
         self.vectorizer = X.TfidfVectorizer(counter).fit_counts(self.tf, self.contigs.select("genome"))

@@ -68,6 +68,7 @@ def _(t):
 @query("genomes_differ", f"""
 select genome, max(case when seq <> {CLEAN} then 1 else 0 end) as differs from contigs group by genome""")
 def _(t):
+    t.stored()
     cleaned = t.contigs().withColumn("seq", Q.clean_seq(F.col("seq")))
     return L.genomes_differ(t.contigs(), cleaned)
 
@@ -136,11 +137,13 @@ where n = 1"""
 
 @query("locate_gene", f"select * from ({LOCATED}) where locus_tag = 'NEIS0004'")
 def _(t):
+    t.stored()
     return L.locate_gene(t.contigs(), t.loci(), "NEIS0004").withColumn("pos", F.lit(1).cast("bigint"))
 
 
 @query("locate_genes", LOCATED)
 def _(t):
+    t.stored()
     return L.locate_genes(t.contigs(), t.loci(), panel(t))
 
 
@@ -157,6 +160,7 @@ where n = 2 and p.seqid = other"""
 
 @query("locate_capsule", REGION)
 def _(t):
+    t.stored()
     return L.locate_capsule(t.contigs(), t.loci(), BOUNDARY)
 
 
@@ -168,6 +172,7 @@ def cut_sql(lo, hi):
 select c.genome, c.contig_idx, md5(case when r.length > 0 then {cut_sql('"start"', 'least("end", length(seq))')} else seq end) as digest
 from contigs c left join ({REGION}) r on c.genome = r.genome and c.contig_idx = r.contig_idx""")
 def _(t):
+    t.stored()
     masked = L.mask_capsule(t.contigs(), t.loci(), BOUNDARY)
     return masked.select("genome", "contig_idx", F.md5("seq").alias("digest"))
 
@@ -187,6 +192,7 @@ with located as materialized ({LOCATED})
 select genome, contig_idx, md5(seq) as digest
 from {fold_sql('(select genome, contig_idx, contig_idx as k, seq from contigs)', 'k', '(select *, contig_idx as k from located)')}""")
 def _(t):
+    t.stored()
     return L.mask_genes(t.contigs(), t.loci(), panel(t)).select("genome", "contig_idx", F.md5("seq").alias("digest"))
 
 
@@ -200,12 +206,14 @@ moved as materialized (
   from located l join (select genome, count(*) as n from contigs group by genome) using (genome))
 select genome, contig_idx, md5(seq) as digest from {fold_sql('numbered', 'k', 'moved')}""")
 def _(t):
+    t.stored()
     masked = L.mask_control(t.contigs(), t.loci(), panel(t))
     return masked.select("genome", "contig_idx", F.md5("seq").alias("digest"))
 
 
 @query("removed_lengths", f"select genome, sum(length) as length from ({LOCATED}) group by genome")
 def _(t):
+    t.stored()
     return L.removed_lengths(L.locate_genes(t.contigs(), t.loci(), panel(t)))
 
 
@@ -225,6 +233,7 @@ def counts3(t):
 
 def fitted3(t):
     """3-mer counts, written once because fitting and weighing both read them, and their vocabulary."""
+    t.stored()
     tf = materialize(counts3(t), "tf")
     return tf, T.idf_fit(tf, t.contigs().select("genome"), bound=64)
 

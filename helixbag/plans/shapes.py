@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from helixbag.operators.cohort import SPECIES
-from helixbag.session import spread
+from helixbag.session import materialize, spread
 
 
 class Tables:
@@ -14,6 +14,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = str(folder).rstrip("/")
+        self._stored: DataFrame | None = None
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -38,7 +39,17 @@ class Tables:
             F.concat(F.lit("data/raw/fasta/"), key.cast("string"), F.lit(".fasta")).alias("path"),
         )
 
+    def stored(self) -> Tables:
+        """Write the derived contigs once, for queries that read them several times; sequences then come from a
+        columnar table, and a read of keys or lengths no longer maps texts again."""
+        if self._stored is None:
+            lengths = F.length("seq").cast("bigint").alias("len")
+            self._stored = materialize(self.contigs().select("*", lengths), "contigs")
+        return self
+
     def contigs(self) -> DataFrame:
+        if self._stored is not None:
+            return self._stored.drop("len")
         return _as_contigs(spread(self.read("documents").select("doc_id", "text")), F.col("doc_id"))
 
     def conversation_contigs(self) -> DataFrame:
@@ -49,6 +60,8 @@ class Tables:
         )
 
     def contig_lengths(self) -> DataFrame:
+        if self._stored is not None:
+            return self._stored.select("genome", "contig_idx", "seqid", "len")
         return self.contigs().select("genome", "contig_idx", "seqid", F.length("seq").cast("bigint").alias("len"))
 
     def loci(self) -> DataFrame:
