@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixbag.llm import bpe_codec
+from helixbag.llm import bpe_codec, quality_rules
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -31,3 +31,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return bpe_codec.encode_and_decode(docs, RANKS, PATTERN).drop("text")
+
+
+# Mean log-likelihood ratio per n-gram below which a document goes.
+QUALITY_FLOOR = -0.15
+
+
+@register("op8_quality_rules")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    trusted = table(spark, folder, "labels").where((F.col("quality") == 1) & (F.col("toxic") == 0))
+    return quality_rules.judge(docs, trusted, QUALITY_FLOOR).drop("text")
