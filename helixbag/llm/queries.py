@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixbag.llm import bpe_codec, quality_rules
+from helixbag.llm import bpe_codec, quality_rules, secret_scan
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -33,6 +33,13 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_codec.encode_and_decode(docs, RANKS, PATTERN).drop("text")
 
 
+@register("op4_secret_scan")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"),
+                        "spans", "n_lexed")
+
+
 # Mean log-likelihood ratio per n-gram below which a document goes.
 QUALITY_FLOOR = -0.15
 
