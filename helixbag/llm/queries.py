@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixbag.llm import bpe_codec, mixing, quality_rules, secret_scan
+from helixbag.llm import bpe_codec, mixing, quality_classifier, quality_rules, secret_scan
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -54,3 +54,14 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     trusted = table(spark, folder, "labels").where((F.col("quality") == 1) & (F.col("toxic") == 0))
     return quality_rules.judge(docs, trusted, QUALITY_FLOOR).drop("text")
+
+
+def rejected():
+    """What the labels say against a document."""
+    return (F.col("quality") == 0) | (F.col("toxic") == 1)
+
+
+@register("op10_quality_classifier")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    return quality_classifier.classify(docs, table(spark, folder, "labels"), rejected()).drop("text")
