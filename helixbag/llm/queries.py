@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixbag.llm import bpe_codec, mixing, quality_classifier, quality_rules, secret_scan
+from helixbag.llm import bpe_codec, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -45,6 +45,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
                         "spans", "n_lexed")
 
 
+@register("op5_minhash_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, folder, "documents"), shingle=2, percent=80)
+
+
 # Mean log-likelihood ratio per n-gram below which a document goes.
 QUALITY_FLOOR = -0.15
 
