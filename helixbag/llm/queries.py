@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixbag.llm import bpe_codec, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan
+from helixbag.llm import bpe_codec, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -38,6 +38,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_codec.encode_and_decode(docs, RANKS, PATTERN).drop("text")
 
 
+@register("op3_substring_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 @register("op4_secret_scan")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.scan(table(spark, folder, "documents").select("doc_id", "text"))
