@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixbag.llm import bpe_codec, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup
+from helixbag.llm import bpe_codec, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filter
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -55,6 +55,49 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, folder, "documents"), shingle=2, percent=80)
 
 
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+         ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+# Hosts whose pages make the list of URLs.
+LISTED_HOSTS = "(spam|adult)"
+
+OP6_SQL = f"""
+with parts as (
+    select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest
+    from pages
+), split as (
+    select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') as host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+        list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '&'),
+            lambda p: p <> '' and not regexp_matches(p, '{url_filter.TRACKING}'))) as kept
+    from parts
+), named as (
+    select page_id, coalesce(host, '') as host, coalesce(path, '') as path,
+        coalesce(regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '')
+            || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end, '') as canonical_url
+    from split
+), rules (own_host, own_path, verdict) as (values {", ".join(map(str, RULES))}),
+fits as (
+    select page_id, arg_max(own_host || own_path, length(own_host || own_path)) as rule,
+        arg_max(verdict, length(own_host || own_path)) as verdict
+    from (select distinct page_id, host, path from named) n
+    join rules on (host = own_host or ends_with(host, '.' || own_host)) and starts_with(path, own_path)
+    group by page_id
+), listed as (
+    select distinct canonical_url from named where regexp_matches(host, '{LISTED_HOSTS}') and canonical_url <> ''
+)
+select n.page_id, host, path, n.canonical_url, rule,
+    coalesce(f.verdict, case when l.canonical_url is not null then 'block' else 'allow' end) as verdict
+from named n left join fits f on n.page_id = f.page_id left join listed l on n.canonical_url = l.canonical_url
+""".replace("\\\\", "\\")
+
+
+@register("op6_url_filter", OP6_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    listed = pages.where(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)).select("url")
+    return url_filter.judge(pages, listed, RULES).select("page_id", "host", "path", "canonical_url", "rule", "verdict")
+
+
 # Mean log-likelihood ratio per n-gram below which a document goes.
 QUALITY_FLOOR = -0.15
 
