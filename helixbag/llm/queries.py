@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixbag.llm import bpe_codec, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filter
+from helixbag.llm import bpe_codec, fingerprint, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filter
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -109,6 +109,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(docs, trusted, QUALITY_FLOOR).drop("text")
 
 
+@register("op9_fingerprint")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.compare(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def rejected():
     """What the labels say against a document."""
     return (F.col("quality") == 0) | (F.col("toxic") == 1)
