@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixbag.llm import bpe_codec, fingerprint, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filter
+from helixbag.llm import bpe_codec, fingerprint, license_scan, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filter
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -98,6 +98,67 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(pages, listed, RULES).select("page_id", "host", "path", "canonical_url", "rule", "verdict")
 
 
+def _license_sql() -> str:
+    bodies = ", ".join(f"({i}, '{name}', '{body}')" for i, (name, body) in enumerate(license_scan.TEMPLATES))
+    def terms(column: str) -> str:
+        return f"list_distinct(list_filter(string_split_regex(lower({column}), '{license_scan.NOT_TERM}'), lambda t: t <> ''))"
+
+    return f"""
+with docs as (
+    select doc_id, text, source || '/' || lang || '/' || (doc_id // 100) as directory from documents
+), templates (template, license, body) as (values {bodies}),
+own as (select template, license, unnest({terms("body")}) as term from templates),
+words as (select distinct term from own),
+seen as (
+    select term, count(*) as df from (select unnest({terms("text")}) as term from docs) semi join words using (term) group by term
+), known as (
+    select term, ln((1 + (select count(*) from docs)) / (1 + coalesce(df, 0))) + 1 as idf from words left join seen using (term)
+), shares as (
+    select template, license, term, idf / sqrt(sum(idf * idf) over (partition by template)) as share from own join known using (term)
+), passages as (
+    select distinct text, unnest(string_split(regexp_replace(text, '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10))) as passage from docs
+), held as (select distinct text, {terms("passage")} as terms from passages),
+each as (select text, terms, unnest(terms) as term from held),
+norms as (
+    select text, terms, sqrt(sum(idf * idf) + (len(terms) - count(*)) * pow(ln((1 + (select count(*) from docs)) / 2) + 1, 2)) as norm
+    from each join known using (term) group by text, terms
+), scored as (
+    select text, license, max(score) as score from (
+        select e.text, e.terms, s.template, s.license, round(sum(k.idf * s.share) / any_value(n.norm), 6) as score
+        from each e join known k using (term) join shares s using (term) join norms n on e.text = n.text and e.terms = n.terms
+        group by e.text, e.terms, s.template, s.license
+    ) where score >= {license_scan.THRESHOLD} group by text, license
+), best as (
+    select text, arg_min(license, (-score, license)) as license, max(score) as score from scored group by text
+), marked as (
+    select d.*, b.license, b.score,
+        b.license is not null and len(string_split_regex(trim(d.text), '\s+')) <= {license_scan.FILE_WORDS} as is_file
+    from docs d left join best b using (text)
+), given as (
+    select directory, arg_min(license, (-n, license)) as given from (
+        select directory, license, count(*) as n from marked where is_file group by directory, license
+    ) group by directory
+), up as (
+    select directory, array_to_string(string_split(directory, '/')[1:depth], '/') as above, depth
+    from (select distinct directory from docs) cross join (select unnest([1, 2, 3]) as depth)
+), nearest as (
+    select u.directory, arg_max(given, depth) as given, arg_max(above, depth) as above
+    from up u join given g on u.above = g.directory group by u.directory
+)
+select doc_id, m.directory || '/' || doc_id as path, coalesce(m.license, given) as license, score as license_score,
+    case when is_file then 'file' when m.license is not null then 'text' else above end as license_from
+from marked m left join nearest n using (directory)
+"""
+
+
+@register("op7_license_scan", _license_sql())
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    path = F.concat_ws("/", "source", "lang", F.expr("doc_id div 100"), "doc_id")
+    found = license_scan.scan(docs.select("doc_id", "text", path.alias("path")))
+    return found.select("doc_id", "path", "license", "license_score", "license_from")
+
+
 # Mean log-likelihood ratio per n-gram below which a document goes.
 QUALITY_FLOOR = -0.15
 
