@@ -132,7 +132,7 @@ norms as (
     select text, arg_min(license, (-score, license)) as license, max(score) as score from scored group by text
 ), marked as (
     select d.*, b.license, b.score,
-        b.license is not null and len(string_split_regex(trim(d.text), '\s+')) <= {license_scan.FILE_WORDS} as is_file
+        b.license is not null and len(string_split_regex(trim(d.text), '\\s+')) <= {license_scan.FILE_WORDS} as is_file
     from docs d left join best b using (text)
 ), given as (
     select directory, arg_min(license, (-n, license)) as given from (
