@@ -4,19 +4,64 @@ from __future__ import annotations
 
 import json
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from helixbag import schemas as S
 from helixbag.functions.sequence import file_stem
 from helixbag.operators.bpe import BpeModel
+from helixbag.operators.metrics import hard_label
+from helixbag.session import bounded_broadcast, materialize
 
 # Contigs of a genome per written FASTA file.
 CONTIGS_PER_FILE = 10_000
 
 
+def read_named(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",", nested: bool = False,
+               optional: Sequence[str] = ()) -> DataFrame:
+    """A delimited file with a header, its columns found by name in any case and order and cast to the schema.
+
+    A missing column is an error unless it is optional; then it is null. Text that does not fit its type becomes null.
+    Files of one folder must agree in their header, which Spark checks.
+    """
+    wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    reader = spark.read.option("header", True).option("sep", sep).option("enforceSchema", False)
+    raw = reader.option("recursiveFileLookup", nested).csv(path)
+    found = {name.strip().lower(): name for name in raw.columns}
+    missing = [f.name for f in wanted if f.name.lower() not in found and f.name not in optional]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+
+    def one(field) -> Column:
+        name = found.get(field.name.lower())
+        value = F.lit(None) if name is None else raw[f"`{name}`"]
+        return value.try_cast(field.dataType).alias(field.name)
+
+    return raw.select(*[one(f) for f in wanted], "_metadata")
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.GENOMES).option("header", True).csv(path)
+    return read_named(spark, path, S.GENOMES).drop("_metadata")
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Predictions (genome, target, prediction, probability) of a classifier run.
+
+    A file without a probability column holds the probability as its prediction; the hard label is then rounded.
+    """
+    raw = read_named(spark, path, "genome bigint, target int, prediction double, probability double",
+                     optional=("target", "probability"))
+    known = F.coalesce("probability", "prediction")
+    return raw.select("genome", "target", hard_label(known).alias("prediction"), known.alias("probability"))
+
+
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    """Predictions as a headed file in the layout of four columns."""
+    named = predictions.select(*[F.col(c).alias(c.capitalize()) for c in ("genome", "target", "prediction", "probability")])
+    named.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_metadata(genomes: DataFrame, path: str) -> None:
@@ -33,28 +78,27 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """FASTA records as contig rows in file order.
 
     Files split at record starts, so one file of any size is read by many tasks. The position of a record is
-    its position in its split plus the records of the splits before it; only these counts are shuffled by file.
-    """
+XX    """
     raw = spark.read.option("lineSep", "\n>").option("recursiveFileLookup", True).text(path).select(
         "value", F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
     )
     # A ">" inside a header does not start a record; only the first record of a file still has its own.
     records = raw.withColumn("value", F.regexp_replace("value", "^>", "")).where(F.trim("value") != "")
-    counts = records.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_rows"))
+    # Row ids are consecutive inside a split, so its first id numbers its records without moving them.
+    splits = records.groupBy("file", "block").agg(F.min("row").alias("_first"), F.max("row").alias("_last"))
+    splits = materialize(splits.withColumn("genome", _genome_of(F.col("file"))), "splits")
     order = (
         Window.partitionBy("genome").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     )
-    starts = counts.withColumn("genome", _genome_of(F.col("file"))).select(
-        "file", "block", F.coalesce(F.sum("_rows").over(order), F.lit(0)).alias("_before")
-    )
-    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("row")) - 1
-    header = F.regexp_replace(F.substring_index("value", "\n", 1), r"\s+$", "")
+    before = F.coalesce(F.sum(F.col("_last") - F.col("_first") + 1).over(order), F.lit(0))
+    starts = splits.select("file", "block", (before - F.col("_first")).alias("_shift"))
+    header = F.trim(F.regexp_replace(F.substring_index("value", "\n", 1), r"^\s+|\s+$", ""))
     body = F.regexp_replace(F.substring(F.col("value"), F.length(F.substring_index("value", "\n", 1)) + 1,
                                         F.length("value")), r"\s", "")
-    return records.withColumn("_inside", inside).join(starts, ["file", "block"]).select(
-        _genome_of(F.col("file")).alias("genome"), (F.col("_before") + F.col("_inside")).alias("contig_idx"),
-        F.substring_index(header, " ", 1).alias("seqid"), header.alias("description"), body.alias("seq"),
+    return records.join(bounded_broadcast(starts, splits.count()), ["file", "block"]).select(
+        _genome_of(F.col("file")).alias("genome"), (F.col("row") + F.col("_shift")).alias("contig_idx"),
+        F.regexp_extract(header, r"^(\S*)", 1).alias("seqid"), header.alias("description"), body.alias("seq"),
     )
 
 
@@ -73,15 +117,19 @@ def write_fasta(contigs: DataFrame, path: str, width: int = 60) -> None:
 
 
 def read_gff3(spark: SparkSession, path: str) -> DataFrame:
-    """Loci of GFF3 files: sequence name, start, end and locus tag (null where absent), per genome."""
+    """Loci of GFF3 files: sequence name, start, end and locus tag (null where absent), per genome.
+
+    Attributes may repeat and have blanks after semicolons. Lines without nine fields and numeric positions, such as a
+    sequence section, are no loci.
+    """
     raw = (
         spark.read.schema(S.GFF3_COLUMNS).option("sep", "\t").option("comment", "#").option("quote", "")
         .option("recursiveFileLookup", True).csv(path)
     )
-    tags = F.str_to_map("attributes", F.lit(";"), F.lit("="))
-    return raw.select(
+    tag = F.regexp_extract("attributes", r"(?:^|;)\s*locus_tag=([^;]*)", 1)
+    return raw.where("start_pos is not null and end_pos is not null and attributes is not null").select(
         _genome_of(F.col("_metadata.file_path")).alias("genome"), "seqid", "start_pos", "end_pos",
-        F.url_decode(F.try_element_at(tags, F.lit("locus_tag"))).alias("locus_tag"),
+        F.try_url_decode(F.when(tag != "", tag)).alias("locus_tag"),
     )
 
 
@@ -94,15 +142,18 @@ def write_gff3(loci: DataFrame, path: str) -> None:
 
 
 def read_gene_list(spark: SparkSession, path: str) -> DataFrame:
-    """A locus tag per line with its position. Gene lists hold at most a few thousand lines."""
-    lines = spark.read.text(path).where(F.col("value") != "").withColumn("_row", F.monotonically_increasing_id())
-    position = F.row_number().over(Window.orderBy("_row")) - 1
-    return lines.select(F.col("value").alias("locus_tag"), position.cast("bigint").alias("pos"))
+    """A locus tag per line with its position; empty lines count, but for the one after the last line end.
+
+    Gene lists hold at most a few thousand lines: a file is read whole, so its order needs no order of tasks.
+    """
+    lines = spark.read.text(path, wholetext=True).select(
+        F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("pos", "locus_tag"))
+    return lines.select("locus_tag", F.col("pos").cast("bigint").alias("pos"))
 
 
 def read_dimension(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
     """A comma or tab separated dimension file with a header."""
-    return spark.read.schema(schema).option("header", True).option("sep", sep).csv(path)
+    return read_named(spark, path, schema, sep).drop("_metadata")
 
 
 def _folder_name(depth: int) -> Column:
@@ -112,17 +163,17 @@ def _folder_name(depth: int) -> Column:
 
 
 def read_results_glob(spark: SparkSession, glob: str, schema: str, key: str = "gene") -> DataFrame:
-    """Many result files as one table, keyed by their parent folder."""
-    return (
-        spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(glob)
-        .withColumn(key, _folder_name(1))
-    )
+    """Many result files as one table, keyed by their parent folder. Columns that an older layout lacks are null."""
+    wanted = StructType.fromDDL(schema)
+    raw = read_named(spark, glob, wanted, nested=True, optional=[f.name for f in wanted if f.name.lower() != "genome"])
+    return raw.withColumn(key, _folder_name(1)).drop("_metadata")
 
 
 def collect_run_metrics(spark: SparkSession, root: str, partition: str = "val",
                         metrics: tuple[str, ...] = ("accuracy", "roc_auc", "matthews_corrcoef")) -> DataFrame:
     """One row per task, method and vocabulary size from files root/task/method/size/metrics, for one stage."""
-    raw = spark.read.schema(S.METRICS).option("header", True).option("recursiveFileLookup", True).csv(root)
+    schema = ", ".join(f"{partition}_{m} double" for m in metrics)
+    raw = read_named(spark, root, schema, nested=True)
     return raw.select(
         _folder_name(3).alias("task"), _folder_name(2).alias("method"),
         _folder_name(1).cast("bigint").alias("vocab_size"), *[F.col(f"{partition}_{m}").alias(m) for m in metrics],

@@ -10,10 +10,13 @@ def incremental_ingest(ids: DataFrame, landed: DataFrame, available: DataFrame,
                        key: str = "id") -> tuple[DataFrame, DataFrame]:
     """Ids to fetch and ids kept.
 
-    The first ``max_num`` ids (all by default) are looked at; those not landed yet are fetched where data is
-    available, and ids with data are kept. An id without data is dropped, which is not an error.
+    The first ``max_num`` ids in the order of the table, which for a file is its line order (all by default), are looked
+    at; those not landed yet are fetched where data is available, and ids with data are kept. An id without data is
+    dropped, which is not an error.
     """
-    listed = ids if max_num is None else ids.orderBy(key).limit(max_num)
+    listed = ids
+    if max_num is not None:
+        listed = ids.withColumn("_row", F.monotonically_increasing_id()).orderBy("_row").limit(max_num).drop("_row")
     fetch = listed.join(landed.select(key), key, "left_anti").join(available.select(key), key, "left_semi")
     with_data = landed.select(key).unionByName(available.select(key)).distinct()
     return fetch, listed.join(with_data, key, "left_semi")
