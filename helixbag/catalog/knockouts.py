@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from helixbag.catalog.registry import query
 from helixbag.operators import knockout as K
 
+# The columns of the wide table, which SQL must name; the query takes them from the table.
 GENES = [f"NEIS{i:04d}" for i in range(120)]
 
 
@@ -71,12 +72,15 @@ def _(t):
     return out
 
 
+# The control of a gene is the one that follows it, by number and around the end.
 @query("align_control", """
-select genome, c.original, c.removed as control, k.removed as knockout
-from (select * from ko where gene = 'NEIS0001') c join (select * from ko where gene = 'NEIS0002') k using (genome)""")
+select k.genome, k.gene, c.original, c.removed as control, k.removed as knockout
+from ko c join ko k on c.genome = k.genome and cast(substr(c.gene, 5) as int) = (cast(substr(k.gene, 5) as int) + 1) % 120""")
 def _(t):
     rows = t.ko().select("genome", "gene", F.col("original").alias("before"), F.col("removed").alias("after"))
-    return K.align_control(rows.where("gene = 'NEIS0002'"), rows.where("gene = 'NEIS0001'"))
+    number = F.substring("gene", 5, 4).cast("int")
+    follows = F.concat(F.lit("NEIS"), F.lpad(((number + 119) % 120).cast("string"), 4, "0"))
+    return K.align_control(rows, rows.withColumn("gene", follows), ["genome", "gene"])
 
 
 MISSING = "case when length % 90 = 0 then null else delta end"
@@ -107,7 +111,7 @@ def _(t):
 @query("assemble_deltas_outer", f"""
 select genome, {', '.join(f"max(case when gene = '{g}' then delta end) as {g}" for g in GENES)} from ko group by genome""")
 def _(t):
-    return K.assemble_deltas_outer(t.ko(), GENES)
+    return K.assemble_deltas_outer(t.ko())
 
 
 def scaled_sql(share):

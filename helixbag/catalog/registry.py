@@ -127,7 +127,10 @@ group by part_name""",
     "clipped": "select genome, gene, case when delta >= 0 then delta else 0 end as delta from ko",
     "relevance": """
 select gene as locus, count(*) filter (delta > cut) as ranking
-from clipped join (select genome, quantile_cont(delta, 0.95) as cut from clipped group by genome) using (genome)
+from clipped join (
+    select genome, quantile_cont(coalesce(delta, 0), 0.95) as cut
+    from (select distinct genome from clipped) cross join (select distinct gene from clipped) left join clipped using (genome, gene)
+    group by genome) using (genome)
 group by gene having count(*) filter (delta > cut) >= 20""",
 }
 

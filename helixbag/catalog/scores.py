@@ -58,16 +58,31 @@ def _(t):
     return rounded(M.roc_auc(t.predictions()), "roc_auc")
 
 
-STAGE_OF = {"1-URGENT": "training", "2-HIGH": "validation", "5-LOW": "test"}
+# Every priority belongs to a stage.
+STAGE_OF = {"1-URGENT": "training", "2-HIGH": "validation", "3-MEDIUM": "training", "4-NOT SPECIFIED": "validation", "5-LOW": "test"}
+STAGED = "case part_name " + " ".join(f"when '{p}' then '{s}'" for p, s in STAGE_OF.items()) + " end"
 
 
 @query("metrics_report", f"""
-select {', '.join(f"round_even(max(case when part_name = '{p}' then {m} end), 3) as {s}_{n}"
+with staged as (select *, {STAGED} as stage from predictions),
+stage_confusion as (
+    select stage, count(*) filter (round_even(probability, 0) = 1 and target = 1) as tp,
+           count(*) filter (round_even(probability, 0) = 1 and target = 0) as fp,
+           count(*) filter (round_even(probability, 0) = 0 and target = 0) as tn,
+           count(*) filter (round_even(probability, 0) = 0 and target = 1) as fn
+    from staged group by stage),
+stage_auc as (
+    select stage, sum(case when target = 1 then r else 0 end) as rank_sum,
+           cast(sum(target) as double) as p, cast(sum(1 - target) as double) as q
+    from (select stage, target, rank() over (partition by stage order by probability)
+                 + (count(*) over (partition by stage, probability) - 1) / cast(2 as double) as r from staged)
+    group by stage)
+select {', '.join(f"round_even(max(case when stage = '{p}' then {m} end), 3) as {s}_{n}"
                   for n, m in (('accuracy', ACC), ('matthews_corrcoef', MCC), ('roc_auc', AUC))
-                  for p, s in (('1-URGENT', 'train'), ('2-HIGH', 'val'), ('5-LOW', 'test')))}
-from confusion join auc_rows using (part_name)""")
+                  for p, s in (('training', 'train'), ('validation', 'val'), ('test', 'test')))}
+from stage_confusion join stage_auc using (stage)""")
 def _(t):
-    stage = F.col("part_name")
+    stage = F.lit(None).cast("string")
     for name, partition in STAGE_OF.items():
         stage = F.when(F.col("part_name") == name, partition).otherwise(stage)
     return M.metrics_report(t.predictions().withColumn("partition", stage))

@@ -288,6 +288,24 @@ def _(t):
     return kept.withColumn("variance", F.round("variance", 7))
 
 
+# At the default threshold only constant features go: one that all genomes have alike, and one that is 0 in all.
+@query("variance_threshold_default", """
+with features as (
+    select genome, idx, tfidf from tfidf3
+    union all select distinct genome, 1000, 0.1 from tfidf3
+    union all select distinct genome, 1001, 0 from tfidf3)
+select idx from features group by idx
+having max(tfidf) <> min(tfidf) or (count(*) < (select count(distinct genome) from contigs) and max(tfidf) <> 0)""")
+def _(t):
+    tf, vocab = fitted3(t)
+    n = t.contigs().agg(F.count_distinct("genome")).scalar()
+    weights = T.tfidf_transform(tf, vocab, 64).select("genome", "idx", "tfidf")
+    genomes = weights.select("genome").distinct()
+    for idx, value in ((1000, 0.1), (1001, 0.0)):
+        weights = weights.unionByName(genomes.select("genome", F.lit(idx).cast("bigint").alias("idx"), F.lit(value).alias("tfidf")))
+    return T.variance_threshold(weights, n).select("idx")
+
+
 @query("zip_importances", """
 select term as word, round(sum(tfidf), 4) as importance from tfidf3 group by term""")
 def _(t):
@@ -376,10 +394,10 @@ def _(t):
 @query("bpe_pair_counts", f"""
 select "left", "right", count(*) as n
 from (select substr(sentence, cast(i as int), 1) as "left", substr(sentence, cast(i as int) + 1, 1) as "right"
-      from (select sentence, unnest(range(1, length(sentence))) as i from ({SAMPLE})))
+      from (select seq as sentence, unnest(range(1, length(seq))) as i from contigs))
 group by 1, 2""")
 def _(t):
-    return bpe_pair_counts(P.sample_subsequence(t.contigs()))
+    return bpe_pair_counts(t.contigs(), "seq")
 
 
 @query("vocabulary_stats", r"""

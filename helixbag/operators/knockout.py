@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from helixbag.functions.sequence import mask_intervals
 from helixbag.operators import loci as L
@@ -13,6 +13,8 @@ from helixbag.operators.features import TfidfModel, feature_importances, predict
 from helixbag.session import bounded_broadcast, checked_broadcast
 
 KEYS = ("genome", "target")
+# The tasks whose predictions a knockout may start from.
+TASK_NAMES = ("capsule", "invasive", "carriage")
 
 
 def filter_predictions(predictions: DataFrame, task: str, threshold: float = 0.0,
@@ -21,13 +23,12 @@ def filter_predictions(predictions: DataFrame, task: str, threshold: float = 0.0
 
     capsule and invasive keep p >= threshold, carriage keeps p < 1 - threshold.
     """
-    rules = {
-        "capsule": F.col("probability") >= threshold,
-        "invasive": F.col("probability") >= threshold,
-        "carriage": F.col("probability") < 1 - threshold,
-    }
+    if task not in TASK_NAMES:
+        raise ValueError(f"no task {task}; tasks are {', '.join(TASK_NAMES)}")
+    score = F.col("probability")
+    confident = score < 1 - threshold if task == "carriage" else score >= threshold
     name = F.col("genome").cast("string")
-    return predictions.where(rules[task]).select(
+    return predictions.where(confident).select(
         "*", F.concat(F.lit(f"{fasta_root}/"), name, F.lit(".fasta")).alias("fasta"),
         F.concat(F.lit(f"{gff3_root}/"), name, F.lit(".gff3")).alias("gff3"),
     )
@@ -210,10 +211,10 @@ def knockout_summary(ko: DataFrame, by: Sequence[str] = ("grp",)) -> DataFrame:
     )
 
 
-def align_control(ko: DataFrame, control: DataFrame) -> DataFrame:
-    """Original, control and knockout scores of each genome side by side."""
-    return control.select("genome", F.col("before").alias("original"), F.col("after").alias("control")).join(
-        ko.select("genome", F.col("after").alias("knockout")), "genome"
+def align_control(ko: DataFrame, control: DataFrame, keys: Sequence[str] = ("genome",)) -> DataFrame:
+    """Original, control and knockout scores of each genome, or of other keys both tables have, side by side."""
+    return control.select(*keys, F.col("before").alias("original"), F.col("after").alias("control")).join(
+        ko.select(*keys, F.col("after").alias("knockout")), list(keys)
     )
 
 
@@ -232,8 +233,13 @@ def assemble_deltas_left(ko: DataFrame) -> DataFrame:
     return ko.join(genomes, "genome", "left_semi").select("gene", "genome", delta.alias("delta"))
 
 
-def assemble_deltas_outer(ko: DataFrame, genes: Sequence[str]) -> DataFrame:
-    """One row per genome and one column per listed gene; missing cells are null. For export: keep the list short."""
+def assemble_deltas_outer(ko: DataFrame, genes: Sequence[str] | None = None) -> DataFrame:
+    """One row per genome and one column per gene of the table, or of a list; missing cells are null.
+
+    Columns are named on the driver, so the gene catalogue bounds what it holds.
+    """
+    if genes is None:
+        genes = [r[0] for r in ko.select("gene").distinct().orderBy("gene").collect()]
     return ko.groupBy("genome").pivot("gene", list(genes)).agg(F.first("delta"))
 
 
@@ -263,12 +269,22 @@ def delta_filter_scale(ko: DataFrame, na_thresh: float = 0.8, k: int | None = No
 def relevant_loci(ko: DataFrame, q: float = 0.95, min_genomes: int = 50) -> DataFrame:
     """Loci whose clipped delta exceeds the genome's own q-quantile in at least ``min_genomes`` genomes.
 
-    A genome's window holds one row per locus, so it is bounded by the gene catalogue.
+    The quantile runs over all loci of the table; those a genome lacks count as zeros, which are not made as rows but
+    shift the places of the present values. A genome has one row per locus, so its list is bounded by the gene catalogue.
     """
     clipped = clip_negative(ko.select("genome", "gene", "delta"), "delta")
-    cut = F.percentile("delta", F.lit(q)).over(Window.partitionBy("genome"))
+    loci = clipped.agg(F.count_distinct("gene")).scalar()
+    listed = clipped.groupBy("genome").agg(F.array_sort(F.collect_list("delta")).alias("_v")).withColumn("_loci", loci)
+    place = (F.col("_loci") - 1) * F.lit(float(q))
+
+    def value(at: Column) -> Column:
+        # Clipped values are not negative, so the zeros of absent loci come first.
+        return F.coalesce(F.get("_v", (at - (F.col("_loci") - F.size("_v"))).cast("int")), F.lit(0.0))
+
+    low, high = value(F.floor(place)), value(F.ceil(place))
+    cuts = listed.select("genome", (low + (high - low) * (place - F.floor(place))).alias("_cut"))
     return (
-        clipped.withColumn("_cut", cut).groupBy(F.col("gene").alias("locus"))
+        clipped.join(cuts, "genome").groupBy(F.col("gene").alias("locus"))
         .agg(F.count_if(F.col("delta") > F.col("_cut")).alias("ranking"))
         .where(F.col("ranking") >= min_genomes).orderBy(F.desc("ranking"), "locus")
     )

@@ -150,8 +150,11 @@ def mask_control(contigs: DataFrame, loci: DataFrame, panel: DataFrame, padding:
 
 def genomes_differ(left: DataFrame, right: DataFrame) -> DataFrame:
     """Per genome, whether any contig at the same position differs in sequence."""
-    other = right.select("genome", "contig_idx", F.col("seq").alias("_other"))
+    # Digests and lengths meet, not sequences.
+    def digest(contigs: DataFrame, name: str) -> DataFrame:
+        return contigs.select("genome", "contig_idx", F.struct(F.md5(F.col("seq").cast("binary")), F.length("seq")).alias(name))
+
     return (
-        left.join(other, ["genome", "contig_idx"])
-        .groupBy("genome").agg(F.max((F.col("seq") != F.col("_other")).cast("int")).alias("differs"))
+        digest(left, "_one").join(digest(right, "_other"), ["genome", "contig_idx"])
+        .groupBy("genome").agg(F.max((F.col("_one") != F.col("_other")).cast("int")).alias("differs"))
     )

@@ -95,6 +95,8 @@ def kmer_counts(contigs: DataFrame, k_min: int, k_max: int, keys: Sequence[str]
     windows = _windows(carried, k_min, k_max, [*keys, *extra])
     amount = F.count(F.lit(1)) if sign is None else F.sum("_sign")
     counted = windows.groupBy(*keys, "window").agg(amount.alias("n"))
+    if k_min == k_max:
+        return counted.select(*keys, F.col("window").alias("term"), F.col("n").alias("tf"))
     terms = _prefixes(counted.repartition(*keys), k_min, k_max)
     return terms.groupBy(*keys, "term").agg(F.sum("n").alias("tf"))
 
@@ -176,8 +178,10 @@ def tfidf_transform(tf: DataFrame, vocab: DataFrame, bound: int | None = None,
 
 def variance_threshold(tfidf: DataFrame, n_docs: Column, threshold: float = 0.0) -> DataFrame:
     """Features whose population variance over all documents, absent ones being zero, exceeds the threshold."""
-    mean = F.sum("tfidf") / n_docs
-    variance = F.sum(F.col("tfidf") * F.col("tfidf")) / n_docs - mean * mean
+    # Squares around the mean of the present values, plus the part between them and the absent zeros: a constant
+    # feature gives exactly 0.
+    held, mean = F.count(F.lit(1)), F.avg("tfidf")
+    variance = (F.var_pop("tfidf") * held + mean * mean * held * (n_docs - held) / n_docs) / n_docs
     return tfidf.groupBy("idx").agg(variance.alias("variance")).where(F.col("variance") > threshold)
 
 

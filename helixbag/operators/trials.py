@@ -82,9 +82,10 @@ def best_run(runs: DataFrame) -> DataFrame:
 
 
 def union_trials(cv_metrics: DataFrame, test_metrics: DataFrame) -> DataFrame:
-    """The columns of two one-row metric tables side by side."""
-    one = F.lit(1).alias("_one")
-    return cv_metrics.select("*", one).join(test_metrics.select("*", one), "_one").drop("_one")
+    """The columns of two one-row metric tables side by side; a second row in the right one is an error."""
+    row = test_metrics.select(F.struct(*[F.col(c) for c in test_metrics.columns]).alias("_row"))
+    # A scalar subquery holds one row by its nature, so nothing is paired.
+    return cv_metrics.withColumn("_row", row.scalar()).select(*cv_metrics.columns, "_row.*")
 
 
 def stage_rows(metrics: DataFrame, metric: str, keys: Sequence[str]) -> DataFrame:

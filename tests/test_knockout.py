@@ -139,3 +139,10 @@ def test_wide_export(spark):
     assert wide == {1: (0.4, None), 2: (None, 0.2)}
     left = K.assemble_deltas_left(ko).collect()
     assert [(r["gene"], r["genome"], round(r["delta"], 6)) for r in left] == [("A", 1, 0.377)]
+
+
+def test_absent_loci_count_as_zeros(spark):
+    # One genome has 4 of 100 loci: over the filled grid the 95th percentile is 0, and all four exceed it.
+    rows = [(0, f"N{i}", 0.0) for i in range(100)] + [(1, f"N{i}", 0.5 + i / 10) for i in range(4)]
+    got = K.relevant_loci(spark.createDataFrame(rows, "genome long, gene string, delta double"), min_genomes=1).collect()
+    assert {r["locus"] for r in got} == {"N0", "N1", "N2", "N3"}

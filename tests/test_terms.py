@@ -99,3 +99,15 @@ def test_sparse_vectors_and_empty_documents(spark):
     rows = X.with_empty_documents(X.assemble_features(tfidf, 4), dataset, 4).orderBy("genome").collect()
     assert rows[0]["features"].toArray().tolist() == [0.25, 0, 0.5, 0]
     assert rows[1]["features"].size == 4 and rows[1]["features"].numNonzeros() == 0
+
+
+def test_constant_features_have_no_variance(spark):
+    rows = [(g, 0, 0.1) for g in range(7)] + [(g, 1, 0.1) for g in range(6)] + [(g, 2, 0.0) for g in range(3)]
+    table = spark.createDataFrame(rows, "genome long, idx long, tfidf double")
+    assert [r["idx"] for r in T.variance_threshold(table, F.lit(7)).collect()] == [1]
+
+
+def test_counts_of_one_size_are_shuffled_once(spark):
+    frame = spark.createDataFrame([(1, 0, "ACGTACGT")], "genome long, contig_idx long, seq string")
+    plan = T.kmer_counts(frame, 3, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") - plan.count("RoundRobin") == 1
