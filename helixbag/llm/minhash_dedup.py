@@ -31,6 +31,8 @@ from helixbag.session import materialize
 K, RUN = 64, 3
 # Lists up to this length give all pairs; longer ones go through hubs and the exact join.
 SHORT = 8
+# Kinds of third hubs of long lists.
+HUBS = 4
 # Sketch similarity from which a pair is confirmed; six standard deviations below 0.8.
 LIKELY = 0.5
 
@@ -177,14 +179,15 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, shingle: int, percent: i
         F.array_sort(F.collect_list(F.struct("seen", "shingle"))).alias("_all"))
     n = F.size("_all")
     length = n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1
-    first = materialize(ordered.select("doc", "component", n.alias("n"), F.explode(F.slice("_all", 1, length)["shingle"]).alias("shingle")), "dedup-prefixes")
+    first = materialize(ordered.select("doc", "component", n.alias("n"), F.posexplode(
+        F.slice("_all", 1, length)["shingle"]).alias("at", "shingle")), "dedup-prefixes")
     mixed = first.groupBy("shingle").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("shingle")
     left = first.join(mixed, "shingle")
-    right = left.select("shingle", F.col("doc").alias("b"), F.col("component").alias("_cb"), F.col("n").alias("_nb"))
-    met = left.join(right, "shingle").where(
-        (F.col("doc") < F.col("b")) & (F.col("component") != F.col("_cb"))
-        & (F.least("n", "_nb") * 100 >= F.greatest("n", "_nb") * percent))
-    return met.select(F.col("doc").alias("a"), "b").distinct()
+    right = left.select("shingle", *[F.col(c).alias(f"_{c}") for c in ("doc", "component", "n", "at")])
+    # If this is the first shingle they share, no more than what is left of either set can be common.
+    reach = F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at")) * (100 + percent) >= (F.col("n") + F.col("_n")) * percent
+    met = left.join(right, "shingle").where((F.col("doc") < F.col("_doc")) & (F.col("component") != F.col("_component")) & reach)
+    return met.select(F.col("doc").alias("a"), F.col("_doc").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -197,12 +200,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     firsts = materialize(found.join(classes, match & (found.doc == F.col("first"))).select("doc", "n", "sketch").distinct(), "firsts")
 
     keys = list_keys(firsts)
+    # The hash of the third hub changes with the key, so a group's lists have several hubs.
+    drawn = F.xxhash64("doc", F.pmod("key", F.lit(HUBS)))
     lists = keys.groupBy("key").agg(
         F.count(F.lit(1)).alias("docs"), F.min(F.col("n")).alias("_least"), F.min("doc").alias("hub_id"),
-        F.min(F.xxhash64("doc")).alias("_hash")).where("docs > 1")
+        F.min(drawn).alias("_hash")).where("docs > 1")
     shared = keys.join(lists, "key")
     hubs = shared.groupBy("key").agg(F.min(F.when(F.col("n") == F.col("_least"), F.col("doc"))).alias("hub_n"),
-                                     F.min(F.when(F.xxhash64("doc") == F.col("_hash"), F.col("doc"))).alias("hub_hash"))
+                                     F.min(F.when(drawn == F.col("_hash"), F.col("doc"))).alias("hub_hash"))
     shared = materialize(shared.select("key", "doc", "docs", "hub_id").join(hubs, "key"), "lists")
     pairs = materialize(likely(_pairs(shared), firsts), "pairs")
 
@@ -232,7 +237,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     members = materialize(placed(shared.where(F.col("docs") > SHORT).select("key", "doc"), "doc"), "long-lists")
     mixed = members.groupBy("key").agg(F.min("_doc").alias("_low"), F.max("_doc").alias("_high")).where("_low < _high").select("key")
     rest = members.join(mixed, "key", "left_semi").select("doc", F.col("_doc").alias("component")).distinct()
-    more = materialize(confirm(_prefix_pairs(rest, texts, shingle, percent), texts, shingle, percent), "links-3")
+    more = materialize(confirm(likely(_prefix_pairs(rest, texts, shingle, percent), firsts), texts, shingle, percent), "links-3")
     nodes = components(links.union(more), "components-3")
 
     whole = found.join(classes.withColumnRenamed("n", "_n"), (found.d1.eqNullSafe(classes.d1)) & (found.d2 == classes.d2) & (found.n == F.col("_n")), "left")
