@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from helixbag.catalog.cohorts import labelled
 from helixbag.catalog.registry import query
-from helixbag.catalog.sequences import BOUNDARY, panel
+from helixbag.catalog.sequences import BOUNDARY, LOCATED, cut_sql, panel
 from helixbag.operators import features as X
 from helixbag.operators import knockout as K
 from helixbag.operators.bpe import bpe_train
 from helixbag.operators.corpus import sample_subsequence
+from helixbag.operators.loci import GENE_PADDING, locate_genes
 from helixbag.operators.terms import zip_importances
 from helixbag.session import materialize, scratch_path
 from helixbag.sources.files import load_model, save_model
@@ -74,6 +75,64 @@ class Study:
         self.predictions = materialize(X.predict_proba(self.classifier, self.data), "predictions")
 
 
+def after_single_genes(t):
+    """Features of every genome with every located panel gene masked alone, from 3-mers: (genome, target, idx, weight)."""
+    t.stored()
+    counter = X.KmerCounter(3, 3)
+    tf = materialize(counter.counts(t.contigs()), "tf")
+    model = X.TfidfVectorizer(counter).fit_counts(tf, t.contigs().select("genome"))
+    located = materialize(locate_genes(t.contigs(), t.loci(), panel(t)).withColumn("target", F.col("locus_tag")), "located")
+    changes = K.count_changes(K.changed_contigs(t.contigs(), located, GENE_PADDING, margin=counter.margin), counter)
+    jobs = located.select("genome", "target", "length")
+    return K.knockout_features(tf, changes, jobs, model), model, located
+
+
+AFTER = f"""
+located as materialized ({LOCATED}),
+touched as (
+    select l.genome, l.locus_tag as target, c.contig_idx, {cut_sql('greatest("start" - 10, 0)', 'least("end" + 10, length(seq))')} as seq
+    from located l join contigs c on l.genome = c.genome and l.contig_idx = c.contig_idx),
+texts as (
+    select * from touched
+    union all select c.genome, l.locus_tag, c.contig_idx, c.seq
+    from contigs c join located l on c.genome = l.genome and c.contig_idx <> l.contig_idx),
+counted as (
+    select genome, target, substr(seq, cast(i as int), 3) as term, count(*) as tf
+    from (select *, unnest(range(1, length(seq) - 1)) as i from texts)
+    where regexp_full_match(substr(seq, cast(i as int), 3), '[ACGT]{{3}}') group by 1, 2, 3),
+after_rows as (
+    select genome, target, idx, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by genome, target)) as weight
+    from counted join vocab3 using (term))"""
+
+
+@query("knockout_features", f"with {AFTER} select genome, target, idx, round(weight, 6) as weight from after_rows")
+def _(t):
+    features, _, _ = after_single_genes(t)
+    return K.long_features(features).withColumn("weight", F.round("weight", 6))
+
+
+# A fixed weight per feature stands for a classifier, so that scores can be computed anew in SQL.
+@query("knockout_linear", f"""
+with {AFTER},
+scores as (
+    select genome, target, 1 / (1 + exp(-(sum(weight * ((idx * 37 % 19) - 9)) / 4))) as removed from after_rows group by 1, 2),
+before as (select genome, 1 / (1 + exp(-(sum(tfidf * ((idx * 37 % 19) - 9)) / 4))) as original from tfidf3 group by genome)
+select s.genome, s.target as gene, round(original, 6) as original, round(removed, 6) as removed,
+       round(original - removed, 6) as delta, length
+from scores s join before b using (genome) join located l on s.genome = l.genome and s.target = l.locus_tag""")
+def _(t):
+    features, model, located = after_single_genes(t)
+    weights = model.vocab.select("idx", (((F.col("idx") * 37 % 19) - 9) / F.lit(4.0)).alias("importance"))
+    after = K.linear_score(K.long_features(features), weights).withColumnRenamed("probability", "after")
+    own = model.transform(t.contigs()).select("genome", "idx", F.col("tfidf").alias("weight"))
+    before = K.linear_score(own, weights, keys=["genome"]).withColumnRenamed("probability", "original")
+    ko = located.select("genome", "target", "length").join(before, "genome").join(after, ["genome", "target"])
+    out = K.knockout_delta(ko).select("genome", F.col("target").alias("gene"), "original", "removed", "delta", "length")
+    for c in ("original", "removed", "delta"):
+        out = out.withColumn(c, F.round(c, 6))
+    return out
+
+
 @query("predict_proba")
 def _(t):
     return Study(t).predictions

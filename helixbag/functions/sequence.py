@@ -45,6 +45,40 @@ def mask_intervals(seq: Column, intervals: Column, padding: int = 0, all_copies:
     )
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def masked_snippets(seq: Column, masked: Column, margin: int) -> Column:
+    """The parts of a text around its mask symbols, as (seq, masked) structs: each run of symbols with ``margin`` letters
+    on both sides, runs whose margins would meet or overlap being one part. ``masked`` has the length of ``seq``.
+    """
+    none = F.expr("cast(array() as array<struct<low:int,high:int>>)")
+    start = F.struct(F.lit(0).alias("at"), none.alias("parts"))
+
+    def step(state: Column, piece: Column) -> Column:
+        low = state["at"] + F.length(piece["gap"])
+        high = low + F.length(piece["run"])
+        last = F.element_at(state["parts"], -1)
+        part = F.array(F.struct(low.alias("low"), high.alias("high")))
+        joined = F.concat(F.slice(state["parts"], 1, F.size(state["parts"]) - 1), F.array(F.struct(last["low"].alias("low"), high.alias("high"))))
+        near = (F.size(state["parts"]) > 0) & (low - F.get(state["parts"], F.size(state["parts"]) - 1)["high"] < 2 * margin)
+        parts = F.when(near, joined).otherwise(F.concat(state["parts"], part))
+        return F.struct(high.alias("at"), parts.alias("parts"))
+
+    runs = F.regexp_extract_all(masked, F.lit(f"{MASK}+"), F.lit(0))
+    gaps = F.slice(F.split(masked, f"{MASK}+", -1), 1, F.size(runs))
+    pieces = F.zip_with(gaps, runs, lambda gap, run: F.struct(gap.alias("gap"), run.alias("run")))
+
+    def cut(part: Column) -> Column:
+        low = F.greatest(part["low"] - margin, F.lit(0))
+        width = F.least(part["high"] + margin, F.length(seq)) - low
+        return F.struct(F.substring(seq, low + 1, width).alias("seq"), F.substring(masked, low + 1, width).alias("masked"))
+
+    return F.transform(F.aggregate(pieces, start, step, lambda s: s["parts"]), cut)
+
+
 def fixed_chunks(seq: Column, size: int) -> Column:
     """Consecutive non-overlapping pieces of ``size`` letters; the last may be shorter."""
     return F.regexp_extract_all(seq, F.lit("(?s)(.{1,%d})" % size), F.lit(1))

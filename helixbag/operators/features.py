@@ -38,6 +38,11 @@ class KmerCounter:
     def bound(self) -> int | None:
         return kmer_bound(self.k_min, self.k_max)
 
+    @property
+    def margin(self) -> int:
+        """Letters beside a changed stretch that a changed k-mer may reach."""
+        return self.k_max - 1
+
     def counts(self, contigs: DataFrame, keys: Sequence[str] = ("genome",), sign: Column | None = None) -> DataFrame:
         return kmer_counts(contigs, self.k_min, self.k_max, keys, sign)
 
@@ -48,6 +53,8 @@ class TokenCounter:
 
     tokenize: Callable[[Column], Column]
     bound: int | None = None
+    # Tokens of a text may depend on all of it, so changed texts are counted whole.
+    margin: int | None = None
 
     def counts(self, contigs: DataFrame, keys: Sequence[str] = ("genome",), sign: Column | None = None) -> DataFrame:
         if sign is None:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from helixbag.functions.sequence import mask_intervals
+from helixbag.functions.sequence import mask_intervals, masked_snippets
 from helixbag.operators import loci as L
 from helixbag.operators.features import TfidfModel, feature_importances, predict_proba, sparse_vector
 from helixbag.session import bounded_broadcast, checked_broadcast
@@ -38,17 +39,24 @@ def drop_unscored(ko: DataFrame) -> DataFrame:
     return ko.where(F.col("after").isNotNull())
 
 
-def changed_contigs(contigs: DataFrame, located: DataFrame, padding: int, all_copies: bool = True) -> DataFrame:
-    """Contigs that a target changes, with the text before and after: (genome, target, seq, masked).
+def changed_contigs(contigs: DataFrame, located: DataFrame, padding: int, all_copies: bool = True,
+                    margin: int | None = None) -> DataFrame:
+    """What a target changes in contigs, before and after: (genome, target, seq, masked).
 
-    ``located`` has genome, target, contig_idx, pos, start and end. Contigs no target touches never enter.
+    ``located`` has genome, target, contig_idx, pos, start and end. Contigs no target touches never enter. Terms of at
+    most ``margin`` + 1 letters change only around masked stretches, so with a margin only these parts come out, and the
+    rest of a contig is never counted again; without one, whole contigs do. A contig is joined once for all its targets,
+    of which it has one per panel gene at most.
     """
-    cuts = L.ordered_cuts(located, "genome", "target", "contig_idx").hint("shuffle_hash")
+    cuts = L.ordered_cuts(located, "genome", "target", "contig_idx")
+    listed = cuts.groupBy("genome", "contig_idx").agg(F.collect_list(F.struct("target", "_cuts")).alias("_targets"))
+    each = contigs.join(listed.hint("shuffle_hash"), ["genome", "contig_idx"]).select("genome", "seq", F.inline("_targets"))
     masked = mask_intervals(F.col("seq"), F.col("_cuts"), padding, all_copies)
-    return (
-        contigs.join(cuts, ["genome", "contig_idx"])
-        .select("genome", "target", "seq", masked.alias("masked")).where("masked <> seq")
-    )
+    changed = each.select("genome", "target", "seq", masked.alias("masked")).where("masked <> seq")
+    if margin is None:
+        return changed
+    parts = masked_snippets(F.col("seq"), F.col("masked"), margin)
+    return changed.select("genome", "target", F.inline(parts)).where("masked <> seq")
 
 
 def count_changes(changed: DataFrame, counter) -> DataFrame:
@@ -110,6 +118,19 @@ def knockout_features(base_tf: DataFrame, changes: DataFrame, jobs: DataFrame, m
     )
 
 
+def linear_score(features: DataFrame, weights: DataFrame, bias: float = 0.0, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Scores of long features (keys, idx, weight) by a fixed weight per feature (idx, importance): 1 / (1 + exp(-sum))."""
+    total = F.sum(F.col("weight") * F.col("importance")) + bias
+    return features.join(weights.select("idx", "importance"), "idx").groupBy(*keys).agg(
+        (1 / (1 + F.exp(-total))).alias("probability"))
+
+
+def long_features(features: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The entries of feature vectors as rows (keys, idx, weight)."""
+    entries = F.transform(vector_to_array("features"), lambda w, i: F.struct(i.cast("bigint").alias("idx"), w.alias("weight")))
+    return features.select(*keys, F.inline(F.filter(entries, lambda e: e["weight"] != 0)))
+
+
 def score_knockouts(contigs: DataFrame, located: DataFrame, jobs: DataFrame, vectorizer: TfidfModel,
                     classifier: PipelineModel, padding: int, base_tf: DataFrame | None = None) -> DataFrame:
     """Score each job (genome, target, original, length) whose length is positive after masking."""
@@ -117,7 +138,8 @@ def score_knockouts(contigs: DataFrame, located: DataFrame, jobs: DataFrame, vec
     if base_tf is None:
         wanted = contigs.join(scored_jobs.select("genome").distinct(), "genome", "left_semi")
         base_tf = vectorizer.counter.counts(wanted)
-    changes = count_changes(changed_contigs(contigs, located, padding), vectorizer.counter)
+    margin = vectorizer.counter.margin
+    changes = count_changes(changed_contigs(contigs, located, padding, margin=margin), vectorizer.counter)
     used = feature_importances(classifier, contigs.sparkSession)
     features = knockout_features(base_tf, changes, scored_jobs, vectorizer, used)
     after = predict_proba(classifier, features, KEYS).select(*KEYS, F.col("probability").alias("after"))

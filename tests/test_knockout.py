@@ -52,7 +52,7 @@ def test_feature_vectors_equal_full_counting(spark, study, fitted):
     model, _, predictions = fitted
     located = L.locate_genes(frame, table, panel).withColumn("target", F.lit("all"))
     jobs = predictions.select("genome", F.lit("all").alias("target"))
-    changes = K.count_changes(K.changed_contigs(frame, located, 20), model.counter)
+    changes = K.count_changes(K.changed_contigs(frame, located, 20, margin=model.counter.margin), model.counter)
     fast = K.knockout_features(model.counter.counts(frame), changes, jobs, model)
     fast = {r["genome"]: r["v"] for r in fast.select("genome", vector_to_array("features").alias("v")).collect()}
     slow = X.assemble_features(model.transform(L.mask_genes(frame, table, panel)), model.size)
@@ -146,3 +146,24 @@ def test_absent_loci_count_as_zeros(spark):
     rows = [(0, f"N{i}", 0.0) for i in range(100)] + [(1, f"N{i}", 0.5 + i / 10) for i in range(4)]
     got = K.relevant_loci(spark.createDataFrame(rows, "genome long, gene string, delta double"), min_genomes=1).collect()
     assert {r["locus"] for r in got} == {"N0", "N1", "N2", "N3"}
+
+
+def test_only_the_parts_around_masks_are_counted_again(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choices("ACGT", k=20000))
+    frame = spark.createDataFrame([(1, 0, "c0", text)], CONTIGS)
+    cuts = [(1, f"T{i}", 0, i, 40 * i, 40 * i + 35) for i in range(300)]
+    located = spark.createDataFrame(cuts, "genome long, target string, contig_idx long, pos long, start long, end long")
+    parts = K.changed_contigs(frame, located, 20, margin=7).collect()
+    assert len(parts) == 300 and max(len(r["seq"]) for r in parts) <= 35 + 20 + 14
+    assert all(len(r["seq"]) == len(r["masked"]) for r in parts)
+
+
+def test_snippets_merge_where_margins_meet(spark):
+    from helixbag.functions.sequence import masked_snippets
+
+    rows = [("ACGTACGTACGTACGT", "ACXTACGXACGTACGX"), ("AAAA", "XXXX"), ("AC", "AC")]
+    got = spark.createDataFrame(rows, "seq string, masked string").select(masked_snippets(F.col("seq"), F.col("masked"), 2).alias("s")).collect()
+    # The first two runs are 4 letters apart: their margins meet but share nothing.
+    assert [[tuple(p) for p in r["s"]] for r in got] == [
+        [("ACGTA", "ACXTA"), ("CGTAC", "CGXAC"), ("CGT", "CGX")], [("AAAA", "XXXX")], []]
