@@ -163,13 +163,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         for batch, data, offsets in slices(batches):
             found = Words(data, offsets)
             columns = _finish(found, np.ones(len(found), dtype=bool), with_text)
-            own = pa.compute.if_else(batch.column("wanted"), batch.column("text"), None)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("doc", "text_hash", "wanted")], own, *columns],
+                [*[batch.column(c) for c in ("doc", "text_hash", "wanted", "text")], *columns],
                 names=["doc", "text_hash", "wanted", "text", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     results = "n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
-    texts = materialize(split.mapInArrow(finish, f"doc bigint, text_hash bigint, wanted boolean, text string, {results}"), "texts")
+    done = split.mapInArrow(finish, f"doc bigint, text_hash bigint, wanted boolean, text string, {results}")
+    texts = materialize(done.withColumn("text", F.when(F.col("wanted"), F.col("text"))), "texts")
     open_texts = texts.where("wanted").select("doc", "text_hash", "text")
 
     edges = materialize(_window_hashes(branching, open_texts, window), "edges")
