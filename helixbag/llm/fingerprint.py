@@ -4,7 +4,7 @@ A paragraph is a sentence, or each 160 characters of a longer one; its digest en
 a count, the digest and a check hash, the latter two combined by exclusive or. Two tables subtract cell by cell, which
 leaves the digests on one side only; cells that hold a single one are read off and taken out of its other cells until
 nothing is left. The fingerprint is the smallest table. Where its difference cannot be read off, the digests are parted by
-hash into groups of about twelve, each with a larger table, which grows again where it fails.
+hash into groups of about six, so that all groups together have a larger table; a group's grows again where it fails.
 
 Documents meet their successors in ranges of ids: cut points are ids of the table itself, and the first document of a range
 is also dealt to the range before it, so texts are shuffled once and no task orders them all. Column functions only.
@@ -22,7 +22,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PARAGRAPH = r"[^\\n.!?]{1,160}[.!?\\n]*|[.!?\\n]+"
 CELLS = 12
-RETRIES = (24, 48, 96)
+# Digests of a group, and cells of its tables from the first try on.
+GROUP = 6
+RETRIES = (12, 24, 48, 96)
 # Rows of a range, and most cut points that the driver hands out; beyond them ranges grow, and Spark sorts them on disk.
 RANGE, MOST_CUTS = 2_000, 10_000
 
@@ -78,12 +80,13 @@ def peel(difference: str, cells: int) -> str:
                     f"'h', {w}.h ^ aggregate({found}, 0L, ({a}, {v}) -> {a} ^ xxhash64({v}.k, 1))))")
 
         inner = _let(f"filter({keys}, {y} -> {_hits(f'{y}.k', j, cells)})", cell)
-        return (f"if(size({keys}) = 0, {s}, named_struct('c', transform({s}.c, ({w}, {j}) -> {inner}), "
-                f"'d', concat({s}.d, {keys})))")
+        return (f"if(size({keys}) = 0, named_struct('c', {s}.c, 'd', {s}.d, 'o', false), named_struct("
+                f"'c', transform({s}.c, ({w}, {j}) -> {inner}), 'd', concat({s}.d, {keys}), 'o', true))")
 
-    start = f"named_struct('c', {difference}, 'd', cast(array() as array<struct<k:bigint,n:bigint>>))"
+    start = f"named_struct('c', {difference}, 'd', cast(array() as array<struct<k:bigint,n:bigint>>), 'o', true)"
     done = f"{s} -> if(forall({s}.c, {e} -> {e}.n = 0 and {e}.k = 0), {s}.d, null)"
-    return f"aggregate(sequence(1, {cells}), {start}, ({s}, {i}) -> {_let(single, emptied)}, {done})"
+    # A round without a single digest ends the work; the rounds left pass by.
+    return f"aggregate(sequence(1, {cells}), {start}, ({s}, {i}) -> if({s}.o, {_let(single, emptied)}, {s}), {done})"
 
 
 def _part(left: str, right: str) -> str:
@@ -101,22 +104,24 @@ def differing(left: str, right: str, left_table: str, right_table: str) -> str:
     s, t, h = _fresh(), _fresh(), _fresh()
 
     def inside(held: str, group: str, parts: str, shift: int) -> str:
-        return f"filter({held}, {h} -> pmod(shiftright(xxhash64({h}, 2), {shift}), {parts}) = {group})"
+        # Bits that choose no cell.
+        return f"filter({held}, {h} -> pmod(shiftrightunsigned({h}, {shift}), {parts}) = {group})"
 
     def split(parts: str) -> str:
         groups = f"sequence(0, {parts} - 1)"
 
         def wide(x: str) -> str:
             def both(y: str) -> str:
-                part = _let(inside(x, t, parts, 24), lambda p: _let(inside(y, t, parts, 24), lambda q: _part(p, q)))
+                part = _let(inside(x, t, parts, 55), lambda p: _let(inside(y, t, parts, 55), lambda q: _part(p, q)))
                 return f"flatten(transform({groups}, {t} -> {part}))"
 
-            return _let(inside(right, s, parts, 0), both)
+            return _let(inside(right, s, parts, 46), both)
 
-        return f"flatten(transform({groups}, {s} -> {_let(inside(left, s, parts, 0), wide)}))"
+        return f"flatten(transform({groups}, {s} -> {_let(inside(left, s, parts, 46), wide)}))"
 
-    parts = f"cast(ceil(sqrt(ceil((size({left}) + size({right})) / 12))) as int)"
-    return f"coalesce({peel(subtract(left_table, right_table), CELLS)}, {_let(parts, split)})"
+    parts = f"cast(greatest(ceil(sqrt(ceil((size({left}) + size({right})) / {GROUP}))), 1) as int)"
+    none = "cast(array() as array<struct<k:bigint,n:bigint>>)"
+    return (f"if({left} = {right}, {none}, coalesce({peel(subtract(left_table, right_table), CELLS)}, {_let(parts, split)}))")
 
 
 def likeness(left: str, right: str, left_table: str, right_table: str) -> Column:
