@@ -137,13 +137,11 @@ where n = 1"""
 
 @query("locate_gene", f"select * from ({LOCATED}) where locus_tag = 'NEIS0004'")
 def _(t):
-    t.stored()
     return L.locate_gene(t.contigs(), t.loci(), "NEIS0004").withColumn("pos", F.lit(1).cast("bigint"))
 
 
 @query("locate_genes", LOCATED)
 def _(t):
-    t.stored()
     return L.locate_genes(t.contigs(), t.loci(), panel(t))
 
 
@@ -160,7 +158,6 @@ where n = 2 and p.seqid = other"""
 
 @query("locate_capsule", REGION)
 def _(t):
-    t.stored()
     return L.locate_capsule(t.contigs(), t.loci(), BOUNDARY)
 
 
@@ -233,7 +230,6 @@ def counts3(t):
 
 def fitted3(t):
     """3-mer counts, written once because fitting and weighing both read them, and their vocabulary."""
-    t.stored()
     tf = materialize(counts3(t), "tf")
     return tf, T.idf_fit(tf, t.contigs().select("genome"), bound=64)
 

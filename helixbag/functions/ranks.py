@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from helixbag.session import BROADCAST_ROWS
+from helixbag.session import BROADCAST_ROWS, materialize
 
 
 def draw_key(*parts: Column | str, seed: int) -> Column:
@@ -72,8 +72,10 @@ def running_sums(rows: DataFrame, order_col: str, sums: dict[str, str], groups:
 
     Cut points from approximate quantiles (at most ``buckets`` numbers) split the order into even ranges. Each
     range is summed in its own task and shifted by the total of the ranges before it, so no window spans more
-    than one range. The cut points only balance the work; the sums do not depend on them.
+    than one range. The cut points only balance the work; the sums do not depend on them. The rows, such as counts per
+    distinct value, are written once, as cut points, totals and sums all read them.
     """
+    rows = materialize(rows, "running")
     cuts = rows.approxQuantile(order_col, [i / buckets for i in range(1, buckets)], 0.5 / buckets)
     splits = [-float("inf"), *sorted(set(cuts) or {0.0}), float("inf")]
     cut = Bucketizer(splits=splits, inputCol=order_col, outputCol="_range").transform(rows)

@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from helixbag.functions.sequence import clean_seq, keep_tokens, reverse_complement
-from helixbag.session import materialize
+from helixbag.session import discard, materialize
 
 # The special token, the start alphabet, and the least pair count worth a merge.
 SPECIAL = "X"
@@ -114,8 +114,9 @@ def bpe_train(corpus: DataFrame, vocab_size: int, min_frequency: int = MIN_FREQU
     """Learn merges: join the most frequent pair until the vocabulary is full or no pair is frequent enough.
 
     Equal counts go to the pair of lower token ids; ids are the special token, the letters in order, then
-    merges as they come. Sentences stay distributed as strings of token ids. Each round counts all pairs,
-    brings the few top ones to the driver, and applies every merge that strict order is certain to take next.
+    merges as they come. Sentences stay distributed as strings of token ids, beside a table of pair counts. Each round
+    brings the few top pairs to the driver, applies every merge that strict order is certain to take next, and counts
+    again only the sentences that hold one of them: their counts before go off the table, those after go on.
     """
     spark = corpus.sparkSession
     sentences = corpus.groupBy(F.col(text).alias("sentence")).agg(F.count(F.lit(1)).alias("n"))
@@ -134,9 +135,10 @@ def bpe_train(corpus: DataFrame, vocab_size: int, min_frequency: int = MIN_FREQU
 
     rounds = 0
     held: list[DataFrame] = []
+    pairs = materialize(_count_pairs(current), "bpe-pairs")
     while len(tokens) < vocab_size:
         top = (
-            _count_pairs(current).where(f"n >= {int(min_frequency)}")
+            pairs.where(f"n >= {int(min_frequency)}")
             .selectExpr("cast(left as int) as left", "cast(right as int) as right", "n")
             .orderBy(F.desc("n"), "left", "right").limit(ROUND_CANDIDATES).collect()
         )
@@ -153,9 +155,13 @@ def bpe_train(corpus: DataFrame, vocab_size: int, min_frequency: int = MIN_FREQU
                 ids[merged] = len(tokens)
                 tokens.append(merged)
             batch.append(f"struct('|{a}||{b}|' as old, '|{ids[merged]}|' as new)")
-        applied_state = current.selectExpr(
-            f"aggregate(array({', '.join(batch)}), state, (s, m) -> replace(s, m.old, m.new)) as state", "n"
-        )
+        merged_state = f"aggregate(array({', '.join(batch)}), state, (s, m) -> replace(s, m.old, m.new)) as state"
+        applied_state = current.selectExpr(merged_state, "n")
+        touched = current.where(f"exists(array({', '.join(batch)}), m -> contains(state, m.old))")
+        sides = touched.selectExpr("state", "-n as n").union(touched.selectExpr(merged_state, "n"))
+        changed = pairs.union(_count_pairs(sides)).groupBy("left", "right").agg(F.sum("n").alias("n")).where("n > 0")
+        past, pairs = pairs, materialize(changed, "bpe-pairs")
+        discard(past)
         rounds += 1
         # The state of a round is computed by the pair count of the next one; its source stays cached until then.
         done = [] if rounds % CUT_EVERY else held
@@ -215,7 +221,8 @@ def _segment_tokens(segment: str, rank: dict[tuple[str, str], int]) -> list[str]
 
 
 def heap_encode(text: Column, model: BpeModel, spark) -> Column:
-    """Tokens of a text for long merge lists: an Arrow UDF that merges by a heap of ranks."""
+    """Tokens of a text for long merge lists: an Arrow UDF that merges each segment between mask symbols by a heap of
+    ranks."""
     # At most the vocabulary size, a parameter of the model.
     shared = spark.sparkContext.broadcast({m: i for i, m in reversed(list(enumerate(model.merges)))})
 
@@ -223,7 +230,8 @@ def heap_encode(text: Column, model: BpeModel, spark) -> Column:
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         rank = shared.value
         for texts in batches:
-            yield texts.map(lambda s: None if s is None else _segment_tokens(s, rank))
+            yield texts.map(lambda s: None if s is None else [
+                t for part in s.split(SPECIAL) for t in _segment_tokens(part, rank)])
 
     return encode(text)
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Most rows of a side that is ever broadcast: 100,000 rows of a vocabulary take about 10 MB.
 BROADCAST_ROWS = 100_000
+# Scratch tables of this process that have not been deleted.
+_written: list[str] = []
 
 
 def build_session(app: str = "helixbag", master: str | None = None, shuffle_partitions: int | None = None,
@@ -49,7 +51,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         root = tempfile.mkdtemp(prefix="helixbag-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/helixbag/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/helixbag/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -57,7 +61,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._scratch = path
+    return stored
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for a table that no later step reads, such as a past round of a loop."""
+    path = getattr(stored, "_scratch", None)
+    if path:
+        _delete(stored.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every scratch table of this process. Call it when the results that read them have been written."""
+    for path in list(_written):
+        _delete(spark, path)
 
 
 def bounded_broadcast(df: DataFrame, bound: int | None) -> DataFrame:

@@ -54,3 +54,17 @@ def test_alphabetical_index_agrees_in_both_forms(spark):
     want = {w: i for i, w in enumerate(sorted(words))}
     for bound in (None, 10):
         assert {r["w"]: r["idx"] for r in R.alphabetical_index(df, "w", bound=bound).collect()} == want
+
+
+def test_scratch_tables_can_be_deleted(spark):
+    from pathlib import Path
+
+    from helixbag.session import clear_scratch, discard, materialize
+
+    one, two = materialize(spark.range(3), "one"), materialize(spark.range(4), "two")
+    folder = Path(one._scratch.removeprefix("file:"))
+    assert folder.exists() and two.count() == 4
+    discard(one)
+    assert not folder.exists() and two.count() == 4
+    clear_scratch(spark)
+    assert not Path(two._scratch.removeprefix("file:")).exists()
