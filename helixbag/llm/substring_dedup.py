@@ -143,13 +143,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     source = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     every = pieces(source.where("doc is not null"), window, anchor)
     repeated = every.groupBy("anchor").agg(F.min("doc").alias("_low"), F.max("doc").alias("_high")).where("_low < _high").select("anchor")
-    held = materialize(every.join(repeated, "anchor"), "pieces")
+    # Written first, so that both sides of the join are plain exchanges, of which Spark splits a hot anchor.
+    held = materialize(every.join(materialize(repeated, "anchors"), "anchor"), "pieces")
 
     path = ["anchor", "piece", "n"]
     classes = materialize(
         held.groupBy(*path).agg(F.min(F.struct("doc", "text_hash", "start")).alias("_at"))
         .select(*path, F.col("_at.doc").alias("first"), "_at.text_hash", "_at.start"), "paths")
-    nodes = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("_classes"))
+    nodes = materialize(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("_classes")), "nodes")
     plain = classes.join(nodes.where("_classes = 1"), "anchor").select(
         *path, "first", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     branching = classes.join(nodes.where("_classes > 1"), "anchor").drop("_classes")
@@ -173,10 +174,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     open_texts = texts.where("wanted").select("doc", "text_hash", "text")
 
     edges = materialize(_window_hashes(branching, open_texts, window), "edges")
-    earliest = edges.groupBy("anchor", "window").agg(F.min("first").alias("_first")).where(F.col("_first").isNotNull())
+    earliest = materialize(edges.groupBy("anchor", "window").agg(F.min("first").alias("_first")), "earliest")
     bit = F.expr("shiftleft(1L, j)")
     settled = edges.join(earliest, ["anchor", "window"]).groupBy(*path, F.col("_first").alias("first")).agg(F.bit_or(bit).alias("mask"))
-    marks = plain.union(settled.select(*path, "first", "mask"))
+    marks = materialize(plain.union(settled.select(*path, "first", "mask")), "marks")
     gone = held.join(marks, path).where("doc > first").groupBy("doc", "text_hash").agg(
         F.collect_list(F.struct("start", "mask")).alias("gone"))
 
