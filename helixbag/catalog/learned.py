@@ -50,6 +50,77 @@ def _(t):
     return X.predict_proba(load_model(path), data)
 
 
+def separable(t):
+    """Parts whose label follows from one of two features, so every classifier that splits there is right."""
+    from pyspark.ml.functions import array_to_vector
+
+    part = F.when(F.col("p_partkey") % 5 == 0, "test").when(F.col("p_partkey") % 5 == 1, "validation").otherwise("training")
+    features = F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double"))
+    return t.read("part").select(F.col("p_partkey").alias("genome"), array_to_vector(features).alias("features"),
+                                 (F.col("p_size") > 25).cast("int").alias("label"), part.alias("partition"))
+
+
+# Enough bins for every size, so that a tree can split between 25 and 26.
+SPLIT = {"max_bin": 64, "max_depth": 2, "n_estimators": 2, "num_leaves": 4}
+SEPARATED = "select p_partkey as genome, cast(p_size > 25 as int) as target, cast(p_size > 25 as int) as prediction from part"
+
+
+@query("train_classifier_separable", SEPARATED)
+def _(t):
+    data = separable(t)
+    return X.predict_proba(X.train_classifier(data, **SPLIT), data).select("genome", "target", "prediction")
+
+
+@query("save_load_model_separable", SEPARATED)
+def _(t):
+    data, path = separable(t), scratch_path(t.spark, "model")
+    save_model(X.train_classifier(data, **SPLIT), path)
+    return X.predict_proba(load_model(path), data).select("genome", "target", "prediction")
+
+
+@query("predict_proba_separable", """
+select genome, target, prediction, prediction as rounded, true as certain from (""" + SEPARATED + ")")
+def _(t):
+    data = separable(t)
+    found = X.predict_proba(X.train_classifier(data, **SPLIT), data)
+    p = F.col("probability")
+    return found.select("genome", "target", "prediction", F.bround(p, 0).cast("int").alias("rounded"),
+                        ((p > 0.8) | (p < 0.2)).alias("certain"))
+
+
+@query("random_search_separable", """
+select trial, cast(1 as double) as mean_train_accuracy, cast(1 as double) as mean_test_accuracy,
+       cast(1 as double) as mean_test_roc_auc from (select unnest(range(4)) as trial) where exists (select 1 from part)""")
+def _(t):
+    space = {"max_bin": (64, 80), "max_depth": (2, 4), "n_estimators": (2, 4), "num_leaves": (4, 16)}
+    table, _ = X.random_search(separable(t), X.draw_trials(4, space=space))
+    return table.select("trial", "mean_train_accuracy", "mean_test_accuracy", "mean_test_roc_auc")
+
+
+def merges_sql(n):
+    """The first merges by counting all pairs, joining the commonest, and counting again."""
+    parts = ["""state0 as materialized (
+    select concat('|', array_to_string(list_filter(string_split(seq, ''), lambda c: c <> ''), '||'), '|') as s from contigs)"""]
+    for i in range(n):
+        parts.append(f"""pairs{i} as (
+    select t[cast(k as int)] as "left", t[cast(k as int) + 1] as "right", count(*) as n
+    from (select t, unnest(range(1, len(t))) as k from (select string_split(substr(s, 2, length(s) - 2), '||') as t from state{i}))
+    group by 1, 2),
+top{i} as materialized (select "left", "right" from pairs{i} order by n desc, "left", "right" limit 1),
+state{i + 1} as materialized (
+    select replace(s, concat('|', "left", '||', "right", '|'), concat('|', "left", "right", '|')) as s from state{i} cross join top{i})""")
+    rows = " union all ".join(f'select {i} as rank, "left", "right" from top{i}' for i in range(n))
+    return f"with {', '.join(parts)} {rows}"
+
+
+@query("bpe_train_merges", merges_sql(3))
+def _(t):
+    letters = t.contigs().select(F.explode(F.array_distinct(F.split("seq", ""))).alias("c")).where("c <> ''").distinct()
+    known = {r["c"] for r in letters.collect()} | set("ACGTX")
+    model = bpe_train(t.contigs(), len(known) + 3, text="seq")
+    return t.spark.createDataFrame([(i, *m) for i, m in enumerate(model.merges)], "rank long, left string, right string")
+
+
 @query("random_search")
 def _(t):
     space = {"max_bin": (4, 32), "max_depth": (2, 5), "n_estimators": (2, 5), "num_leaves": (4, 32)}

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from helixbag.operators import cohort as C
 from helixbag.operators import features as X
+from helixbag.operators import knockout as K
+from helixbag.operators import loci as L
 from helixbag.operators import metrics as M
 from helixbag.operators.bpe import BpeModel, bpe_train
 from helixbag.operators.corpus import load_corpus
 from helixbag.operators.terms import KMER_VOCABULARIES
 from helixbag.operators.trials import METRIC_NAMES, refit_best, tidy_cv, union_trials
 from helixbag.session import checked_broadcast, materialize
+from helixbag.sources import files as S
 
 
 def prepare_dataset(genomes: DataFrame, contigs: DataFrame, task: str, num_val: int = 500, num_test: int = 1000,
@@ -67,3 +70,38 @@ def train(dataset: DataFrame, tfidf: DataFrame, size: int, trials: list[dict] |
     scores = M.metrics_report(test).select(*[f"test_{m}" for m in M.METRICS])
     report = union_trials(chosen, scores).select(*[f"{s}_{m}" for m in M.METRICS for _, s in M.STAGES])
     return table, model, predictions, report
+
+
+def gene_study(predictions_path: str, out: str, contigs: DataFrame, loci: DataFrame, genes: DataFrame,
+               vectorizer: X.TfidfModel, classifier, control: bool = False, seed: int = 0) -> DataFrame:
+    """Single-gene knockouts of the invasive genomes of a prediction file, written once under ``out``.
+
+    One job covers all genes of the list (locus_tag, pos); the table has a row per genome and gene.
+    """
+    spark = contigs.sparkSession
+    columns = ["genome", "gene", "original", "removed", "delta", "length"]
+    return S.run_once(spark, f"{out}/genes{'-control' if control else ''}", lambda: K.knockout_gene(
+        S.read_predictions(spark, predictions_path), contigs, loci, genes, vectorizer, classifier, "invasive",
+        control=control, seed=seed).select(*columns)).select(*columns)
+
+
+def panel_study(predictions_path: str, out: str, contigs: DataFrame, loci: DataFrame, panel: DataFrame,
+                vectorizer: X.TfidfModel, classifier, control: bool = False, seed: int = 0,
+                name: str = "virulence") -> DataFrame:
+    """All genes of a panel masked together in the invasive genomes of a prediction file, written once under ``out``."""
+    spark = contigs.sparkSession
+    columns = ["genome", "gene", "original", "removed", "delta", "length"]
+    return S.run_once(spark, f"{out}/{name}{'-control' if control else ''}", lambda: K.knockout_panel(
+        S.read_predictions(spark, predictions_path), contigs, loci, panel, vectorizer, classifier, "invasive",
+        control=control, seed=seed, name=name).select(*columns)).select(*columns)
+
+
+def capsule_study(predictions_path: str, out: str, contigs: DataFrame, loci: DataFrame, vectorizer: X.TfidfModel,
+                  classifier, threshold: float = 0.99, control: bool = False, seed: int = 0,
+                  boundary: tuple[str, str] = L.CAPSULE_BOUNDARY) -> DataFrame:
+    """Region knockouts of the confident capsule genomes of a prediction file, written once under ``out``."""
+    spark = contigs.sparkSession
+    columns = ["genome", "grp", "before", "after", "length"]
+    return S.run_once(spark, f"{out}/capsule{'-control' if control else ''}", lambda: K.knockout_capsule(
+        S.read_predictions(spark, predictions_path), contigs, loci, vectorizer, classifier, threshold, control, seed,
+        boundary).select(*columns)).select(*columns)

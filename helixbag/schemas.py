@@ -30,6 +30,11 @@ KNOCKOUT = _schema(
     ("genome", LongType), ("gene", StringType), ("original", DoubleType), ("removed", DoubleType),
     ("delta", DoubleType), ("length", LongType),
 )
+# Columns of all knockout results; a run of one kind has some of them.
+KNOCKOUT_RUNS = _schema(
+    ("genome", LongType), ("gene", StringType), ("group", StringType), ("before", DoubleType), ("after", DoubleType),
+    ("original", DoubleType), ("removed", DoubleType), ("delta", DoubleType), ("length", LongType),
+)
 METRICS = _schema(*[
     (f"{stage}_{metric}", DoubleType)
     for metric in ("accuracy", "matthews_corrcoef", "roc_auc")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -185,6 +185,21 @@ def write_if_absent(df: DataFrame, path: str) -> None:
     df.write.mode("ignore").parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def run_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The headed table at a path; it is built and written only where the path does not exist yet."""
+    if not path_exists(spark, path):
+        built = build()
+        named = built.withColumnRenamed("grp", "group")
+        named.select(*[F.col(c).alias(c.capitalize()) for c in named.columns]).write.option("header", True).csv(path)
+    found = read_named(spark, path, S.KNOCKOUT_RUNS, optional=S.KNOCKOUT_RUNS.fieldNames())
+    return found.drop("_metadata").withColumnRenamed("group", "grp")
+
+
 def save_features(tfidf: DataFrame, path: str) -> None:
     """Long features with their partition column, one folder per partition."""
     tfidf.write.mode("overwrite").partitionBy("partition").parquet(path)

@@ -52,6 +52,38 @@ def test_kmer_study(spark, cohort, dataset, tmp_path):
     assert one == two
 
 
+def test_knockout_studies_run_once_from_files(spark, cohort, dataset, tmp_path):
+    from pyspark.sql import functions as F
+
+    from helixbag.operators import knockout as K
+    from helixbag.sources import files as S
+
+    model, tfidf = W.vectorize(cohort[1], dataset, W.kmer_counter(64))
+    members = dataset.select("genome", "label")
+    data = X.with_empty_documents(X.assemble_features(tfidf, model.size), members, model.size).cache()
+    classifier = X.train_classifier(data, max_bin=16, max_depth=2, n_estimators=2, num_leaves=4)
+    S.write_predictions(X.predict_proba(classifier, data), str(tmp_path / "predictions"))
+    S.write_fasta(cohort[1], str(tmp_path / "fasta"))
+    rows = [(g, f"c{c}", 1 + 200 * j, 120 + 200 * j, f"N{j}") for g in range(120) for c, j in ((0, 0), (0, 1))]
+    S.write_gff3(spark.createDataFrame(rows, "genome long, seqid string, start_pos long, end_pos long, locus_tag string"), str(tmp_path / "gff3"))
+    contigs, loci = S.read_fasta(spark, str(tmp_path / "fasta")).cache(), S.read_gff3(spark, str(tmp_path / "gff3"))
+    (tmp_path / "genes.txt").write_text("N0\nN1\n")
+    genes = S.read_gene_list(spark, str(tmp_path / "genes.txt"))
+    args = (str(tmp_path / "predictions"), str(tmp_path / "out"), contigs, loci)
+
+    table = W.gene_study(*args, genes, model, classifier)
+    direct = K.knockout_gene(S.read_predictions(spark, args[0]), contigs, loci, genes, model, classifier)
+    assert sorted(map(tuple, table.select(direct.columns).collect())) == sorted(map(tuple, direct.collect()))
+    assert table.count() == 2 * dataset.count() and table.where("length > 0").count() == table.count()
+    again = W.gene_study(*args, genes.limit(0), model, classifier)
+    assert again.count() == table.count()
+    assert W.panel_study(*args, genes, model, classifier, control=True).where("gene = 'virulence-control'").count() == dataset.count()
+    region = W.capsule_study(*args, model, classifier, threshold=0.5, boundary=("N0", "N1"))
+    assert region.where(F.col("after").isNotNull()).count() == region.count() > 0
+    wide = K.assemble_deltas_outer(table)
+    assert wide.columns == ["genome", "N0", "N1"] and wide.count() == dataset.count()
+
+
 def test_subword_study(spark, cohort, dataset):
     tokens = W.learn_tokenizer(cohort[1], dataset, 20, num_sentences=200)
     assert len(tokens.tokens) == 20
