@@ -239,6 +239,17 @@ def _(t):
     return counts3(t)
 
 
+# All k-mers of 3 to 8 letters, summed up per k; the terms themselves would be 20 million rows at the bench scale.
+@query("kmer_counts_3_8", " union all ".join(f"""
+select {k} as k, count(*) as n, count(distinct substr(x, cast(i as int), {k})) as words
+from (select x, unnest(range(1, length(x) - {k - 2})) as i from (select regexp_replace(seq, '[BD-FH-SU-Z]+', 'X', 'g') as x from contigs))
+where regexp_full_match(substr(x, cast(i as int), {k}), '[ACGT]{{{k}}}')""" for k in range(3, 9)))
+def _(t):
+    counted = T.kmer_counts(t.contigs(), 3, 8).groupBy("term").agg(F.sum("tf").alias("n"))
+    k = F.length("term").alias("k")
+    return counted.groupBy(k).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
+
+
 @query("document_frequency", "select term, df from vocab3")
 def _(t):
     return T.document_frequency(counts3(t))
