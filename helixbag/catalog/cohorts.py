@@ -256,4 +256,32 @@ with r as (
 def _(t):
     keys = [F.col("p_brand").alias("dataset"), (F.col("p_size") * 100).alias("vocab_size")]
     counts = t.read("part").groupBy(*keys).agg(F.count(F.lit(1)).alias("num_features"))
-    return R.vocab_sensitivity(stage_metrics(t, *keys), counts)
+    return R.vocab_sensitivity(stage_metrics(t, *keys), counts, sizes=None)
+
+
+RUN_SQL = "p_brand as dataset, 2000 * (p_size % 16 + 1) as vocab_size, p_type as strategy"
+
+
+def run_keys():
+    return [F.col("p_brand").alias("dataset"), (F.col("p_size") % 16 * 2000 + 2000).alias("vocab_size"), F.col("p_type").alias("strategy")]
+
+
+@query("collect_feature_scan_runs", f"""
+with r as (
+  select {RUN_SQL}, count(*) + 20000 as num_features, {STAGE_SQL} from part group by 1, 2, 3
+  union all select {RUN_SQL}, cast(2 ** (p_partkey % 14 + 1) as bigint), {STAGE_SQL} from part group by 1, 2, 3, 4)
+{UNPIVOT_SQL.format(keys='dataset, vocab_size, strategy, num_features')}""")
+def _(t):
+    fold = F.pow(F.lit(2), F.col("p_partkey") % 14 + 1).cast("bigint").alias("num_features")
+    counts = t.read("part").groupBy(*run_keys()).agg((F.count(F.lit(1)) + 20000).alias("num_features"))
+    return R.collect_feature_scan(stage_metrics(t, *run_keys()), stage_metrics(t, *run_keys(), fold), counts)
+
+
+@query("vocab_sensitivity_runs", f"""
+with r as (
+  select {RUN_SQL}, count(*) as num_features, {STAGE_SQL} from part
+  where 2000 * (p_size % 16 + 1) in (4000, 8000, 16000, 32000) group by 1, 2, 3)
+{UNPIVOT_SQL.format(keys='dataset, vocab_size, strategy, num_features')}""")
+def _(t):
+    counts = t.read("part").groupBy(*run_keys()).agg(F.count(F.lit(1)).alias("num_features"))
+    return R.vocab_sensitivity(stage_metrics(t, *run_keys()), counts)

@@ -80,6 +80,12 @@ def _(t):
     return P.join_contigs(t.contigs())
 
 
+@query("join_contigs_whole", """
+select genome, string_agg(seq, chr(10) order by contig_idx) as document from contigs group by 1""")
+def _(t):
+    return P.join_contigs(t.contigs(), per_piece=None)
+
+
 @query("kmer_extract", """
 select genome, contig_idx, term, count(*) as n
 from (select genome, contig_idx, substr(x, cast(i as int), k) as term, k

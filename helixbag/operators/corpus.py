@@ -50,14 +50,13 @@ def load_corpus(contigs: DataFrame, num_sentences: int | None = 1_000_000, seed:
     return passages if num_sentences is None else random_sample_k(passages, num_sentences, seed=seed)
 
 
-def join_contigs(contigs: DataFrame, per_piece: int = 100) -> DataFrame:
+def join_contigs(contigs: DataFrame, per_piece: int | None = 100) -> DataFrame:
     """Genome documents: contigs joined by newlines in order, in pieces of at most ``per_piece`` contigs.
 
     Pieces in ``piece`` order, themselves joined by newlines, are the whole document, so a genome of any
-    number of contigs never has to fit one row.
+    number of contigs never has to fit one row. With per_piece=None a genome is one document, for export of genomes
+    that are known to fit a row (2 GB).
     """
     ordered = F.array_sort(F.collect_list(F.struct("contig_idx", "seq")))
-    return (
-        contigs.groupBy("genome", F.floor(F.col("contig_idx") / per_piece).alias("piece"))
-        .agg(F.array_join(F.transform(ordered, lambda c: c["seq"]), "\n").alias("document"))
-    )
+    piece = [] if per_piece is None else [F.floor(F.col("contig_idx") / per_piece).alias("piece")]
+    return contigs.groupBy("genome", *piece).agg(F.array_join(F.transform(ordered, lambda c: c["seq"]), "\n").alias("document"))

@@ -95,20 +95,29 @@ def stage_rows(metrics: DataFrame, metric: str, keys: Sequence[str]) -> DataFram
     return long.select(*keys, stage.alias("stage"), F.col(DISPLAY_NAMES[metric]))
 
 
+# The subword vocabularies that a sensitivity table compares.
+VOCABULARY_SIZES = (4000, 8000, 16000, 32000)
+
+
 def collect_feature_scan(base: DataFrame, folds: DataFrame, counts: DataFrame, metric: str = "accuracy") -> DataFrame:
     """Metric per stage with all features and for each smaller feature count, sorted by feature count.
 
-    ``base`` and ``folds`` are keyed by dataset; ``folds`` has ``num_features``, ``counts`` gives the full number.
+    Runs are named by the columns of ``counts`` beside ``num_features``, such as dataset, vocab_size and strategy. ``base``
+    and ``folds`` have them too; ``folds`` has ``num_features``, ``counts`` gives the full number.
     """
-    cols = ["dataset", "num_features"]
-    every = base.join(counts, "dataset").select(*cols, *[f"{s}_{metric}" for s in STAGES])
+    run = [c for c in counts.columns if c != "num_features"]
+    cols = [*run, "num_features"]
+    every = base.join(counts, run).select(*cols, *[f"{s}_{metric}" for s in STAGES])
     rows = every.unionByName(folds.select(*every.columns))
-    return stage_rows(rows, metric, cols).orderBy("num_features", "dataset", "stage")
+    return stage_rows(rows, metric, cols).orderBy("num_features", *run, "stage")
 
 
 def vocab_sensitivity(metrics: DataFrame, counts: DataFrame, metric: str = "accuracy",
-                      sizes: Sequence[int] | None = None) -> DataFrame:
-    """Metric per stage and vocabulary size with the number of features."""
+                      sizes: Sequence[int] | None = VOCABULARY_SIZES) -> DataFrame:
+    """Metric per stage and vocabulary size with the number of features; sizes=None keeps every size.
+
+    Runs are named by the columns of ``counts`` beside ``num_features``.
+    """
     kept = metrics if sizes is None else metrics.where(F.col("vocab_size").isin(list(sizes)))
-    keys = ["dataset", "vocab_size", "num_features"]
-    return stage_rows(kept.join(counts, ["dataset", "vocab_size"]), metric, keys)
+    run = [c for c in counts.columns if c != "num_features"]
+    return stage_rows(kept.join(counts, run), metric, [*run, "num_features"])
