@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from helixbag.functions.ranks import draw_key, hash_rank
 from helixbag.functions.sequence import file_stem
-from helixbag.session import bounded_broadcast, checked_broadcast
+from helixbag.session import checked_broadcast
 
 # The phenotypes of the disease task and its negative class.
 PHENOTYPES = [
@@ -115,16 +115,16 @@ def bin_quality(df: DataFrame, bins: int = 512) -> DataFrame:
     return df.withColumn("cluster", slot)
 
 
-def balance_quality(df: DataFrame, id_col: str = "path", seed: int = 0, n_clusters: int = 512) -> DataFrame:
+def balance_quality(df: DataFrame, id_col: str = "path", seed: int = 0) -> DataFrame:
     """Sample the larger class of each cluster down to the size of the smaller one.
 
     A cluster that holds one class only vanishes. Cluster sizes are pre-aggregated, and rows are ranked by
-    hash buckets, so one cluster may hold most of the table. ``n_clusters`` bounds the table of cluster sizes.
+    hash buckets, so one cluster may hold most of the table. The table of cluster sizes is broadcast if it is small.
     """
     sizes = df.groupBy("cluster").agg(
         F.least(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).alias("_keep")
     )
-    keyed = df.join(bounded_broadcast(sizes.where("_keep > 0"), n_clusters), "cluster").withColumn("_key", draw_key(id_col, seed=seed))
+    keyed = df.join(checked_broadcast(sizes.where("_keep > 0")), "cluster").withColumn("_key", draw_key(id_col, seed=seed))
     ranked = hash_rank(keyed, ["cluster", "label"], "_key", "_rank")
     return ranked.where(F.col("_rank") < F.col("_keep")).drop("_keep", "_key", "_rank")
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Most rows of a side that is ever broadcast: 100,000 rows of a vocabulary take about 10 MB.
 BROADCAST_ROWS = 100_000
+# Most bytes of Parquet files of a broadcast side whose size is measured; in memory it is a few times as large.
+BROADCAST_BYTES = 16 << 20
 # Scratch tables of this process that have not been deleted.
 _written: list[str] = []
 
@@ -92,5 +94,12 @@ def bounded_broadcast(df: DataFrame, bound: int | None) -> DataFrame:
 
 
 def checked_broadcast(df: DataFrame) -> DataFrame:
-    """Count a cheap side, up to the limit only, and broadcast it when it is small enough."""
-    return bounded_broadcast(df, df.limit(BROADCAST_ROWS + 1).count())
+    """Write a side once, and broadcast it when its files are small enough; otherwise leave the join to AQE.
+
+    The plan of the side runs a single time, and its measured bytes decide, so a table of ids may have millions of rows.
+    """
+    stored = materialize(df, "side")
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(stored._scratch)
+    size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    return F.broadcast(stored) if size <= BROADCAST_BYTES else stored
