@@ -71,14 +71,15 @@ def mix(docs: DataFrame, weight: Column | None = None, key: str = "doc_id", sour
     """
     sized = docs.select(
         F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
-        F.xxhash64(F.col(key), F.col(source), F.col(text), F.lit(seed)).alias("_hash"),
+        F.md5(F.concat_ws("-", F.col(key).cast("string"), source, F.md5(F.col(text).cast("binary")),
+                          F.lit(str(seed))).cast("binary")).alias("_hash"),
         (weight if weight is not None else F.lit(None)).cast("double").alias("_given"),
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
     )
     given = F.col("_given") if weight is not None else plainness(F.col("_text"), F.col("size"))
     bounded = F.least(F.greatest(F.coalesce(given, F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT)), F.lit(MOST_WEIGHT))
-    # 53 bits of the hash, moved off zero and one.
-    chance = (F.shiftrightunsigned("_hash", 11).cast("double") + 0.5) / float(1 << 53)
+    # 52 bits of the hash, moved off zero and one.
+    chance = (F.conv(F.substring("_hash", 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     drawn = sized.select("doc_id", "source", "size", "_hash", (-F.log(chance) / bounded).alias("_key"))
     rows = materialize(drawn, "mix-keys")
 

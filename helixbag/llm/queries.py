@@ -27,7 +27,40 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@register("op1_mixing")
+OP1_SQL = r"""
+with sized as (
+    select doc_id, source, coalesce(text, '') as body,
+        len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) as size,
+        md5(concat_ws('-', doc_id, source, md5(text), '42')) as h
+    from documents
+), drawn as (
+    select doc_id, source, size, h, -ln((cast(cast('0x' || substr(h, 1, 13) as bigint) as double) + 0.5::double) / 4503599627370496::double)
+        / least(greatest(case when size > 0 then 1 / (1 + cast(length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) as double) / size)
+                              else 1 end, 0.25::double), 4::double) as key
+    from sized
+), sources as (
+    select source, sum(size) as source_size, cast(1 + (row_number() over (order by source nulls last) - 1) % 3 as double) as weight,
+        row_number() over (order by source nulls last) as place
+    from sized group by source
+), levels as (
+    select *, 3.0::double * source_size as top, 3.0::double * source_size / weight as ratio from sources
+), filled as (
+    select *, (sum(source_size) over () - coalesce(sum(top) over (order by ratio, place rows between unbounded preceding and 1 preceding), 0))
+        / sum(weight) over (order by ratio, place rows between current row and unbounded following) as level
+    from levels
+), aims as (
+    select source, source_size, least(top, weight * (select arg_min(level, (ratio, place)) from filled where ratio >= level)) as target from filled
+), budgets as (
+    select *, case when source_size > 0 then floor(target / source_size) else 0 end as epochs from aims
+)
+select doc_id, d.source, size, cast(source_size as bigint) as source_size, target,
+    cast(epochs * size + greatest(0, least(size, floor(target - epochs * source_size)
+        - coalesce(sum(size) over (partition by d.source order by key, h, doc_id rows between unbounded preceding and 1 preceding), 0))) as bigint) as taken
+from drawn d join budgets b on d.source is not distinct from b.source
+"""
+
+
+@register("op1_mixing", OP1_SQL)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
