@@ -22,10 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from helixbag.llm.words import small_batches
+
 PIECE = re.compile(r"\s*\S+|\s+")
 UNSURE = re.compile("[\x1c-\x1f]")
-# Pieces remembered by a worker (about 60 MB), and texts handed to the library at once.
-KEPT_PIECES = 150_000
+# Pieces in each of a worker's two generations (about 30 MB each), pieces handed to the library at once, and rows whose
+# results are held at once.
+KEPT_PIECES = 120_000
+ROWS = 500
 BATCH = 512
 
 
@@ -62,7 +66,10 @@ class Codec:
             pre_tokenizers.Split(Regex(pattern), "isolated"),
             pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
         ])
-        self.known: dict[str, tuple[int, bytes, bytes, tuple[int, ...]]] = {}
+        # Piece to the number of its ids, the ids in decimals, and the bytes they decode to. When the young generation
+        # is full it becomes the old one; pieces met again move back, so frequent pieces are encoded once.
+        self.known: dict[str, tuple[int, bytes, bytes]] = {}
+        self.old: dict[str, tuple[int, bytes, bytes]] = {}
 
     def pieces(self, text: str) -> list[str]:
         return [text] if UNSURE.search(text) else PIECE.findall(text)
@@ -70,19 +77,28 @@ class Codec:
     def learn(self, pieces: Sequence[str]) -> None:
         """Encode and decode the pieces not met before."""
         if len(self.known) > KEPT_PIECES:
-            self.known.clear()
-        fresh = [p for p in dict.fromkeys(pieces) if p not in self.known]
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        missing = [p for p in dict.fromkeys(pieces) if p not in known]
+        if not missing:
+            return
+        fresh = []
+        for piece in missing:
+            if piece in old:
+                known[piece] = old[piece]
+            else:
+                fresh.append(piece)
         for start in range(0, len(fresh), BATCH):
             part = fresh[start : start + BATCH]
             for piece, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                ids = tuple(found.ids)
-                self.known[piece] = (len(ids), b" ".join(b"%d" % i for i in ids), self.decode(ids), ids)
+                ids = found.ids
+                known[piece] = (len(ids), " ".join(map(str, ids)).encode(), self.decode(ids))
 
     def encode(self, text: str) -> list[int]:
         pieces = self.pieces(text)
         self.learn(pieces)
         known = self.known
-        return [i for p in pieces for i in known[p][3]]
+        return list(map(int, b" ".join([known[p][1] for p in pieces]).split()))
 
     def decode(self, ids: Sequence[int]) -> bytes:
         """The bytes of some ids; ids outside the vocabulary raise KeyError."""
@@ -111,6 +127,12 @@ def codec(ranks_file: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
+def forget_pieces() -> None:
+    """Empty the worker's piece tables."""
+    for coder in _codecs.values():
+        coder.known, coder.old = {}, {}
+
+
 def _shared_ranks(spark: SparkSession, path: str):
     """The rank file, read on the driver (a vocabulary has a fixed size of about 1 MB)."""
     with open(path, "rb") as file:
@@ -119,16 +141,21 @@ def _shared_ranks(spark: SparkSession, path: str):
 
 def _mapped(docs: DataFrame, new: list[tuple[str, str, pa.DataType]], values) -> DataFrame:
     """docs with new columns (name, Spark type, Arrow type) computed batch by batch."""
+    small_batches(docs.sparkSession)
     names = [name for name, _, _ in new]
     fields = docs.drop(*names).schema.fields
     kept = [field.name for field in fields]
     schema = T.StructType([*fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t, _ in new]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(field) for field in kept]
-            fresh = [pa.array(v, type=t) for v, (_, _, t) in zip(values(batch), new)]
-            yield pa.RecordBatch.from_arrays([*columns, *fresh], names=[*kept, *names])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                columns = [batch.column(field) for field in kept]
+                fresh = [pa.array(v, type=t) for v, (_, _, t) in zip(values(batch), new)]
+                yield pa.RecordBatch.from_arrays([*columns, *fresh], names=[*kept, *names])
+        # The worker may go on to other work; it keeps the codec, not the pieces.
+        forget_pieces()
 
     return docs.mapInArrow(run, schema)
 
@@ -178,16 +205,18 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str
 
     def values(batch: pa.RecordBatch):
         coder = codec(shared.value, pattern)
-        known, out = coder.known, [[] for _ in new]
+        out = [[] for _ in new]
         for value in batch.column(text):
             pieces = coder.pieces(value.as_py() or "")
             coder.learn(pieces)
+            known = coder.known
             found = [known[p] for p in pieces]
+            decimals = b" ".join([f[1] for f in found])
             out[0].append(sum([f[0] for f in found]))
-            out[1].append(hashlib.sha256(b" ".join([f[1] for f in found])).hexdigest())
+            out[1].append(hashlib.sha256(decimals).hexdigest())
             out[2].append(hashlib.sha256(b"".join([f[2] for f in found])).hexdigest())
             if keep_ids:
-                out[3].append([i for f in found for i in f[3]])
+                out[3].append(np.array(decimals.split(), dtype=np.int32))
         return out
 
     return _mapped(docs, new, values)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from helixbag.llm.components import components
-from helixbag.llm.words import WORD_BASE, Words, flat, mix, slices, span_hashes
+from helixbag.llm.words import WORD_BASE, Words, flat, mix, slices, small_batches, span_hashes
 from helixbag.session import materialize
 
 K, RUN = 64, 3
@@ -192,6 +192,7 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, shingle: int, percent: i
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept (whether it is the component's first)."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
     found = materialize(sketches(source, shingle), "sketches")
     sets = found.where("n > 0 and doc is not null").groupBy("d1", "d2", "n").agg(F.min("doc").alias("first"))

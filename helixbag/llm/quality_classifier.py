@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from helixbag.llm.words import SPACE, Words, slices
+from helixbag.llm.words import SPACE, Words, slices, small_batches
 from helixbag.session import materialize
 
 # Labelled documents used by the fit, and words it may use.
@@ -205,6 +205,7 @@ def classify(docs: DataFrame, labels: DataFrame, bad: Column, host: str = "sourc
              text: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
     """Append evidence, host_mean, site_mean, global_mean, ``quality`` (the posterior) and ``kept`` to every document."""
     results = ["evidence", "site_docs", "host_mean", "site_mean", "global_mean", "quality", "kept"]
+    small_batches(docs.sparkSession)
     docs = docs.drop(*results)
     model = fit(docs, labels, bad, key, text)
     found = sites(evidence(docs.select(host, path, text), model, text), host, path)

@@ -20,6 +20,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from helixbag.llm.words import small_batches
+
 # Fixed patterns; re.A keeps the case folding to ASCII letters.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -137,6 +139,7 @@ def redacted(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
 
 
 def _mapped(docs: DataFrame, text: str, new: list[tuple[str, str, pa.DataType]], values: Callable[[str | None], tuple]) -> DataFrame:
+    small_batches(docs.sparkSession)
     names = [n for n, _, _ in new]
     fields = docs.drop(*names).schema.fields
     kept = [f.name for f in fields]

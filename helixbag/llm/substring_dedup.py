@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from helixbag.llm.words import SPACE, WORD_BASE, Words, slices, span_hashes
+from helixbag.llm.words import SPACE, WORD_BASE, Words, slices, small_batches, span_hashes
 from helixbag.session import materialize
 
 WINDOW, ANCHOR = 50, 12
@@ -140,6 +140,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, on request, the kept text."""
     if not 0 < window - anchor < 62:
         raise ValueError("a piece must have fewer than 63 windows: raise anchor or lower window")
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     every = pieces(source.where("doc is not null"), window, anchor)
     repeated = every.groupBy("anchor").agg(F.min("doc").alias("_low"), F.max("doc").alias("_high")).where("_low < _high").select("anchor")

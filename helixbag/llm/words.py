@@ -10,17 +10,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 # Odd multipliers of the polynomials over bytes and over words.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-# Bytes of text worked on at once; a longer single text makes a slice of its own.
-SLICE_BYTES = 2 << 20
+# Bytes of text worked on at once, which take about 60 MB; a longer single text makes a slice of its own.
+SLICE_BYTES = 1_000_000
+
+# Bytes of one Arrow batch between Spark and Python. Rows alone would not bound it, as texts may be very long.
+BATCH_BYTES = 4 << 20
 
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes; operators with Python stages call this before they plan."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(setting)
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, kept for the worker's next batch."""
     known = _tables.get(base)
@@ -88,10 +100,15 @@ class Words:
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null reads as empty."""
-    texts = texts.fill_null("").cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    if len(texts) == 0 or offsets[-1] == offsets[0]:
+    if texts.null_count:
+        texts = texts.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    if len(texts) == 0:
+        return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    if offsets[-1] == offsets[0]:
         return np.zeros(0, dtype=np.uint8), np.zeros(len(texts) + 1, dtype=np.int64)
+    # A view, not a copy, of the batch.
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
     return data, offsets - offsets[0]
 
