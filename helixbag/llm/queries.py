@@ -192,15 +192,15 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "path", "license", "license_score", "license_from")
 
 
-# Mean log-likelihood ratio per n-gram below which a document goes.
-QUALITY_FLOOR = -0.15
+# Share of the trusted texts whose ratio a document must reach.
+CLEAN_SHARE = 0.99
 
 
 @register("op8_quality_rules")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     trusted = table(spark, folder, "labels").where((F.col("quality") == 1) & (F.col("toxic") == 0))
-    return quality_rules.judge(docs, trusted, QUALITY_FLOOR).drop("text")
+    return quality_rules.judge_held_out(docs, trusted, CLEAN_SHARE).drop("text")
 
 
 @register("op9_fingerprint")
