@@ -192,7 +192,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "path", "license", "license_score", "license_from")
 
 
-# Share of the trusted texts whose ratio a document must reach.
+# Share of the trusted texts, each judged without its own counts, whose ratio a document must reach.
 CLEAN_SHARE = 0.99
 
 
