@@ -1,7 +1,7 @@
 """License scan: sparse TF-IDF cosine of passages to templates, then inheritance from the nearest ancestor directory.
 
 Every line and sentence of a text is a passage, its terms counting once. A term's document frequency is counted over all
-documents for the terms of the templates; other terms weigh as a term seen once. For each template the heaviest terms are
+documents, for the terms of the templates and for all others of the scored passages. For each template the heaviest terms are
 its triggers: a passage without one of them cannot reach the threshold, so only passages with a trigger are scored, and
 none is lost. A document's license is that of its best passage. Documents with a license file's name, or of few words,
 are license files: the commonest license among those of a directory holds for all documents below that have none of their
@@ -20,6 +20,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from helixbag.session import checked_broadcast, materialize
+
 # Notices of public licenses, as (license, text).
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -95,7 +97,6 @@ def score(docs: DataFrame, text: str = "text", templates: Sequence[tuple[str, st
     """(_text_hash, _size, license, score) of each distinct text whose best passage reaches the threshold."""
     n, idf = weights(docs, text, templates)
     needed = triggers(idf, templates, threshold)
-    other = math.log((1 + n) / 2) + 1
     rows = []
     for i, (name, body) in enumerate(templates):
         own = _python_terms(body)
@@ -109,13 +110,18 @@ def score(docs: DataFrame, text: str = "text", templates: Sequence[tuple[str, st
     texts = texts.where(F.arrays_overlap(terms(F.col("_text")), triggered))
     cut = texts.select("_text_hash", "_size", F.explode(passages(F.col("_text"))).alias("_passage"))
     held = cut.select("_text_hash", "_size", F.xxhash64("_passage").alias("_passage"), terms(F.col("_passage")).alias("_terms"))
-    held = held.where(F.arrays_overlap("_terms", triggered)).distinct()
-    each = held.select("_text_hash", "_size", "_passage", F.size("_terms").alias("_n"), F.explode("_terms").alias("term"))
-    # Terms of the templates only are joined; the others enter the norm by their number.
-    weighed = each.join(F.broadcast(known), "term")
-    norms = weighed.groupBy("_text_hash", "_size", "_passage", "_n").agg(
-        F.count(F.lit(1)).alias("_known"), F.sum(F.col("idf") ** 2).alias("_square"), F.collect_list(F.struct("term", "idf")).alias("_terms"))
-    length = F.sqrt(F.col("_square") + (F.col("_n") - F.col("_known")) * other**2)
+    held = materialize(held.where(F.arrays_overlap("_terms", triggered)).distinct(), "passages")
+    each = held.select("_text_hash", "_size", "_passage", F.explode("_terms").alias("term"))
+    outside = checked_broadcast(each.select("term").distinct().join(F.broadcast(known), "term", "left_anti"))
+    common = docs.select(F.explode(terms(F.col(text))).alias("term")).join(outside, "term").groupBy("term").agg(
+        F.count(F.lit(1)).alias("_df"))
+    others = checked_broadcast(common.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("_df"))) + 1).alias("_other")))
+    # All terms enter the norm, those of the templates also the products.
+    weighed = each.join(F.broadcast(known), "term", "left").join(others, "term", "left")
+    held_terms = F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "idf"))).alias("_terms")
+    norms = weighed.groupBy("_text_hash", "_size", "_passage").agg(
+        F.sum(F.coalesce("idf", "_other") ** 2).alias("_square"), held_terms)
+    length = F.sqrt("_square")
     dots = norms.withColumn("_length", length).select(
         "_text_hash", "_size", "_passage", "_length", F.inline("_terms")).join(F.broadcast(shares), "term").groupBy(
         "_text_hash", "_size", "_passage", "_length", "template", "license").agg(F.sum(F.col("idf") * F.col("share")).alias("_dot"))

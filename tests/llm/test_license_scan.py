@@ -69,3 +69,21 @@ def test_triggers_cannot_be_missed():
 
 def test_empty(spark):
     assert L.scan(table(spark, [])).count() == 0
+
+
+def test_ordinary_words_weigh_by_their_frequency_at_every_size(spark):
+    """Words outside the templates that many documents have do not hide a license, however large the corpus."""
+    found = ["The project code here is licensed under the Apache License, Version 2.0.", "All of this project code is released under the MIT License."]
+    for n in (100, 2_000):
+        rows = [(i, None, found[i % 40] if i % 40 < 2 else f"All of this project code here is prose about mill {i % 9}.") for i in range(n)]
+        got = {r.doc_id: (r.license, r.license_score) for r in L.scan(table(spark, rows)).collect()}
+        df = {}
+        for _, _, t in rows:
+            for w in L._python_terms(t):
+                df[w] = df.get(w, 0) + 1
+        weight = lambda w: (math.log((1 + n) / (1 + df.get(w, 0))) + 1) ** 2
+        for i, name in ((0, "Apache-2.0"), (1, "MIT")):
+            own, body = set(L._python_terms(found[i])), L._python_terms(dict((a, b) for a, b in reversed(L.TEMPLATES))[name])
+            score = sum(weight(w) for w in body if w in own) / math.sqrt(sum(map(weight, own)) * sum(map(weight, body)))
+            assert got[i][0] == name and abs(got[i][1] - score) < 2e-6
+        assert sum(name is not None for name, _ in got.values()) == 2 * -(-n // 40)
