@@ -8,7 +8,6 @@ from helixbag.catalog.sequences import BOUNDARY, LOCATED, cut_sql, panel
 from helixbag.operators import features as X
 from helixbag.operators import knockout as K
 from helixbag.operators.bpe import bpe_train
-from helixbag.operators.corpus import sample_subsequence
 from helixbag.operators.loci import GENE_PADDING, locate_genes
 from helixbag.operators.terms import zip_importances
 from helixbag.session import materialize, scratch_path
@@ -31,7 +30,7 @@ def vectors(t):
 
 @query("bpe_train")
 def _(t):
-    model = bpe_train(sample_subsequence(t.contigs()), 40)
+    model = bpe_train(t.contigs(), 2_000, text="seq")
     return model.vocabulary(t.spark)
 
 

@@ -66,3 +66,18 @@ def test_small_corpus_by_hand(spark):
 def test_json_round_trip():
     model = B.BpeModel(("X", "A", "C", "AC"), (("A", "C"),))
     assert B.BpeModel.from_json(model.to_json()) == model
+
+
+def test_the_registered_query_learns_from_all_contigs(spark, monkeypatch):
+    """Contigs below 500 bases and all windows of longer ones are read, for a vocabulary of 2,000."""
+    from helixbag.catalog import QUERIES, learned
+
+    seen = {}
+
+    def train(corpus, size, *args, text="sentence", **more):
+        seen.update(rows=corpus.count(), least=corpus.selectExpr(f"min(length({text}))").first()[0], size=size)
+        return B.BpeModel(("X",), ())
+
+    monkeypatch.setattr(learned, "bpe_train", train)
+    assert QUERIES["bpe_train"](spark, "/root/testdata/sf0.001").count() == 1
+    assert seen["rows"] > 0 and seen["least"] < 500 and seen["size"] == 2_000
