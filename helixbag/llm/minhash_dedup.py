@@ -192,6 +192,9 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, shingle: int, percent: i
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept (whether it is the component's first)."""
+    if percent < 80:
+        # The size filter, LIKELY and the runs are made for 80: they would lose pairs of less likeness.
+        raise ValueError("percent must be 80 or more")
     small_batches(docs.sparkSession)
     source = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
     found = materialize(sketches(source, shingle), "sketches")

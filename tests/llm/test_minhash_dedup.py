@@ -84,3 +84,11 @@ def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(400, 400), (500, 499)], "a long, b long")
     got = dict((r.node, r.component) for r in components(chain).collect())
     assert got == {**{i: 0 for i in range(301)}, 499: 499, 500: 499}
+
+
+def test_a_percent_that_would_lose_pairs_is_refused(spark):
+    import pytest
+
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        D.near_duplicates(docs, percent=60)
