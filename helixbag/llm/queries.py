@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixbag.llm import bpe_codec, fingerprint, license_scan, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filter
+from helixbag.llm import (bpe_codec, collocations, filter_audit, fingerprint, license_scan, minhash_dedup, mixing, piece_codec,
+                          quality_classifier, quality_rules, secret_scan, substring_dedup, url_filter)
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -217,3 +219,95 @@ def rejected():
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
     return quality_classifier.classify(docs, table(spark, folder, "labels"), rejected()).drop("text")
+
+
+OP11_SQL = r"""
+with bodies as (
+    select doc_id, coalesce(source, '') as part, coalesce(text, '') as body,
+        list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words
+    from documents
+), marks as (
+    select doc_id, max(cast(quality = 1 as int)) as good, max(cast(toxic = 1 as int)) as toxic from labels where doc_id is not null group by doc_id
+), judged as (
+    select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+        cast(len(words) < 50 as int)
+        + 2 * cast(100 * len(list_distinct(words)) < 65 * len(words) as int)
+        + 4 * cast(100 * (length(body) - length(regexp_replace(body, '[A-Z]', '', 'g'))) > 5 * length(body) as int)
+        + 8 * cast(regexp_matches(body, '[#$%&*|]') as int)
+        + 16 * cast(coalesce(min(doc_id) over (partition by body) < doc_id, false) as int) as mask
+    from bodies left join marks using (doc_id)
+), counted as (
+    select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from judged group by part, mask
+), letters (l, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders as (
+    select [a.l, b.l, c.l, d.l, e.l] as ls, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+    from letters a, letters b, letters c, letters d, letters e where a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps as (
+    select array_to_string(ls, '') as filter_order, cast(step as int) as step, ls[step] as letter, bits[step] as bit,
+        cast(list_sum(bits[1:step]) as int) - bits[step] as before
+    from orders, (select unnest([1, 2, 3, 4, 5]) as step)
+), done as (
+    select part, filter_order, step, letter,
+        sum(case when mask & (before | bit) = 0 then n else 0 end) as kept,
+        sum(case when mask & bit > 0 and mask & before = 0 then n else 0 end) as removed,
+        sum(case when mask & bit > 0 and mask & before > 0 then n else 0 end) as redundant,
+        sum(case when mask = bit then n else 0 end) as unique_fails,
+        sum(case when mask & bit > 0 and mask & before = 0 then good else 0 end) as good_lost,
+        sum(case when mask & bit > 0 and mask & before = 0 then toxic else 0 end) as toxic_lost
+    from counted cross join steps group by part, filter_order, step, letter
+)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+    cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+    cast(sum(removed) over (partition by part, letter) as bigint) as shapley
+from done
+"""
+
+
+@register("op11_filter_audit", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@register("op12_piece_codec")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return piece_codec.encode_and_decode(docs, PIECES).drop("text")
+
+
+OP13_SQL = rf"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'),
+        '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+), worded as (
+    select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') as ws from pieces
+), counted as (
+    select lang, k, array_to_string(ws[i : i + k - 1], ' ') as phrase, count(*) as n
+    from (select lang, ws, unnest(range(1, len(ws) + 1)) as i from worded) cross join (select unnest([1, 2, 3]) as k)
+    where i + k - 1 <= len(ws) group by 1, 2, 3
+), candidates as (
+    select lang, k, phrase, n as a, string_split(phrase, ' ') as ws from counted where k > 1 and n >= 10
+), cuts as (
+    select c.lang, c.phrase, a, j, f.n as l, r.n as r, (cast(1000000 as hugeint) * a * a) // (cast(f.n as hugeint) * r.n) as score
+    from (select *, unnest(range(1, k)) as j from candidates) c
+    join counted f on f.lang = c.lang and f.phrase = array_to_string(ws[1:j], ' ')
+    join counted r on r.lang = c.lang and r.phrase = array_to_string(ws[j + 1:], ' ')
+), best as (
+    select lang, phrase, any_value(a) as a, min(score) as score, arg_min(l, (score, j)) as l, arg_min(r, (score, j)) as r from cuts group by lang, phrase
+), inside as (
+    select lang, array_to_string(ws[s : s + 1], ' ') as phrase, max(a) as longer
+    from (select *, unnest([1, 2]) as s from candidates where k = 3) group by 1, 2
+), totals as (
+    select lang, sum(n) as n from counted where k = 1 group by lang
+), ranked as (
+    select b.lang, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank, b.phrase, a, l, r, t.n, score
+    from best b join totals t on b.lang = t.lang left join inside i on i.lang = b.lang and i.phrase = b.phrase
+    where longer is null or 100 * longer < 50 * a
+)
+select lang, cast(rank as bigint) as rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from ranked where rank <= 2000
+"""
+
+
+@register("op13_collocations", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"))
