@@ -9,8 +9,8 @@ Visits count 64-bit keys of phrases, so only numbers are shuffled, and a shared
 reached the threshold goes to the tasks as bitmaps of a bounded size, which can only have bits too many. So nothing of the
 threshold's frequency is lost, and a last pass counts the phrases left by their words, exactly; those below the threshold go.
 
-Reached keys are found without shuffling rare ones again: of a key that has the threshold over j visits, one visit counted
-at least a j-th of it. Each batch is counted before anything is shuffled, so a word of a third of all rows is one row a batch.
+A visit adds to the running counts in one shuffle, and a phrase leaves these when its cycle is complete. Each batch is counted
+before anything is shuffled, so a word of a third of all rows is one row a batch.
 
 Defined results: a null text is empty, a null language ``und``; rows are counted as they come, so repeated rows and null keys
 count; ties are ordered by count and phrase; texts of any length are read whole; an empty table gives an empty table; extra
@@ -29,14 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from helixbag.llm.words import flat, mix, small_batches
 from helixbag.session import checked_broadcast, discard, materialize, scratch_path
 
-SHARDS = 3
+SHARDS = 2
 # Bits of a bitmap for each document, and the least and most bits (8 MB) of one.
 BITS_PER_DOC, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 26
 
 BLANK, BORDER = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 BLANK[[0x20, 0x09]] = True
 BORDER[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
-COUNTS = "length int, key bigint, n bigint"
+COUNTS = "length int, key bigint, n bigint, until int"
 
 
 class Phrases:
@@ -100,79 +100,78 @@ def _active(found: list[tuple[np.ndarray, np.ndarray]], length: int, bitmaps: di
     return reached[begins] & reached[begins + 1]
 
 
-def _visit(shard: DataFrame, now: dict[int, np.ndarray], before: dict[int, np.ndarray] | None, longest: int) -> DataFrame:
-    """(length, key, n) of the phrases of a shard that are active now and were not when it was visited before."""
-    spark = shard.sparkSession
-    shared = spark.sparkContext.broadcast((now, before))
+def _visit(shard: DataFrame, turn: int, states: list[dict[int, np.ndarray]], shards: int, longest: int) -> DataFrame:
+    """(length, key, n, until) of the phrases of a shard that are active and have not been counted in it before, ``until``
+    being the visit that completes their cycle."""
+    # The state of this visit, of those before it in the cycle, and of the last visit to this shard.
+    shared = shard.sparkSession.sparkContext.broadcast(list(reversed(states[-shards - 1 :])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, past = shared.value
         for batch in batches:
             found = Phrases(batch.column("text"), batch.column("lang")).keys(longest)
             for length, (keys, _) in enumerate(found, 1):
                 if length == 1:
-                    keys = keys if past is None else keys[:0]
+                    if turn >= shards:
+                        continue
+                    until = np.full(len(keys), shards - 1)
                 else:
-                    fresh = _active(found, length, current)
-                    if past is not None:
-                        fresh &= ~_active(found, length, past)
-                    keys = keys[fresh]
-                each, n = np.unique(keys, return_counts=True)
+                    # Visits in a row, this one included, at which a phrase has been active.
+                    times = np.zeros(len(keys), dtype=np.int64)
+                    for back, state in enumerate(shared.value):
+                        times += (times == back) & _active(found, length, state)
+                    fresh = (times > 0) & (times <= shards)
+                    keys, until = keys[fresh], turn + shards - times[fresh]
+                each, first, n = np.unique(keys, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(each), length, dtype=np.int32)), pa.array(each.view(np.int64)), pa.array(n.astype(np.int64))],
-                    names=["length", "key", "n"])
+                    [pa.array(np.full(len(each), length, dtype=np.int32)), pa.array(each.view(np.int64)), pa.array(n.astype(np.int64)),
+                     pa.array(until[first].astype(np.int32))], names=["length", "key", "n", "until"])
 
-    return shard.mapInArrow(run, COUNTS).groupBy("length", "key").agg(F.sum("n").alias("n"))
+    return shard.mapInArrow(run, COUNTS)
 
 
-def _reached(visits: list[DataFrame], threshold: int) -> DataFrame:
-    """(length, key) with the threshold over all visits so far."""
-    every = visits[0]
-    for visit in visits[1:]:
-        every = every.union(visit)
-    if len(visits) > 1:
-        # Only keys with a large enough share in one visit can have reached it.
-        share = -(-threshold // len(visits))
-        often = every.where(F.col("n") >= share).select("length", "key").distinct()
-        every = every.join(checked_broadcast(often), ["length", "key"], "left_semi").groupBy("length", "key").agg(F.sum("n").alias("n"))
-    return every.where(F.col("n") >= threshold).select("length", "key")
-
-
-def _bitmaps(reached: DataFrame, bits: int) -> dict[int, np.ndarray]:
-    """By length a bitmap of the keys, of at most MOST_BITS bits however many keys there are."""
+def _bitmaps(reached: DataFrame, bits: int, known: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """By length a bitmap of the keys and those known, of at most MOST_BITS bits however many keys there are."""
     index = F.col("key").bitwiseAND(F.lit(bits - 1))
     blocks = reached.groupBy("length", F.shiftrightunsigned(index, 6).alias("block")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), index.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toPandas()
-    out = {}
+    out = {length: bitmap.copy() for length, bitmap in known.items()}
     for length, rows in blocks.groupby("length"):
-        out[int(length)] = np.zeros(bits // 64, dtype=np.uint64)
-        out[int(length)][rows["block"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
+        bitmap = out.setdefault(int(length), np.zeros(bits // 64, dtype=np.uint64))
+        bitmap[rows["block"].to_numpy()] |= rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 
-def _same(one: dict[int, np.ndarray], two: dict[int, np.ndarray] | None, longest: int) -> bool:
-    """Whether two sets of bitmaps agree in all lengths that activate longer phrases."""
-    return two is not None and all(
-        np.array_equal(one[k], two[k]) if k in one and k in two else (k in one) == (k in two) for k in range(1, longest))
+def _same(one: dict[int, np.ndarray], two: dict[int, np.ndarray], longest: int) -> bool:
+    """Whether two states agree in all lengths that activate longer phrases."""
+    return all(np.array_equal(one[k], two[k]) if k in one and k in two else (k in one) == (k in two) for k in range(1, longest))
 
 
-def active_keys(shards: list[DataFrame], threshold: int, longest: int, bits: int) -> dict[int, np.ndarray]:
+def reached_keys(shards: list[DataFrame], threshold: int, longest: int, bits: int) -> dict[int, np.ndarray]:
     """Bitmaps, by length, of the keys that reach the threshold once every active phrase has completed its cycle."""
-    visits: list[DataFrame] = []
+    size = len(shards)
     states: list[dict[int, np.ndarray]] = []
     now: dict[int, np.ndarray] = {}
+    running: DataFrame | None = None
     # Phrases of each length need one more cycle at most after the shorter ones.
-    for turn in range(longest * len(shards)):
-        before = states[turn - len(shards)] if turn >= len(shards) else None
+    for turn in range(longest * size):
         states.append(now)
-        if _same(now, before, longest):
-            if all(_same(now, state, longest) for state in states[-len(shards):]):
+        if turn >= size and _same(now, states[turn - size], longest):
+            # Nothing has become active since the last visit to this shard.
+            if all(_same(now, state, longest) for state in states[-size:]):
                 break
             continue
-        visits.append(materialize(_visit(shards[turn % len(shards)], now, before, longest), "phrase-visit"))
-        now = _bitmaps(_reached(visits, threshold), bits)
-    for visit in visits:
-        discard(visit)
+        counted = _visit(shards[turn % size], turn, states, size, longest)
+        rows = counted if running is None else counted.union(running)
+        totals = rows.groupBy("length", "key").agg(F.sum("n").alias("n"), F.max("until").alias("until"))
+        # Phrases that have completed their cycle below the threshold are done with.
+        past, stored = running, materialize(totals.where((F.col("until") > turn) | (F.col("n") >= threshold)), "phrase-counts")
+        if past is not None:
+            discard(past)
+        now = _bitmaps(stored.where(F.col("n") >= threshold), bits, now)
+        running = stored.where(F.col("until") > turn)
+        running._scratch = stored._scratch
+    if running is not None:
+        discard(running)
     return now
 
 
@@ -224,9 +223,8 @@ def scored(counts: DataFrame, threshold: int, share: int, longest: int) -> DataF
     cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("length") - 1))).select(
         "lang", "phrase", "length", "a", "k", _part(F.col("words"), 1, F.col("k")).alias("first"),
         _part(F.col("words"), F.col("k") + 1, F.col("length") - F.col("k")).alias("rest"))
-    side = checked_broadcast(known)
     for name, column in (("first", "l"), ("rest", "r")):
-        cuts = cuts.join(side.select("lang", F.col("phrase").alias(name), F.col("n").alias(column)), ["lang", name])
+        cuts = cuts.join(known.select("lang", F.col("phrase").alias(name), F.col("n").alias(column)), ["lang", name])
 
     def exact(column: str) -> Column:
         return F.col(column).cast("decimal(16,0)")
@@ -275,7 +273,7 @@ def mine(docs: DataFrame, threshold: int = 10, longest: int = 3, share: int = 50
     small_batches(spark)
     bits = 1 << max(0, BITS_PER_DOC * docs.count() - 1).bit_length()
     dealt = _sharded(docs, shards, lang, text)
-    bitmaps = active_keys(dealt, threshold, longest, min(max(bits, LEAST_BITS), MOST_BITS))
+    bitmaps = reached_keys(dealt, threshold, longest, min(max(bits, LEAST_BITS), MOST_BITS))
     every = dealt[0]
     for shard in dealt[1:]:
         every = every.union(shard)
