@@ -112,9 +112,10 @@ def score(docs: DataFrame, text: str = "text", templates: Sequence[tuple[str, st
     held = cut.select("_text_hash", "_size", F.xxhash64("_passage").alias("_passage"), terms(F.col("_passage")).alias("_terms"))
     held = materialize(held.where(F.arrays_overlap("_terms", triggered)).distinct(), "passages")
     each = held.select("_text_hash", "_size", "_passage", F.explode("_terms").alias("term"))
-    outside = checked_broadcast(each.select("term").distinct().join(F.broadcast(known), "term", "left_anti"))
-    common = docs.select(F.explode(terms(F.col(text))).alias("term")).join(outside, "term").groupBy("term").agg(
-        F.count(F.lit(1)).alias("_df"))
+    outside = each.select("term").distinct().join(F.broadcast(known), "term", "left_anti")
+    # Counted by term before the join, so a word of every document is one row.
+    seen = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    common = seen.join(outside, "term")
     others = checked_broadcast(common.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("_df"))) + 1).alias("_other")))
     # All terms enter the norm, those of the templates also the products.
     weighed = each.join(F.broadcast(known), "term", "left").join(others, "term", "left")

@@ -145,9 +145,10 @@ with docs as (
 own as (select template, license, unnest({terms("body")}) as term from templates),
 words as (select distinct term from own),
 seen as (
-    select term, count(*) as df from (select unnest({terms("text")}) as term from docs) semi join words using (term) group by term
+    select term, count(*) as df from (select unnest({terms("text")}) as term from docs) group by term
 ), known as (
-    select term, ln((1 + (select count(*) from docs)) / (1 + coalesce(df, 0))) + 1 as idf from words left join seen using (term)
+    select term, ln((1 + (select count(*) from docs)) / (1 + coalesce(df, 0))) + 1 as idf
+    from (select term from words union select term from seen) left join seen using (term)
 ), shares as (
     select template, license, term, idf / sqrt(sum(idf * idf) over (partition by template)) as share from own join known using (term)
 ), passages as (
@@ -155,8 +156,7 @@ seen as (
 ), held as (select distinct text, {terms("passage")} as terms from passages),
 each as (select text, terms, unnest(terms) as term from held),
 norms as (
-    select text, terms, sqrt(sum(idf * idf) + (len(terms) - count(*)) * pow(ln((1 + (select count(*) from docs)) / 2) + 1, 2)) as norm
-    from each join known using (term) group by text, terms
+    select text, terms, sqrt(sum(idf * idf)) as norm from each join known using (term) group by text, terms
 ), scored as (
     select text, license, max(score) as score from (
         select e.text, e.terms, s.template, s.license, round(sum(k.idf * s.share) / any_value(n.norm), 6) as score

@@ -19,14 +19,13 @@ def brute(texts, threshold=L.THRESHOLD):
         for w in set(L._python_terms(t or "")):
             df[w] = df.get(w, 0) + 1
     vocabulary = {w for _, b in L.TEMPLATES for w in L._python_terms(b)}
-    idf = {w: math.log((1 + len(texts)) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
-    other = math.log((1 + len(texts)) / 2) + 1
+    idf = {w: math.log((1 + len(texts)) / (1 + df.get(w, 0))) + 1 for w in vocabulary | df.keys()}
     out = []
     for t in texts:
         best = []
         for p in (t or "").split("\n") + re.sub(r"([.!?])[ \t\r]+", r"\1\n", t or "").split("\n"):
             own = L._python_terms(p)
-            norm = math.sqrt(sum(idf.get(w, other) ** 2 for w in own))
+            norm = math.sqrt(sum(idf[w] ** 2 for w in own))
             for name, body in L.TEMPLATES:
                 held = L._python_terms(body)
                 dot = sum(idf[w] ** 2 for w in held if w in own) / math.sqrt(sum(idf[w] ** 2 for w in held))
