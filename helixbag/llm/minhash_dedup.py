@@ -9,7 +9,9 @@ filtered by the similarity of the union sketch, each document's best pair is con
 pairs whose ends are still apart.
 
 Long lists may still hold linked documents apart. All their documents that are not yet in one component meet once more in
-an exact prefix join: rarest shingles first, two sets of the wanted similarity share one of their first n - ceil(0.8 n) + 1.
+a prefix join: rarest shingles first, two sets of the wanted similarity share one of their first n - ceil(0.8 n) + 1. Its pairs
+pass the union sketches too, which a linked pair fails with a chance of about 1e-9. Shingles are compared by 64-bit hashes that
+are made from BLAKE2b hashes of their words.
 
 Defined results: a null or blank text has an empty set, is linked with nothing and kept; a null key is linked with nothing,
 has no component and is kept; rows of one key are one document whose texts are all linked; an empty table gives an empty
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from helixbag.llm.components import components
-from helixbag.llm.words import WORD_BASE, Words, flat, mix, slices, small_batches, span_hashes
+from helixbag.llm.words import Words, flat, mix, slices, small_batches, span_hashes
 from helixbag.session import materialize
 
 K, RUN = 64, 3
@@ -49,7 +51,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     starts = np.concatenate([starts, found.first[short]])
     owner = np.concatenate([found.text[starts[: len(starts) - len(short)]], short]).astype(np.int64)
     ends = np.concatenate([starts[: len(starts) - len(short)] + size, found.first[short] + count[short]])
-    values = span_hashes(hashes, starts, ends, WORD_BASE) >> np.uint64(1)
+    values = span_hashes(hashes, starts, ends) >> np.uint64(1)
     order = np.lexsort((values, owner))
     values, owner = values[order], owner[order]
     new = np.ones(len(values), dtype=bool)

@@ -11,7 +11,7 @@ neighbouring windows of one document with one anchor: a path of edges without a
    coordinates of its first occurrence, and joined by their hashes to find the first document of every single window.
 3. Joined to all occurrences, windows with an earlier document mark the words that they cover, and those words go.
 
-Anchors and pieces (or windows) are compared by two independent 64-bit hashes together. A class, an anchor or a passage may
+Anchors and pieces (or windows) are compared by two 64-bit hashes together, made from BLAKE2b hashes of the words. A class, an anchor or a passage may
 fill most of the corpus: counts are pre-aggregated, and joins have one row per class on the other side, which Spark splits.
 
 Defined results: a null text has no words; rows with a null key neither lose words nor count as earlier; rows of one key
@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from helixbag.llm.words import SPACE, WORD_BASE, Words, slices, small_batches, span_hashes
+from helixbag.llm.words import SPACE, Words, slices, small_batches, span_hashes
 from helixbag.session import materialize
 
 WINDOW, ANCHOR = 50, 12
@@ -51,7 +51,7 @@ def cut(found: Words, hashes: np.ndarray, window: int, anchor: int) -> tuple[np.
     if len(hashes) < window:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
     at = np.arange(len(hashes) - anchor + 1)
-    marks = span_hashes(hashes, at, at + anchor, WORD_BASE)
+    marks = span_hashes(hashes, at, at + anchor)
     # The place in the low half makes the leftmost of equal anchors the least.
     order = (marks >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
     place = (_least(order, window - anchor + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -64,7 +64,7 @@ def cut(found: Words, hashes: np.ndarray, window: int, anchor: int) -> tuple[np.
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(start)))
     first, place = start[head], place[head]
-    words = span_hashes(hashes, first, first + count + window - 1, WORD_BASE)
+    words = span_hashes(hashes, first, first + count + window - 1)
     piece = words ^ ((place - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return found.text[first], first, count, marks[place], piece
 
@@ -125,7 +125,7 @@ def _window_hashes(firsts: DataFrame, texts: DataFrame, window: int) -> DataFram
             row = np.repeat(np.arange(len(n)), n)
             j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             at = start[row] + j
-            each = span_hashes(hashes, at, at + window, WORD_BASE)
+            each = span_hashes(hashes, at, at + window)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [flat.field("anchor").take(take), flat.field("piece").take(take), flat.field("n").take(take),

@@ -1,11 +1,12 @@
 """Whole-batch NumPy helpers over Arrow text: words, rolling hashes and row slices of bounded size.
 
-Words are runs of bytes other than 0x20 and 0x09-0x0D. Hashes are 64-bit polynomials over bytes or words, taken from
-prefix sums, so a whole batch is hashed without a Python loop.
+Words are runs of bytes other than 0x20 and 0x09-0x0D. A distinct word of a slice is hashed once, and spans of words from the
+hashes of their halves, so a whole batch is hashed without a Python loop over its words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,17 +15,14 @@ from pyspark.sql import SparkSession
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-# Odd multipliers of the polynomials over bytes and over words.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+# An odd multiplier that tells the left half of a span from the right one.
+LEFT = np.uint64(0x9E3779B97F4A7C15)
 # Bytes of text worked on at once, which take about 60 MB; a longer single text makes a slice of its own.
 SLICE_BYTES = 1_000_000
 
 # Bytes of one Arrow batch between Spark and Python. Rows alone would not bound it, as texts may be very long.
 BATCH_BYTES = 4 << 20
 
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches by bytes; operators with Python stages call this before they plan."""
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -33,23 +31,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, str(BATCH_BYTES))
 
 
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, kept for the worker's next batch."""
-    known = _tables.get(base)
-    if known is None or len(known[0]) < size:
-        length = 1 << max(16, int(size - 1).bit_length())
-        both = []
-        for value in (base, pow(base, -1, 1 << 64)):
-            row = np.full(length, value, dtype=np.uint64)
-            row[0] = 1
-            both.append(np.cumprod(row, dtype=np.uint64))
-        known = (both[0], both[1])
-        # An unusually long text gets its table once; only usual sizes stay in memory.
-        if length <= 4 * SLICE_BYTES:
-            _tables[base] = known
-    return known
-
-
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over their whole range (a bijection)."""
     values = values ^ (values >> np.uint64(33))
@@ -59,12 +40,22 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(33))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hash of values[start:end] for every pair; equal spans hash alike wherever they stand."""
-    power, inverse = _powers(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values.astype(np.uint64) * power[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of values[start:end] for every pair; equal spans hash alike wherever they stand.
+
+    Runs of 1, 2, 4, ... values are hashed from their halves, and a span from the two longest such runs that cover it, with
+    its length. Each step mixes its result, so no sum or product of values is left that chosen repetitions could cancel.
+    """
+    length = ends - starts
+    out = np.zeros(len(length), dtype=np.uint64)
+    runs, size = mix(values.astype(np.uint64)), 1
+    while len(length) and size <= length.max():
+        here = np.flatnonzero((length >= size) & (length < 2 * size))
+        out[here] = mix(runs[starts[here]] * LEFT + runs[ends[here] - size])
+        if 2 * size <= len(values):
+            runs = mix(runs[:-size] * LEFT + runs[size:])
+        size *= 2
+    return mix(out + length.astype(np.uint64))
 
 
 class Words:
@@ -91,11 +82,16 @@ class Words:
         return len(self.starts)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """64-bit hash of each word, A-Z lower-cased on request."""
-        data = self.data
+        """64-bit hash of each word, A-Z lower-cased on request: BLAKE2b of each distinct word of the slice."""
+        inside = ~SPACE[self.data]
+        held = self.data[inside]
         if lower:
-            data = np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data)
-        return span_hashes(data.astype(np.uint64) + np.uint64(1), self.starts, self.ends, BYTE_BASE)
+            held = np.where((held >= 0x41) & (held <= 0x5A), held | 0x20, held)
+        limits = np.concatenate([[0], np.cumsum(self.ends - self.starts)]).astype(np.int64)
+        coded = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(self), [None, pa.py_buffer(limits), pa.py_buffer(held)]).dictionary_encode()
+        drawn = b"".join([hashlib.blake2b(word, digest_size=8).digest() for word in coded.dictionary.to_pylist()])
+        return np.frombuffer(drawn, dtype=np.uint64)[coded.indices.to_numpy()] if len(self) else np.zeros(0, dtype=np.uint64)
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -92,3 +92,17 @@ def test_a_percent_that_would_lose_pairs_is_refused(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     with pytest.raises(ValueError):
         D.near_duplicates(docs, percent=60)
+
+
+def test_words_that_polynomial_hashes_confuse_stay_apart(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, two), (3, f"{one} c"), (4, f"{two} c"), (5, one)]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_a_text_larger_than_a_slice(spark):
+    rng = random.Random(4)
+    long = " ".join(f"{rng.choice('abc')}{rng.randint(0, 9999)}" for _ in range(200_000))
+    rows = [(1, long), (2, long[: len(long) * 9 // 10]), (3, long[: len(long) // 2])]
+    assert found(spark, rows) == brute(rows)

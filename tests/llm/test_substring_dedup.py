@@ -70,3 +70,26 @@ def test_null_and_repeated_keys_empty_table_and_text(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id: r.kept_text for r in S.remove_repeats(docs, with_text=True).where("doc_id = 9 and n_words > 0").collect()}
     assert kept == {9: "x"}
+
+
+def twins():
+    """Two different words of equal sums under polynomial hashes modulo 2**64 with any odd base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse_stay_apart(spark):
+    one, two = twins()
+    near = [f"w{i}" for i in range(25)]
+    rows = [(1, " ".join([*near, one, *near])), (2, " ".join([*near, two, *near])), (3, " ".join([*near, two, *near]))]
+    # Sequences of two words in the same order, too.
+    order = [["x", "y"][bin(i).count("1") % 2] for i in range(64)]
+    rows += [(4, " ".join(order)), (5, " ".join({"x": "y", "y": "x"}[w] for w in order))]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_a_text_larger_than_a_slice(spark):
+    rng = random.Random(4)
+    long = " ".join(f"{rng.choice('abc')}{rng.randint(0, 99999)}" for _ in range(200_000))
+    rows = [(1, long), (2, "own words here " + long[:3000]), (3, long)]
+    assert found(spark, rows) == brute(rows)
