@@ -1,9 +1,11 @@
 """Secret scan: fixed patterns, and assignment-aware lexing of source and configuration syntax.
 
-The lexer starts at every ``:`` or ``=`` of a text, reads the name before it and the expression behind it (quoted strings,
-bare literals and names, joined by ``+``), keeps the constants it has seen in order, resolves names in later expressions,
-and scores what a sensitive name receives. The span of a found literal is reported where the literal stands, so a constant
-that reaches a password through another name is found at its definition.
+The lexer goes forward once from name to name. It reads assignments (``name = value``, ``"name": value``, ``name: type = value``),
+calls (``name(value)``, ``f("name", value)``, ``f(name=value)``), XML elements and YAML blocks. A value is made of quoted strings of
+all kinds, bare literals, names and calls, joined by ``+``; the name of a called function is no literal. Constants are kept in
+order, names in later values are resolved, and what a sensitive name receives is scored. The span of a found literal is reported
+where the literal stands, so a constant that reaches a password through another name is found at its definition. A constant
+keeps references to the constants it is made of and a summary of its characters, so chains of any length take linear time.
 
 Defined results: a null text is empty and has no spans; texts of any length are read whole; each row is scanned by itself,
 so repeated rows and null keys pass through; equal spans found twice are listed once; an empty table gives an empty table;
@@ -39,14 +41,24 @@ PLACEHOLDERS = {"none", "null", "true", "false", "changeme", "example", "placeho
 # Score from which a literal counts, and the least length of a literal.
 THRESHOLD, LEAST = 0.55, 6
 
-OPERATOR = re.compile(r":=|=>|[:=]")
-NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]*)["'\]]?[\x20\t]*\Z""")
-SPACES = re.compile(r"[\x20\t]*")
-TERM = re.compile(r'''"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_+/.~$-]+=*)''')
+# A run that may hold a name, and what makes it the head of an assignment or call. Possessive, so no run is read twice.
+HEAD = re.compile(r"""(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]++)["'\]]{0,2}+[\x20\t]*+(:=|=>|[:=(])""")
+NAME = re.compile(r"[A-Za-z_].*", re.S)
+SPACES = re.compile(r"[\x20\t]*+")
+STRING = r'(?:[rRbBuUfF]{1,2}(?=["\']))?+(?:"""((?:[^"\\]|\\.|"(?!""))*+)"""|\'\'\'((?:[^\'\\]|\\.|\'(?!\'\'))*+)\'\'\'|"((?:[^"\\\n]|\\.)*+)"|\'((?:[^\'\\\n]|\\.)*+)\')'
+TERM = re.compile(STRING + r"|([A-Za-z0-9_+/.~$-]++=*+)", re.S)
+ARGUMENT = re.compile(STRING + r"|([A-Za-z0-9_+/.~$-]++)|([(){}\[\],:=+\n])", re.S)
+DECLARED = re.compile(r"[\x20\t]*+[A-Za-z_][A-Za-z0-9_.\[\]<>|?,\x20]*+=(?![=>])")
+BLOCK = re.compile(r"[\x20\t]*+[|>][+-]?[0-9]?[\x20\t]*+\n")
+LINE = re.compile(r"([\x20\t]*+)([^\n]*+)(?:\n|\Z)")
+ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*+)[^<>]*+>\s*+([^<>]++)</\1\s*+>")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
+PATH = re.compile(r"[A-Za-z_]+(?:\.[A-Za-z_]+)+\Z")
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-# Longest name read before an operator.
-NAME_LENGTH = 120
+# Every sensitive name holds one of these, so other texts need no lexing.
+ROOTS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "salt")
+# Characters counted of a value before the counts are halved; only their proportions matter.
+MOST_COUNTED = 1 << 40
 
 Span = tuple[int, int, int]
 
@@ -70,49 +82,180 @@ def name_weight(name: str) -> float:
     return max((NAME_WEIGHTS.get(p, 0.0) for p in joined), default=0.0)
 
 
-def literal_strength(value: str) -> float:
-    """0 to 1: randomness of a literal from its entropy and its classes of characters."""
-    if len(value) < LEAST or value.lower() in PLACEHOLDERS or len(set(value)) < 4 or re.search(r"\s", value):
-        return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
-    return min(1.0, entropy / 4 * 0.7 + (classes - 1) * 0.15)
-
-
-def lexed_spans(text: str) -> list[Span]:
-    """(start, kind, end) of literals that reach a sensitive name."""
-    found: dict[tuple[int, int], None] = {}
-    constants: dict[str, list[tuple[str, int, int]]] = {}
-    done = 0
-    for operator in OPERATOR.finditer(text):
-        if operator.start() < done:
-            continue
-        before = NAME_BEFORE.search(text, max(done, operator.start() - NAME_LENGTH), operator.start())
-        if not before:
-            continue
-        name, at, parts = before[1], SPACES.match(text, operator.end()).end(), []
+class Value:
+    """A constant: spans of its own literals, the constants it is made of, and a summary of its characters."""
+
+    __slots__ = ("spans", "sources", "length", "counts", "start", "reported")
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
+        self.sources: list[Value] = []
+        self.length, self.counts = 0, {}
+        # The first characters, as many as the longest placeholder has and one more.
+        self.start = ""
+        self.reported = False
+
+    def add(self, text: str, start: int) -> None:
+        self.spans.append((start, start + len(text)))
+        self._count(len(text), Counter(text), text[:SHOWN])
+
+    def use(self, other: Value) -> None:
+        self.sources.append(other)
+        self._count(other.length, other.counts, other.start)
+
+    def _count(self, length: int, counts: dict[str, int], start: str) -> None:
+        self.start = (self.start + start)[:SHOWN] if self.length < SHOWN else self.start
+        self.length += length
+        for c, n in counts.items():
+            self.counts[c] = self.counts.get(c, 0) + n
+        if self.length > MOST_COUNTED:
+            self.length >>= 1
+            self.counts = {c: max(1, n >> 1) for c, n in self.counts.items()}
+
+    def strength(self) -> float:
+        """0 to 1: randomness of the literal from its entropy and its classes of characters."""
+        seen = self.counts
+        if self.length < LEAST or self.start.lower() in PLACEHOLDERS or len(seen) < 4 or any(c.isspace() for c in seen):
+            return 0.0
+        n = sum(seen.values())
+        entropy = -sum(c / n * math.log2(c / n) for c in seen.values())
+        kinds = {"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "." for c in seen}
+        return min(1.0, entropy / 4 * 0.7 + (len(kinds) - 1) * 0.15)
+
+    def report(self, found: dict[tuple[int, int], None]) -> None:
+        """Add the spans of the value and of all it is made of, each constant once."""
+        waiting = [self]
+        while waiting:
+            value = waiting.pop()
+            if not value.reported:
+                value.reported = True
+                found.update((span, None) for span in value.spans if span[1] > span[0])
+                waiting += value.sources
+
+
+SHOWN = max(map(len, PLACEHOLDERS)) + 1
+
+
+class Lexer:
+    """One forward pass over a text."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.constants: dict[str, Value] = {}
+        self.found: dict[tuple[int, int], None] = {}
+
+    def receive(self, name: str, value: Value) -> None:
+        weight = name_weight(name)
+        if weight and weight * 0.4 + value.strength() * 0.6 >= THRESHOLD:
+            value.report(self.found)
+
+    def call(self, at: int, value: Value) -> int:
+        """Read arguments up to the closing bracket or the line's end; strings and known names go to ``value``. A string or
+        name with a string behind a comma, colon or equals sign is a pair of its own."""
+        depth, name, text = 1, None, self.text
+        pending, last = None, ""
+        for token in ARGUMENT.finditer(text, at):
+            mark, word = token[6], token[5]
+            at = token.end()
+            if mark:
+                last = mark
+                if mark in "([{":
+                    depth += 1
+                elif mark in ")]}":
+                    depth -= 1
+                if depth == 0 or mark == "\n":
+                    break
+                if mark in ",:=" and pending is not None:
+                    name, pending = pending, None
+                elif mark not in "([{":
+                    name = pending = None
+                continue
+            if word is not None:
+                if word in self.constants:
+                    value.use(self.constants[word])
+                    if name:
+                        self.receive(name, self.constants[word])
+                pending, name = word, None
+                continue
+            which = next(i for i in range(1, 5) if token[i] is not None)
+            literal, start = token[which], token.start(which)
+            if name:
+                own = Value()
+                own.add(literal, start)
+                self.receive(name, own)
+            # A sensitive name given as a string is no secret itself.
+            if not (IDENTIFIER.match(literal) and name_weight(literal)):
+                value.add(literal, start)
+            pending, name = literal, None
+        return at
+
+    def expression(self, at: int) -> tuple[Value | None, int]:
+        """The value at a place, and where it ends."""
+        text, value = self.text, Value()
+        at = SPACES.match(text, at).end()
+        end = at
         while term := TERM.match(text, at):
-            quoted = term[1] if term[1] is not None else term[2]
-            start = term.start() + (quoted is not None)
-            value = quoted if quoted is not None else term[3]
-            if quoted is None and IDENTIFIER.match(value) and value in constants:
-                parts += constants[value]
-            else:
-                parts.append((value, start, start + len(value)))
-            at = term.end()
-            plus = SPACES.match(text, at).end()
+            bare, end = term[5], term.end()
+            if bare is None:
+                which = next(i for i in range(1, 5) if term[i] is not None)
+                value.add(term[which], term.start(which))
+            elif text[end : end + 1] == "(":
+                end = self.call(end + 1, value)
+            elif bare in self.constants and IDENTIFIER.match(bare):
+                value.use(self.constants[bare])
+            elif not PATH.match(bare):
+                value.add(bare, term.start())
+            plus = SPACES.match(text, end).end()
             if text[plus : plus + 1] != "+":
                 break
             at = SPACES.match(text, plus + 1).end()
-        if not parts:
-            continue
-        done = at
-        constants[name] = parts
-        weight = name_weight(name)
-        if weight and weight * 0.4 + literal_strength("".join(p[0] for p in parts)) * 0.6 >= THRESHOLD:
-            found.update(((start, end), None) for value, start, end in parts if end > start)
-    return [(start, 3, end) for start, end in found]
+        return (value if value.spans or value.sources else None), end
+
+    def block(self, head: int, at: int) -> tuple[Value, int]:
+        """The lines below a YAML key that are further in than it."""
+        text, value = self.text, Value()
+        line = text.rfind("\n", 0, head) + 1
+        inside = SPACES.match(text, line).end() - line
+        while at < len(text) and (row := LINE.match(text, at)) and (not row[2] or len(row[1]) > inside):
+            if body := row[2].rstrip():
+                value.add(body, row.start(2))
+            at = row.end()
+        return value, at
+
+    def run(self) -> list[Span]:
+        text, at = self.text, 0
+        while head := HEAD.search(text, at):
+            at = head.end()
+            named = NAME.search(head[1])
+            name = named[0] if named else ""
+            if head[2] == "(":
+                value = Value()
+                at = self.call(at, value)
+                self.receive(name, value)
+                continue
+            if not name:
+                continue
+            if head[2] == ":" and (opened := BLOCK.match(text, at)):
+                value, at = self.block(head.start(), opened.end())
+            else:
+                if head[2] == ":" and (declared := DECLARED.match(text, at)):
+                    at = declared.end()
+                value, at = self.expression(at)
+            if value is not None:
+                self.constants[name] = value
+                self.receive(name, value)
+        if "</" in text:
+            for element in ELEMENT.finditer(text):
+                value = Value()
+                value.add(element[2].rstrip(), element.start(2))
+                self.receive(element[1], value)
+        return [(start, KINDS.index("lexed"), end) for start, end in sorted(self.found)]
+
+
+def lexed_spans(text: str) -> list[Span]:
+    """(start, kind, end) of literals that reach a sensitive name."""
+    low = text.lower()
+    return Lexer(text).run() if any(root in low for root in ROOTS) else []
 
 
 def written(spans: list[Span]) -> str:
@@ -122,7 +265,7 @@ def written(spans: list[Span]) -> str:
 def scan_text(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and base and lexed spans together, both in order."""
     base = base_spans(text)
-    more = lexed_spans(text) if ("=" in text or ":" in text) else []
+    more = lexed_spans(text)
     return base, sorted(base + more) if more else base
 
 

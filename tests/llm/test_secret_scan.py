@@ -1,4 +1,5 @@
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -43,6 +44,29 @@ def test_lexer_follows_constants_and_concatenation():
     assert lexed("x = 1; y := 2; note => 3; password") == []
 
 
+def test_lexer_reads_many_kinds_of_syntax():
+    secret = "Zk3!pQ9v_Lm2"
+    for text in (f"const a: string = '{secret}';\npassword = a", f'password = decode(x, "{secret}")', f'setPassword("{secret}")',
+                 f'put("db_password", "{secret}")', f"connect(user='me', password='{secret}')", f'password = """{secret}"""',
+                 f"<db><password>{secret}</password></db>", f"password: |\n  {secret}\nother: 1", f"  password: >-\n    {secret}\n  other: 1",
+                 f"password: Optional[str] = b'{secret}'", f'it\'s config["password"] = "{secret}" isn\'t it', f'{{"password": "{secret}"}}'):
+        assert lexed(text) == [secret], text
+    assert lexed("pwd = os.environ.get('DB_PASSWORD')\npassword = config.db.password") == []
+    assert lexed(f"password: |\nother: {secret}") == []
+
+
+def test_long_names_chains_and_runs_take_linear_time():
+    begin = time.time()
+    assert lexed("password_" + "a" * 10_000 + ' = "Zk3!pQ9v_Lm2"') == ["Zk3!pQ9v_Lm2"]
+    doubled = 'a0 = "Zk3!pQ9v"\n' + "".join(f"a{i} = a{i - 1} + a{i - 1}\n" for i in range(1, 10_000)) + "password = a9999"
+    assert lexed(doubled) == ["Zk3!pQ9v"]
+    added = 'a0 = "Zk3!pQ9v"\n' + "".join(f'a{i} = a{i - 1} + "{i}"\npassword_{i} = a{i}\n' for i in range(1, 10_000))
+    assert len(lexed(added)) == 10_000
+    for run in ("key" * 300_000, "a=f(" * 100_000 + "key", "<key" * 100_000, '"""key' * 100_001, "key: |\n" * 50_000, "key = 'x" * 50_000):
+        lexed(run)
+    assert time.time() - begin < 30
+
+
 def test_redaction_findings_and_odd_tables(spark):
     text = 'a token = "ffc3105535f423f352535e4ac53b5fefe076ac6d" b'
     docs = spark.createDataFrame([(1, text, 5), (1, text, 5), (None, None, None)], "doc_id long, text string, kind int")
