@@ -376,9 +376,17 @@ MERGES = (("A", "C"), ("G", "T"), ("AC", "GT"), ("C", "A"), ("T", "A"), ("AC", "
 MODEL = BpeModel(("X", "A", "C", "G", "T", *[a + b for a, b in MERGES]), MERGES)
 
 
-def encode_sql(source):
+# A merge list too long for replacements, by rule: bases to pairs, pairs to fours, then longer tokens of some fours.
+PAIRS = [a + b for a in "ACGT" for b in "ACGT"]
+LONG_MERGES = (
+    *[(p[0], p[1]) for p in PAIRS], *[(a, b) for a in PAIRS for b in PAIRS], *[(p + p, p + p) for p in PAIRS],
+    *[("AC" + p, b) for p in PAIRS for b in "ACGT"], *[("GT" + p, p) for p in PAIRS])
+LONG_MODEL = BpeModel(("X", "A", "C", "G", "T", *[a + b for a, b in LONG_MERGES]), LONG_MERGES)
+
+
+def encode_sql(source, merges=MERGES):
     text = "regexp_replace(x, '(.)', '|\\1|', 'g')"
-    for a, b in MERGES:
+    for a, b in merges:
         text = f"replace({text}, '|{a}||{b}|', '|{a}{b}|')"
     return f"""
 select genome, contig_idx, unnest(string_split({text}, '|')) as term
@@ -386,7 +394,12 @@ from (select genome, contig_idx, {CLEAN} as x from {source}
       union all select genome, contig_idx, {REVERSE.format(x=CLEAN)} as x from {source})"""
 
 
-ENCODED = f"select genome, term, count(*) as tf from ({encode_sql('contigs')}) where length(term) > 2 and not contains(term, 'X') group by 1, 2"
+def encoded_sql(merges):
+    return (f"select genome, term, count(*) as tf from ({encode_sql('contigs', merges)}) "
+            "where length(term) > 2 and not contains(term, 'X') group by 1, 2")
+
+
+ENCODED = encoded_sql(MERGES)
 
 
 @query("bpe_encode", ENCODED)
@@ -394,6 +407,11 @@ def _(t):
     return T.term_counts(bpe_encode(t.contigs(), MODEL))
 
 
+@query("bpe_encode_long", encoded_sql(LONG_MERGES))
+def _(t):
+    return T.term_counts(bpe_encode(t.contigs(), LONG_MODEL))
+
+
 @query("sentence_tfidf", weights_sql(ENCODED))
 def _(t):
     from helixbag.operators.bpe import bpe_tokenizer

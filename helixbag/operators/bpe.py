@@ -6,10 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from helixbag.functions.sequence import clean_seq, keep_tokens, reverse_complement
+from helixbag.operators.merge_kernel import MergeKernel, in_order
 from helixbag.session import discard, materialize
 
 # The special token, the start alphabet, and the least pair count worth a merge.
@@ -236,6 +238,18 @@ def heap_encode(text: Column, model: BpeModel, spark) -> Column:
     return encode(text)
 
 
+def kernel_encode(text: Column, model: BpeModel, spark) -> Column:
+    """Tokens of a text for long merge lists whose ranks rise: an Arrow function that merges whole batches at once."""
+    # At most the vocabulary size, a parameter of the model.
+    shared = spark.sparkContext.broadcast(model.merges)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from MergeKernel(shared.value, SPECIAL).encode_batches(batches)
+
+    return encode(text)
+
+
 def bpe_tokenizer(model: BpeModel, spark):
     """A function from a text column to its token array; the mask symbol splits the text beforehand."""
     usable = tuple(m for m in model.merges if SPECIAL not in m[0] + m[1])
@@ -243,6 +257,8 @@ def bpe_tokenizer(model: BpeModel, spark):
     if len(usable) <= FOLD_MERGES and unique:
         return lambda text: fold_encode(text, usable)
     plain = BpeModel(model.tokens, usable)
+    if in_order(usable):
+        return lambda text: kernel_encode(text, plain, spark)
     return lambda text: heap_encode(text, plain, spark)
 
 

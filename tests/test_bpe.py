@@ -1,11 +1,15 @@
 """Subword learning and encoding against the public tokenizer library and by hand."""
 
+import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from helixbag.operators import bpe as B
+from helixbag.operators import merge_kernel
+from helixbag.operators.merge_kernel import MergeKernel, in_order
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -55,6 +59,69 @@ def test_fold_equals_heap_for_merges_with_tokens_of_their_own(spark):
         B.fold_encode(F.col("s"), (("A", "C"), ("AC", "A"), ("C", "A"), ("A", "CA")))
 
 
+def repetitive(n, length, seed):
+    """Texts of shared motifs, as genes are, so that long tokens are learned."""
+    rng = random.Random(seed)
+    motifs = ["".join(rng.choices("ACGT", (10, 6, 5, 8), k=rng.randint(5, 40))) for _ in range(200)]
+    return ["".join(rng.choice(motifs) if rng.random() < 0.5 else "".join(rng.choices("ACGT", k=20))
+                    for _ in range(length // 20)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("size,sentences", [(300, 200), (2_000, 300), (32_000, 6_000)])
+def test_kernel_equals_the_library(size, sentences):
+    tok = tokenizers.SentencePieceBPETokenizer(add_prefix_space=False)
+    tok.train_from_iterator([repetitive(sentences, 900, 7)], show_progress=False, initial_alphabet=list("ACGT"),
+                            vocab_size=size, special_tokens=["X"], min_frequency=2)
+    found = json.loads(tok.to_str())["model"]["merges"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in found]
+    assert len(merges) == size - 5 and in_order(merges)
+    texts = [*repetitive(20, 4_000, 8), "", "A", "A" * 1_001, "AC" * 700, "ACGTT" * 90, "C"]
+    got = MergeKernel(merges, "X").encode(texts).to_pylist()
+    assert got == [tok.encode(t).tokens for t in texts]
+
+
+def test_kernel_equals_heap_on_drawn_merges():
+    rng = random.Random(9)
+    for _ in range(150):
+        tokens, merges = list("ACG"), []
+        for _ in range(rng.randint(1, 40)):
+            pair = rng.choice(tokens), rng.choice(tokens)
+            if pair[0] + pair[1] not in tokens:
+                merges.append(pair)
+                tokens.append("".join(pair))
+        texts = ["".join(rng.choices("ACGXN", (5, 5, 5, 1, 1), k=rng.randint(0, 60))) for _ in range(20)] + [None]
+        if not in_order(merges):
+            with pytest.raises(ValueError):
+                MergeKernel(merges)
+            continue
+        rank = {m: i for i, m in enumerate(merges)}
+        want = [None if t is None else [x for part in t.split("X") for x in B._segment_tokens(part, rank)] for t in texts]
+        kernel = MergeKernel(merges, "X")
+        assert kernel.encode(texts).to_pylist() == want
+        assert [r for b in kernel.encode_batches(iter([pa.array(texts, pa.string()), pa.array([], pa.string())])) for r in b.to_pylist()] == want
+
+
+def test_slices_of_a_batch_join(monkeypatch):
+    monkeypatch.setattr(merge_kernel, "SLICE_LETTERS", 10)
+    kernel = MergeKernel([("A", "C"), ("AC", "AC")])
+    texts = ["ACACAC", None, "", "ACAC" * 9, "CA"]
+    got = pa.concat_arrays(list(kernel.encode_batches(iter([pa.array(texts)])))).to_pylist()
+    assert got == [["ACAC", "AC"], None, [], ["ACAC"] * 9, ["C", "A"]]
+
+
+def test_ranks_that_fall_are_told():
+    assert in_order([("A", "C"), ("AC", "G"), ("AC", "AC")])
+    assert not in_order([("AC", "G"), ("A", "C")])
+    assert not in_order([("A", "C"), ("C", "G"), ("AC", "G"), ("A", "CG")])
+
+
+def test_kernel_as_a_column(spark):
+    frame = spark.createDataFrame([(1, "ACGTACNXAC"), (2, None), (3, "")], "id int, s string")
+    model = B.BpeModel((), (("A", "C"), ("G", "T"), ("AC", "GT")))
+    got = {r["id"]: r["t"] for r in frame.select("id", B.kernel_encode(F.col("s"), model, spark).alias("t")).collect()}
+    assert got == {1: ["ACGT", "AC", "N", "AC"], 2: None, 3: []}
+
+
 def test_small_corpus_by_hand(spark):
     # AB-like toy: AC occurs 6 times, then ACG 5 times; nothing else reaches 5.
     rows = [("ACG",)] * 5 + [("ACT",)]
