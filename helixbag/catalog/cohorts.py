@@ -84,11 +84,36 @@ def _(t):
     return measured(t).select("path", "label", "cluster")
 
 
-@query("cluster_quality")
-def _(t):
-    return C.cluster_quality(measured(t).drop("cluster"), k=64).groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("n"), F.min("fraction_covered").alias("low"), F.max("fraction_covered").alias("high")
-    )
+CLUSTERS, CLUSTER_ROUNDS = 512, 12
+
+
+def cluster_sql(k, rounds):
+    """The centres of each round as a table of its own."""
+    steps = [f"""
+valued as (select path, label, cast(round(fraction_covered * 1000000000) as bigint) as v from measured),
+counted as (select v, count(*) as n, row_number() over (order by v) - 1 as r from valued group by v),
+centres0 as (
+    select row_number() over (order by v) - 1 as i, v as c from counted
+    where (select count(*) from counted) <= {k}
+       or r in (select unnest(range({k})) * ((select count(*) from counted) - 1) // {k - 1}))"""]
+    for step in range(rounds):
+        steps.append(f"""
+ranges{step} as (
+    select i, c, coalesce((c + lag(c) over (order by i)) // 2, -1) as low,
+        coalesce((c + lead(c) over (order by i)) // 2, 9000000000000000000) as high from centres{step}),
+centres{step + 1} as materialized (
+    select i, coalesce(cast(sum(cast(v as hugeint) * n) // sum(n) as bigint), c) as c
+    from ranges{step} left join counted on v > low and v <= high group by i, c)""")
+    steps.append(f"""
+ends as (select i, coalesce((c + lead(c) over (order by i)) // 2, 9000000000000000000) as high,
+    coalesce((c + lag(c) over (order by i)) // 2, -1) as low from centres{rounds})
+select path, label, cast(i as int) as cluster from valued join ends on v > low and v <= high""")
+    return "with " + ",".join(steps[:-1]) + "," + steps[-1]
+
+
+@query("cluster_quality", cluster_sql(CLUSTERS, CLUSTER_ROUNDS))
+def _(t):
+    return C.cluster_quality(measured(t).drop("cluster"), CLUSTERS, CLUSTER_ROUNDS).select("path", "label", "cluster")
 
 
 @query("balance_quality", """

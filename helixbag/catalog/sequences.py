@@ -86,17 +86,31 @@ def _(t):
     return P.join_contigs(t.contigs(), per_piece=None)
 
 
-@query("kmer_extract", """
+KMERS34 = """
 select genome, contig_idx, term, count(*) as n
 from (select genome, contig_idx, substr(x, cast(i as int), k) as term, k
       from (select *, unnest(range(1, length(x) - k + 2)) as i
             from (select genome, contig_idx, regexp_replace(seq, '[BD-FH-SU-Z]+', 'X', 'g') as x from contigs)
             cross join (values (3), (4)) v(k)))
-where regexp_full_match(term, '[ACGT]+') group by 1, 2, 3""")
+where regexp_full_match(term, '[ACGT]+') group by 1, 2, 3"""
+
+
+@query("kmer_extract", KMERS34)
 def _(t):
     return T.kmer_extract(t.contigs(), 3, 4).groupBy("genome", "contig_idx", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("kmer_extract_sql", KMERS34)
+def _(t):
+    # The same in SQL alone, with the library's table function.
+    from helixbag.functions.sql import register_functions
+
+    register_functions(t.spark)
+    return t.spark.sql("""
+        select genome, contig_idx, term, count(*) as n
+        from (select genome, contig_idx, clean_seq(seq) as seq from {contigs}) c, lateral kmers(seq, 3, 4) group by genome, contig_idx, term""", contigs=t.contigs())
+
+
 WORDS3 = """(select a.c || b.c || d.c as term from (values ('A'), ('C'), ('G'), ('T')) a(c)
  cross join (values ('A'), ('C'), ('G'), ('T')) b(c) cross join (values ('A'), ('C'), ('G'), ('T')) d(c))"""
 

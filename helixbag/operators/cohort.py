@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from helixbag.functions.ranks import draw_key, hash_rank
+from helixbag.functions.ranks import draw_key, hash_rank, running_sums
 from helixbag.functions.sequence import file_stem
 from helixbag.session import checked_broadcast
 
@@ -24,6 +22,8 @@ PHENOTYPES = [
 CARRIER = "carrier"
 SPECIES = "Neisseria meningitidis"
 PARTITIONS = ("training", "validation", "test")
+# Steps of the quality feature that clusters tell apart, and most rounds of moving centres.
+GRID, CLUSTER_ROUNDS = 1_000_000_000, 50
 
 
 def filter_cohort(genomes: DataFrame, species: str = SPECIES, complete: int = 0,
@@ -100,13 +100,42 @@ def quality_histogram(df: DataFrame, bins: int = 20) -> DataFrame:
     return df.groupBy(slot.alias("bin"), "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cluster_quality(df: DataFrame, k: int = 512, seed: int = 0) -> DataFrame:
-    """1-D k-means of the quality feature; adds ``cluster``."""
-    steps = Pipeline(stages=[
-        VectorAssembler(inputCols=["fraction_covered"], outputCol="_point"),
-        KMeans(k=k, seed=seed, featuresCol="_point", predictionCol="cluster"),
-    ])
-    return steps.fit(df).transform(df).drop("_point")
+def cluster_quality(df: DataFrame, k: int = 512, rounds: int = CLUSTER_ROUNDS, col: str = "fraction_covered") -> DataFrame:
+    """One-dimensional k-means of the quality feature; adds ``cluster``, numbered by value (null without a value).
+
+    Values are whole numbers of a billionth, counted once each. Centres begin at even ranks of the distinct values and move to
+    the mean of their range, rounded down, until they stay or ``rounds`` are over; a centre without values stays. A range ends
+    halfway to the next centre. Sums are whole numbers, so every run gives the same clusters. Only centres, their sums and
+    their counts come to the driver, ``k`` rows a round.
+    """
+    grid = F.round(F.col(col) * GRID).cast("bigint")
+    counted = df.select(grid.alias("_value")).where("_value is not null").groupBy("_value").agg(F.count(F.lit(1)).alias("_n"))
+    values = running_sums(counted.withColumn("_one", F.lit(1)), "_value", {"_rank": "_one"})
+    size = counted.count()
+    if not size:
+        return df.withColumn("cluster", F.lit(None).cast("int"))
+    first = {i * (size - 1) // (k - 1) for i in range(k)} if 1 < k < size else set(range(size)) if k > 1 else {0}
+    centres = sorted(r[0] for r in values.where(F.col("_rank").isin(sorted(first))).select("_value").collect())
+
+    def ranged(rows: DataFrame, value: str, centres: list[int]) -> DataFrame:
+        # Bounds lie between whole numbers, which doubles hold exactly.
+        ends = [(a + b) // 2 + 0.5 for a, b in zip(centres, centres[1:])]
+        if not ends:
+            return rows.withColumn("cluster", F.when(F.col(value).isNotNull(), 0))
+        splits = [-float("inf"), *ends, float("inf")]
+        found = Bucketizer(splits=splits, inputCol=value, outputCol="_cluster", handleInvalid="keep").transform(rows)
+        return found.withColumn("cluster", F.when(F.col(value).isNotNull(), F.col("_cluster")).cast("int")).drop("_cluster")
+
+    for _ in range(rounds):
+        sums = ranged(values, "_value", centres).groupBy("cluster").agg(
+            F.sum(F.col("_value").cast("decimal(20,0)") * F.col("_n")).alias("s"), F.sum("_n").alias("n")).collect()
+        moved = list(centres)
+        for row in sums:
+            moved[row["cluster"]] = int(row["s"]) // row["n"]
+        if moved == centres:
+            break
+        centres = moved
+    return ranged(df.withColumn("_value", grid), "_value", centres).drop("_value")
 
 
 def bin_quality(df: DataFrame, bins: int = 512) -> DataFrame:

@@ -24,7 +24,7 @@ def prepare_dataset(genomes: DataFrame, contigs: DataFrame, task: str, num_val:
     labelled = labelled.withColumn("genome", C.genome_id_from_path(F.col("path")).cast("bigint"))
     quality = C.fraction_covered(contigs, num_contigs)
     measured = materialize(labelled.join(quality, "genome"), "quality")
-    balanced = C.balance_quality(C.cluster_quality(measured, n_clusters, seed), seed=seed)
+    balanced = C.balance_quality(C.cluster_quality(measured, n_clusters), seed=seed)
     # k-means draws its start points from the data order, so its outcome is fixed before it is used twice.
     balanced = materialize(balanced.select("path", "genome", "label"), "balanced")
     return C.stratified_split(balanced, num_val, num_test, seed=seed)

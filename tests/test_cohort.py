@@ -69,13 +69,39 @@ def test_split_needs_more_rows_than_it_holds_out(spark):
         C.stratified_split(df, 10, 20).collect()
 
 
-def test_kmeans_clusters_are_intervals(spark):
-    rng = random.Random(2)
-    df = spark.createDataFrame([(i, rng.random()) for i in range(300)], "i int, fraction_covered double")
-    spans = C.cluster_quality(df, k=10).groupBy("cluster").agg(
-        F.min("fraction_covered").alias("a"), F.max("fraction_covered").alias("b")).orderBy("a").collect()
-    assert 2 <= len(spans) <= 10
-    assert all(x["b"] < y["a"] for x, y in zip(spans, spans[1:]))
+def lloyd(values, k, rounds):
+    """Clusters of whole numbers by moving centres, each value compared with every centre."""
+    distinct = sorted(set(values))
+    m = len(distinct)
+    centres = [distinct[i] for i in sorted({i * (m - 1) // (k - 1) for i in range(k)})] if k < m else distinct
+
+    def nearest(v):
+        return next(i for i in range(len(centres)) if i + 1 == len(centres) or 2 * v <= 2 * ((centres[i] + centres[i + 1]) // 2))
+
+    for _ in range(rounds):
+        groups = {}
+        for v in values:
+            groups.setdefault(nearest(v), []).append(v)
+        centres = [sum(groups[i]) // len(groups[i]) if i in groups else c for i, c in enumerate(centres)]
+    return [nearest(v) for v in values]
+
+
+@pytest.mark.parametrize("k,n", [(10, 300), (40, 60), (100, 30), (2, 7)])
+def test_clusters_equal_moving_every_centre(spark, k, n):
+    rng = random.Random(k)
+    values = [round(rng.choice([rng.random(), rng.random() ** 4, 0.5]), 9) for _ in range(n)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, fraction_covered double")
+    got = {r["i"]: r["cluster"] for r in C.cluster_quality(df, k, 8).collect()}
+    assert [got[i] for i in range(n)] == lloyd([round(v * 10**9) for v in values], k, 8)
+
+
+def test_clusters_of_odd_tables(spark):
+    schema = "i int, fraction_covered double"
+    same = C.cluster_quality(spark.createDataFrame([(1, 0.5), (2, 0.5), (3, None)], schema), 5).orderBy("i").collect()
+    assert [r["cluster"] for r in same] == [0, 0, None]
+    assert C.cluster_quality(spark.createDataFrame([], schema)).collect() == []
+    one = C.cluster_quality(spark.createDataFrame([(1, 0.1), (2, 0.9)], schema), 1).collect()
+    assert [r["cluster"] for r in one] == [0, 0]
 
 
 def test_lists_and_names(spark):

@@ -64,3 +64,24 @@ def test_chunks_and_token_filter(spark):
 
 def test_file_stem(spark):
     assert column(spark, ["/a/b/12.fasta", "12.fasta", "a/b", "x.y.z"], Q.file_stem) == ["12", "12", "b", "x.y"]
+
+
+def test_sql_functions_equal_the_column_functions(spark):
+    from helixbag.functions import sequence as S
+    from helixbag.functions.sql import register_functions
+    from helixbag.operators.terms import kmer_extract
+
+    assert register_functions(spark) == ["clean_seq", "reverse_complement", "mask_interval", "strands", "kmers"]
+    texts = ["ACGTNNRYACGGTTACG", "", "acgtNX", "A" * 40, "ACG" * 30 + "N", None]
+    frame = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "genome int, contig_idx int, seq string")
+    frame.createOrReplaceTempView("sql_contigs")
+    got = spark.sql("select contig_idx, clean_seq(seq) a, reverse_complement(seq) b, mask_interval(seq, 3, 6, 2) c, "
+                    "mask_interval(seq, 30, 20, 0) d from sql_contigs").collect()
+    want = frame.select("contig_idx", S.clean_seq(F.col("seq")), S.reverse_complement(F.col("seq")),
+                        S.mask_interval(F.col("seq"), F.lit(3), F.lit(6), 2), F.col("seq")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+    both = spark.sql("select contig_idx, strand, text from sql_contigs, lateral strands(seq) where contig_idx = 0").collect()
+    assert {(r["strand"], r["text"]) for r in both} == {("+", "ACGTXACGGTTACG"), ("-", "CGTAACCGTXACGT")}
+    plan = spark.sql("select contig_idx, term from sql_contigs, lateral kmers(seq, 2, 4)")
+    assert sorted(map(tuple, plan.collect())) == sorted(map(tuple, kmer_extract(frame, 2, 4).select("contig_idx", "term").collect()))
+    assert "Python" not in plan._jdf.queryExecution().toString()
