@@ -19,12 +19,13 @@ columns are not used.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from xxhash import xxh3_64_intdigest
 
 from helixbag.llm.words import flat, mix, small_batches
 from helixbag.session import checked_broadcast, discard, materialize, scratch_path
@@ -33,9 +34,15 @@ SHARDS = 2
 # Bits of a bitmap for each document, and the least and most bits (8 MB) of one.
 BITS_PER_DOC, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 26
 
-BLANK, BORDER = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
-BLANK[[0x20, 0x09]] = True
-BORDER[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# Rows of exact counts that a worker adds up at once, about 50 MB.
+HELD_ROWS = 600_000
+
+# Bytes in lower case; and by kind: 0 in words, 1 between words, 2 between pieces.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+KIND = np.zeros(256, dtype=np.uint8)
+KIND[[0x20, 0x09]] = 1
+KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 COUNTS = "length int, key bigint, n bigint, until int"
 
 
@@ -44,9 +51,9 @@ class Phrases:
 
     def __init__(self, texts: pa.Array, langs: pa.Array):
         data, offsets = flat(texts)
-        data = np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data)
-        border = BORDER[data]
-        inside = ~(BLANK[data] | border)
+        data = LOWER[data]
+        kind = KIND[data]
+        inside = kind == 0
         opens, closes = inside.copy(), inside.copy()
         opens[1:] &= ~inside[:-1]
         closes[:-1] &= ~inside[1:]
@@ -55,27 +62,27 @@ class Phrases:
         opens[first[inside[first]]] = True
         closes[last[inside[last]]] = True
         starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        self.text = np.searchsorted(offsets, starts, side="right") - 1
-        piece = np.cumsum(border, dtype=np.int32)[starts] if len(starts) else starts
+        self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
+        piece = np.cumsum(kind == 2, dtype=np.int32)[starts] if len(starts) else starts
         self.next = (self.text[1:] == self.text[:-1]) & (piece[1:] == piece[:-1])
-        limits = np.concatenate([[0], np.cumsum(ends - starts)])
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [
-            None, pa.py_buffer(limits.astype(np.int64)), pa.py_buffer(data[inside])]).dictionary_encode()
-        self.words = words.dictionary.to_pylist()
+        limits = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(starts), [None, pa.py_buffer(limits), pa.py_buffer(data[inside])]).dictionary_encode()
+        self.words = words.dictionary
         self.word = words.indices.to_numpy().astype(np.int64)
         coded = langs.dictionary_encode()
-        self.langs = coded.dictionary.to_pylist()
+        self.langs = coded.dictionary
         self.lang = coded.indices.to_numpy().astype(np.int64)[self.text]
 
     def keys(self, longest: int) -> list[np.ndarray]:
         """For each length the keys of the phrases that begin at each word, and where they stay inside a piece."""
-        def drawn(values: list) -> np.ndarray:
-            raw = b"".join(hashlib.blake2b(v, digest_size=8).digest() for v in values)
-            return np.frombuffer(raw, dtype=np.uint64)
-
         if not len(self.word):
             return [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))] * longest
-        own = mix(drawn(self.words)[self.word] + drawn([x.encode() for x in self.langs])[self.lang])
+        limits = np.frombuffer(self.words.buffers()[1], dtype=np.int64)[: len(self.words) + 1].tolist()
+        raw = self.words.buffers()[2].to_pybytes()
+        drawn = np.fromiter((xxh3_64_intdigest(raw[a:b]) for a, b in zip(limits, limits[1:])), dtype=np.uint64, count=len(self.words))
+        kinds = np.array([xxh3_64_intdigest(lang) for lang in self.langs.to_pylist()], dtype=np.uint64)
+        own = mix(drawn[self.word] + kinds[self.lang])
         at, key = np.arange(len(own)), own
         found = [(key, at)]
         for length in range(2, longest + 1):
@@ -85,6 +92,15 @@ class Phrases:
         return found
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and how often each occurs."""
+    values = np.sort(values)
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    at = np.flatnonzero(new)
+    return values[at], np.diff(np.append(at, len(values)))
+
+
 def _has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     index = keys & np.uint64(64 * len(bitmap) - 1)
     return (bitmap[(index >> np.uint64(6)).astype(np.int64)] >> (index & np.uint64(63))) & np.uint64(1) > 0
@@ -110,21 +126,18 @@ def _visit(shard: DataFrame, turn: int, states: list[dict[int, np.ndarray]], sha
         for batch in batches:
             found = Phrases(batch.column("text"), batch.column("lang")).keys(longest)
             for length, (keys, _) in enumerate(found, 1):
-                if length == 1:
-                    if turn >= shards:
-                        continue
-                    until = np.full(len(keys), shards - 1)
-                else:
-                    # Visits in a row, this one included, at which a phrase has been active.
-                    times = np.zeros(len(keys), dtype=np.int64)
+                # Visits in a row, this one included, at which a phrase has been active; words are from the first one on.
+                times = np.full(len(keys), turn + 1, dtype=np.int64)
+                if length > 1:
+                    times[:] = 0
                     for back, state in enumerate(shared.value):
                         times += (times == back) & _active(found, length, state)
-                    fresh = (times > 0) & (times <= shards)
-                    keys, until = keys[fresh], turn + shards - times[fresh]
-                each, first, n = np.unique(keys, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(each), length, dtype=np.int32)), pa.array(each.view(np.int64)), pa.array(n.astype(np.int64)),
-                     pa.array(until[first].astype(np.int32))], names=["length", "key", "n", "until"])
+                for time in range(1, shards + 1):
+                    each, n = _distinct(keys[times == time])
+                    ends = np.full(len(each), turn + shards - time, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(each), length, dtype=np.int32)), pa.array(each.view(np.int64)),
+                         pa.array(n.astype(np.int64)), pa.array(ends)], names=["length", "key", "n", "until"])
 
     return shard.mapInArrow(run, COUNTS)
 
@@ -179,32 +192,55 @@ def exact_counts(docs: DataFrame, bitmaps: dict[int, np.ndarray], longest: int)
     """(lang, length, phrase, n) of all phrases whose keys are in the bitmaps; length 0 has the words of each language."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmaps)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = shared.value
-        for batch in batches:
-            phrases = Phrases(batch.column("text"), batch.column("lang"))
-            found = phrases.keys(longest)
-            langs, lengths, texts, counts = [], [], [], []
-            totals = np.bincount(phrases.lang, minlength=len(phrases.langs))
-            for lang, total in zip(phrases.langs, totals.tolist()):
-                langs.append(lang), lengths.append(0), texts.append(b""), counts.append(total)
-            for length, (keys, at) in enumerate(found, 1):
-                if length not in maps or not len(keys):
-                    continue
-                at = at[_has(maps[length], keys)]
-                # Numbered step by step, so phrases are told apart by their words and never by a hash.
+    def counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases(batch.column("text"), batch.column("lang"))
+        size = len(phrases.words)
+
+        def rows(lang: np.ndarray, length: int, texts: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [phrases.langs.take(pa.array(lang)), pa.array(np.full(len(n), length, dtype=np.int32)), texts.cast(pa.string()),
+                 pa.array(n.astype(np.int64))], names=["lang", "length", "phrase", "n"])
+
+        totals = np.bincount(phrases.lang, minlength=len(phrases.langs))
+        yield rows(np.arange(len(totals)), 0, pa.array([""] * len(totals), pa.string()), totals)
+        for length, (keys, at) in enumerate(phrases.keys(longest), 1):
+            if length not in shared.value or not len(keys):
+                continue
+            at = at[_has(shared.value[length], keys)]
+            # Phrases are told apart by the numbers of their words, never by a hash.
+            if len(totals) * size**length < 1 << 63:
                 code = phrases.lang[at]
                 for step in range(length):
-                    code = np.unique(code * len(phrases.words) + phrases.word[at + step], return_inverse=True)[1]
-                _, first, n = np.unique(code, return_index=True, return_counts=True)
-                for place, count in zip(at[first].tolist(), n.tolist()):
-                    langs.append(phrases.langs[phrases.lang[place]])
-                    lengths.append(length)
-                    texts.append(b" ".join([phrases.words[w] for w in phrases.word[place : place + length]]))
-                    counts.append(count)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(lengths, pa.int32()), pa.array(texts, pa.binary()).cast(pa.string()),
-                 pa.array(counts, pa.int64())], names=["lang", "length", "phrase", "n"])
+                    code = code * size + phrases.word[at + step]
+                code, n = _distinct(code)
+                parts = []
+                for _ in range(length):
+                    code, word = np.divmod(code, size)
+                    parts.insert(0, word)
+                parts.insert(0, code)
+            else:
+                numbered = np.stack([phrases.lang[at], *[phrases.word[at + step] for step in range(length)]])
+                columns, n = np.unique(numbered, axis=1, return_counts=True)
+                parts = list(columns)
+            texts = [phrases.words.take(pa.array(word)) for word in parts[1:]]
+            joined = texts[0] if length == 1 else pc.binary_join_element_wise(*texts, pa.scalar(b" ", pa.large_binary()))
+            yield rows(parts[0], length, joined, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of some batches are added up before they leave the worker.
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held += counted(batch)
+            if sum(rows.num_rows for rows in held) >= HELD_ROWS:
+                yield from added(held)
+                held = []
+        if held:
+            yield from added(held)
+
+    def added(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        keys = ["lang", "length", "phrase"]
+        sums = pa.Table.from_batches(held).group_by(keys, use_threads=False).aggregate([("n", "sum")])
+        return sums.select([*keys, "n_sum"]).rename_columns([*keys, "n"]).combine_chunks().to_batches()
 
     rows = docs.mapInArrow(run, "lang string, length int, phrase string, n bigint")
     return rows.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n"))
