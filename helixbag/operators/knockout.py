@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from helixbag.functions.sequence import mask_intervals, masked_snippets
 from helixbag.operators import loci as L
 from helixbag.operators.features import TfidfModel, feature_importances, predict_proba, sparse_vector
+from helixbag.operators.resync import SubwordCounter
 from helixbag.session import bounded_broadcast, checked_broadcast
 
 KEYS = ("genome", "target")
@@ -39,18 +40,24 @@ def drop_unscored(ko: DataFrame) -> DataFrame:
     return ko.where(F.col("after").isNotNull())
 
 
+def targeted_contigs(contigs: DataFrame, located: DataFrame) -> DataFrame:
+    """(genome, seq, _targets) of the contigs that any target cuts, each joined once for all its targets.
+
+    ``located`` has genome, target, contig_idx, pos, start and end. A contig has one target per panel gene at most.
+    """
+    cuts = L.ordered_cuts(located, "genome", "target", "contig_idx")
+    listed = cuts.groupBy("genome", "contig_idx").agg(F.collect_list(F.struct("target", "_cuts")).alias("_targets"))
+    return contigs.join(listed.hint("shuffle_hash"), ["genome", "contig_idx"]).select("genome", "seq", "_targets")
+
+
 def changed_contigs(contigs: DataFrame, located: DataFrame, padding: int, all_copies: bool = True,
                     margin: int | None = None) -> DataFrame:
     """What a target changes in contigs, before and after: (genome, target, seq, masked).
 
-    ``located`` has genome, target, contig_idx, pos, start and end. Contigs no target touches never enter. Terms of at
-    most ``margin`` + 1 letters change only around masked stretches, so with a margin only these parts come out, and the
-    rest of a contig is never counted again; without one, whole contigs do. A contig is joined once for all its targets,
-    of which it has one per panel gene at most.
+    Contigs no target touches never enter. Terms of at most ``margin`` + 1 letters change only around masked stretches, so
+    with a margin only these parts come out, and the rest of a contig is never counted again; without one, whole contigs do.
     """
-    cuts = L.ordered_cuts(located, "genome", "target", "contig_idx")
-    listed = cuts.groupBy("genome", "contig_idx").agg(F.collect_list(F.struct("target", "_cuts")).alias("_targets"))
-    each = contigs.join(listed.hint("shuffle_hash"), ["genome", "contig_idx"]).select("genome", "seq", F.inline("_targets"))
+    each = targeted_contigs(contigs, located).select("genome", "seq", F.inline("_targets"))
     masked = mask_intervals(F.col("seq"), F.col("_cuts"), padding, all_copies)
     changed = each.select("genome", "target", "seq", masked.alias("masked")).where("masked <> seq")
     if margin is None:
@@ -69,6 +76,14 @@ def count_changes(changed: DataFrame, counter) -> DataFrame:
     return counter.counts(rows, KEYS, sign=F.col("by")).where("tf <> 0")
 
 
+def term_changes(contigs: DataFrame, located: DataFrame, padding: int, counter, all_copies: bool = True) -> DataFrame:
+    """Change of each term count per (genome, target), by what of a contig the counter has to read again: the parts around
+    masks for k-mers, tokens up to the next common border for subwords of a model, whole contigs for other tokens."""
+    if isinstance(counter, SubwordCounter):
+        return counter.changes(targeted_contigs(contigs, located), padding, all_copies)
+    return count_changes(changed_contigs(contigs, located, padding, all_copies, counter.margin), counter)
+
+
 def knockout_features(base_tf: DataFrame, changes: DataFrame, jobs: DataFrame, model: TfidfModel,
                       used: DataFrame | None = None) -> DataFrame:
     """Feature vectors of knocked-out genomes without counting whole genomes again.
@@ -138,8 +153,7 @@ def score_knockouts(contigs: DataFrame, located: DataFrame, jobs: DataFrame, vec
     if base_tf is None:
         wanted = contigs.join(scored_jobs.select("genome").distinct(), "genome", "left_semi")
         base_tf = vectorizer.counter.counts(wanted)
-    margin = vectorizer.counter.margin
-    changes = count_changes(changed_contigs(contigs, located, padding, margin=margin), vectorizer.counter)
+    changes = term_changes(contigs, located, padding, vectorizer.counter)
     used = feature_importances(classifier, contigs.sparkSession)
     features = knockout_features(base_tf, changes, scored_jobs, vectorizer, used)
     after = predict_proba(classifier, features, KEYS).select(*KEYS, F.col("probability").alias("after"))
