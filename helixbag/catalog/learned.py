@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 
 from helixbag.catalog.cohorts import labelled
 from helixbag.catalog.registry import query
-from helixbag.catalog.sequences import BOUNDARY, LOCATED, cut_sql, panel
+from helixbag.catalog.sequences import BOUNDARY, LOCATED, LONG_MERGES, LONG_MODEL, cut_sql, encode_sql, panel
 from helixbag.operators import features as X
 from helixbag.operators import knockout as K
 from helixbag.operators.bpe import bpe_train
+from helixbag.operators.forest import LEAF, Forest
 from helixbag.operators.loci import GENE_PADDING, locate_genes
+from helixbag.operators.resync import subword_counter
 from helixbag.operators.terms import zip_importances
 from helixbag.session import materialize, scratch_path
 from helixbag.sources.files import load_model, save_model
@@ -145,16 +147,21 @@ class Study:
         self.predictions = materialize(X.predict_proba(self.classifier, self.data), "predictions")
 
 
-def after_single_genes(t):
-    """Features of every genome with every located panel gene masked alone, from 3-mers: (genome, target, idx, weight)."""
+def single_gene_changes(t):
+    """3-mer counts, their changes and the jobs of every genome with every located panel gene masked alone, and the model."""
     t.stored()
     counter = X.KmerCounter(3, 3)
     tf = materialize(counter.counts(t.contigs()), "tf")
     model = X.TfidfVectorizer(counter).fit_counts(tf, t.contigs().select("genome"))
     located = materialize(locate_genes(t.contigs(), t.loci(), panel(t)).withColumn("target", F.col("locus_tag")), "located")
-    changes = K.count_changes(K.changed_contigs(t.contigs(), located, GENE_PADDING, margin=counter.margin), counter)
-    jobs = located.select("genome", "target", "length")
-    return K.knockout_features(tf, changes, jobs, model), model, located
+    changes = K.term_changes(t.contigs(), located, GENE_PADDING, counter)
+    return tf, changes, located.select("genome", "target", "length"), model
+
+
+def after_single_genes(t):
+    """Features of these genomes, their model and jobs."""
+    tf, changes, jobs, model = single_gene_changes(t)
+    return K.knockout_features(tf, changes, jobs, model), model, jobs
 
 
 AFTER = f"""
@@ -203,6 +210,56 @@ def _(t):
     return out
 
 
+# Trees of a fixed rule stand for a fitted model: (index, threshold) of the root and of both children, and four leaf values.
+TREES = [(((t * 7 % 64, (50 + 13 * t) / 1000), (t * 11 % 64, (40 + 11 * t) / 1000), (t * 5 % 64, (300 - 9 * t) / 1000)),
+          [((t * 13 + 5 * k) % 17 - 8) / 40 for k in range(4)]) for t in range(24)]
+
+
+def forest_nodes():
+    rows = []
+    for t, (splits, values) in enumerate(TREES):
+        rows += [(t, i, 2 * i + 1, 2 * i + 2, index, threshold, 0.0) for i, (index, threshold) in enumerate(splits)]
+        rows += [(t, 3 + i, -1, -1, LEAF, 0.0, value) for i, value in enumerate(values)]
+    return rows
+
+
+def tree_sql(splits, values):
+    tests = [f"coalesce(w{index}, 0) <= cast({threshold} as double)" for index, threshold in splits]
+    return (f"case when {tests[0]} then case when {tests[1]} then {values[0]} else {values[1]} end "
+            f"else case when {tests[2]} then {values[2]} else {values[3]} end end")
+
+
+@query("knockout_forest", f"""
+with {AFTER},
+wide as (select genome, target, {', '.join(f'max(weight) filter (idx = {i}) as w{i}' for i in range(64))} from after_rows group by 1, 2)
+select l.genome, l.locus_tag as target,
+       round(1 / (1 + exp(-2 * cast({' + '.join(tree_sql(*tree) for tree in TREES)} as double))), 6) as probability
+from located l left join wide w on l.genome = w.genome and l.locus_tag = w.target""")
+def _(t):
+    tf, changes, jobs, model = single_gene_changes(t)
+    idf = {r["idx"]: r["idf"] for r in model.vocab.select("idx", "idf").collect()}
+    scores = K.forest_scores(tf, changes, jobs, model, Forest.from_nodes(forest_nodes(), idf))
+    return scores.withColumn("probability", F.round("probability", 6))
+
+
+# Every masked contig beside its original, encoded whole by replacements in rank order; the sign stands for the contig.
+SIDES = f"""
+select concat(l.genome, '/', l.locus_tag) as genome, side as contig_idx,
+       case when side = 1 then {cut_sql('greatest("start" - 10, 0)', 'least("end" + 10, length(seq))')} else seq end as seq
+from ({LOCATED}) l join contigs c on l.genome = c.genome and l.contig_idx = c.contig_idx cross join (values (1), (-1)) s(side)"""
+
+
+@query("knockout_subwords", f"""
+select cast(split_part(genome, '/', 1) as bigint) as genome, split_part(genome, '/', 2) as target, term,
+       cast(sum(contig_idx) as bigint) as tf
+from ({encode_sql(f'({SIDES})', LONG_MERGES)}) where length(term) > 2 and not contains(term, 'X')
+group by 1, 2, 3 having sum(contig_idx) <> 0""")
+def _(t):
+    t.stored()
+    located = locate_genes(t.contigs(), t.loci(), panel(t)).withColumn("target", F.col("locus_tag"))
+    return K.term_changes(t.contigs(), located, GENE_PADDING, subword_counter(LONG_MODEL, t.spark))
+
+
 @query("predict_proba")
 def _(t):
     return Study(t).predictions

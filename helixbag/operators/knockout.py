@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from helixbag.functions.sequence import mask_intervals, masked_snippets
 from helixbag.operators import loci as L
-from helixbag.operators.features import TfidfModel, feature_importances, predict_proba, sparse_vector
+from helixbag.operators.features import TfidfModel, sparse_vector
+from helixbag.operators.forest import Forest, score_jobs
 from helixbag.operators.resync import SubwordCounter
 from helixbag.session import bounded_broadcast, checked_broadcast
 
@@ -84,14 +85,8 @@ def term_changes(contigs: DataFrame, located: DataFrame, padding: int, counter,
     return count_changes(changed_contigs(contigs, located, padding, all_copies, counter.margin), counter)
 
 
-def knockout_features(base_tf: DataFrame, changes: DataFrame, jobs: DataFrame, model: TfidfModel,
-                      used: DataFrame | None = None) -> DataFrame:
-    """Feature vectors of knocked-out genomes without counting whole genomes again.
-
-    tf(new) = tf(genome) + change, exactly, because terms never span contigs. The squared norm is corrected
-    by the changed terms alone. Trees read only the features they split on, so ``used`` (column idx) restricts
-    the vectors to those; the norm still covers the whole vocabulary. A job without changes keeps its vector.
-    """
+def _norm_shifts(base_tf: DataFrame, changes: DataFrame, jobs: DataFrame, model: TfidfModel):
+    """Known terms of the jobs' genomes, their changes, the squared norms, and how each job shifts them."""
     vocab = bounded_broadcast(model.vocab.select("term", "idx", "idf"), model.size)
     base = base_tf.join(jobs.select("genome").distinct(), "genome", "left_semi").join(vocab, "term")
     delta = changes.withColumnRenamed("tf", "change").join(vocab, "term")
@@ -105,11 +100,20 @@ def knockout_features(base_tf: DataFrame, changes: DataFrame, jobs: DataFrame, m
         delta.join(base.select("genome", "term", F.col("tf").alias("_old")), ["genome", "term"], "left")
         .groupBy(*KEYS).agg(F.sum(shift).alias("_shift"))
     )
+    return base, delta, norms, moved
+
+
+def knockout_features(base_tf: DataFrame, changes: DataFrame, jobs: DataFrame, model: TfidfModel) -> DataFrame:
+    """Feature vectors of knocked-out genomes without counting whole genomes again.
+
+    tf(new) = tf(genome) + change, exactly, because terms never span contigs. The squared norm is corrected
+    by the changed terms alone. A job without changes keeps its vector.
+    """
+    base, delta, norms, moved = _norm_shifts(base_tf, changes, jobs, model)
 
     def entries(rows: DataFrame, amount: str, keys: Sequence[str], out: str) -> DataFrame:
-        kept = rows if used is None else rows.join(bounded_broadcast(used.select("idx"), model.size), "idx", "left_semi")
         entry = F.struct(F.col("idx"), F.struct(F.col(amount).alias("n"), F.col("idf").alias("idf")))
-        return kept.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias(out))
+        return rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias(out))
 
     none = F.expr("cast(map() as map<bigint, struct<n:bigint,idf:double>>)")
     joined = (
@@ -133,6 +137,32 @@ def knockout_features(base_tf: DataFrame, changes: DataFrame, jobs: DataFrame, m
     )
 
 
+def forest_scores(base_tf: DataFrame, changes: DataFrame, jobs: DataFrame, model: TfidfModel, forest: Forest) -> DataFrame:
+    """Scores (genome, target, probability) of knocked-out genomes from their changed features.
+
+    Each genome meets its features once, with all its jobs, of which it has one per target; a job carries the changes of
+    features that trees split on and the shift of the squared norm, which covers the whole vocabulary.
+    """
+    spark = base_tf.sparkSession
+    base, delta, norms, moved = _norm_shifts(base_tf, changes, jobs, model)
+    # At most one row per node of the model.
+    used = F.broadcast(spark.createDataFrame([(int(i),) for i in forest.used], "idx long"))
+    none = F.expr("cast(array() as array<struct<idx:bigint,n:bigint>>)")
+
+    def entries(rows: DataFrame, amount: str, keys: Sequence[str], out: str) -> DataFrame:
+        entry = F.struct(F.col("idx").cast("bigint").alias("idx"), F.col(amount).cast("bigint").alias("n"))
+        return rows.join(used, "idx", "left_semi").groupBy(*keys).agg(F.collect_list(entry).alias(out))
+
+    each = jobs.select(*KEYS).join(moved, list(KEYS), "left").join(entries(delta, "change", KEYS, "changes"), list(KEYS), "left")
+    job = F.struct("target", F.coalesce("_shift", F.lit(0.0)).alias("shift"), F.coalesce("changes", none).alias("changes"))
+    genomes = (
+        each.groupBy("genome").agg(F.collect_list(job).alias("jobs"))
+        .join(norms, "genome", "left").join(entries(base, "tf", ["genome"], "_counts"), "genome", "left")
+    )
+    return score_jobs(genomes.select(
+        "genome", F.coalesce("_norm2", F.lit(0.0)).alias("norm2"), F.coalesce("_counts", none).alias("counts"), "jobs"), forest)
+
+
 def linear_score(features: DataFrame, weights: DataFrame, bias: float = 0.0, keys: Sequence[str] = KEYS) -> DataFrame:
     """Scores of long features (keys, idx, weight) by a fixed weight per feature (idx, importance): 1 / (1 + exp(-sum))."""
     total = F.sum(F.col("weight") * F.col("importance")) + bias
@@ -154,9 +184,8 @@ def score_knockouts(contigs: DataFrame, located: DataFrame, jobs: DataFrame, vec
         wanted = contigs.join(scored_jobs.select("genome").distinct(), "genome", "left_semi")
         base_tf = vectorizer.counter.counts(wanted)
     changes = term_changes(contigs, located, padding, vectorizer.counter)
-    used = feature_importances(classifier, contigs.sparkSession)
-    features = knockout_features(base_tf, changes, scored_jobs, vectorizer, used)
-    after = predict_proba(classifier, features, KEYS).select(*KEYS, F.col("probability").alias("after"))
+    forest = Forest.from_model(classifier, vectorizer.vocab)
+    after = forest_scores(base_tf, changes, scored_jobs, vectorizer, forest).withColumnRenamed("probability", "after")
     return jobs.join(after, list(KEYS), "left")
 
 

@@ -5,8 +5,7 @@ import random
 import pytest
 
 from helixbag.operators import cohort as C
-from helixbag.operators.bpe import bpe_tokenizer
-from helixbag.operators.features import TokenCounter
+from helixbag.operators.resync import subword_counter
 from helixbag.plans import workflows as W
 from helixbag.sources.files import load_model, save_model
 from helixbag.operators import features as X
@@ -87,7 +86,7 @@ def test_knockout_studies_run_once_from_files(spark, cohort, dataset, tmp_path):
 def test_subword_study(spark, cohort, dataset):
     tokens = W.learn_tokenizer(cohort[1], dataset, 20, num_sentences=200)
     assert len(tokens.tokens) == 20
-    counter = TokenCounter(bpe_tokenizer(tokens, spark), len(tokens.tokens))
+    counter = subword_counter(tokens, spark)
     model, tfidf = W.vectorize(cohort[1], dataset, counter)
     words = {r["term"] for r in model.vocab.collect()}
     assert words <= {t for t in tokens.tokens if len(t) > 2 and "X" not in t} and words
