@@ -232,4 +232,4 @@ def _(t):
     landed = scratch_path(t.spark, "landed")
     run = I.ingest_stream(stream, landed, scratch_path(t.spark, "ingest"), "user_id")
     run.awaitTermination()
-    return t.spark.read.parquet(landed)
+    return t.spark.read.parquet(landed).drop("batch")

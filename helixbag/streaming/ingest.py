@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -26,26 +26,25 @@ def attach_path(df: DataFrame, root: str = "data/raw/fasta", key: str = "id") ->
     return df.withColumn("path", F.concat(F.lit(f"{root}/"), F.col(key).cast("string"), F.lit(".fasta")))
 
 
-def _read_if_present(spark: SparkSession, path: str, schema) -> DataFrame:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    present = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-    return spark.read.schema(schema).parquet(path) if present else spark.createDataFrame([], schema)
-
-
 def ingest_stream(arrivals: DataFrame, landed: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Append arriving rows whose key has not landed yet, then stop when all available input is read.
+    """Land each key once, with the least of its rows in the first batch that has it, then stop when all input is read.
 
-    The stream checkpoint skips files that were read before; the anti-join with the landed keys skips ids
-    that came before and makes a repeated batch harmless.
+    The keys that have landed are keyed streaming state, so a batch touches those of its own rows and never reads what has
+    landed; with many keys use the RocksDB state store. Batch n is written to the folder ``batch=n`` of ``landed``, which a
+    repeated batch overwrites, so a restart at any point lands nothing twice. ``landed`` and ``checkpoint`` belong together;
+    readers see the number of the batch as a further column. Null is a key like others.
     """
-    def land(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        known = _read_if_present(spark, landed, batch.schema).select(key)
-        first = batch.groupBy(key).agg(F.min(F.struct(*[c for c in batch.columns if c != key])).alias("_v"))
-        fresh = first.join(known, key, "left_anti").select(key, "_v.*").select(*batch.columns)
-        fresh.write.mode("append").parquet(landed)
+    # The time of a batch is stored with its offsets, so it is the same when the batch is repeated.
+    timed = arrivals.withColumn("_at", F.current_timestamp())
+    payload = [c for c in arrivals.columns if c != key]
+    seen = timed.groupBy(key).agg(F.min(F.struct("_at", *payload)).alias("_first"), F.max("_at").alias("_last"))
+    fresh = seen.where(F.col("_first._at") == F.col("_last")).select(
+        *[F.col(key) if c == key else F.col("_first")[c].alias(c) for c in arrivals.columns])
+
+    def land(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{landed}/batch={number}")
 
     return (
-        arrivals.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+        fresh.writeStream.outputMode("update").foreachBatch(land).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
