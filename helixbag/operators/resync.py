@@ -58,7 +58,7 @@ def masked_spans(seq: str, cuts: Sequence[dict], padding: int, all_copies: bool
 
 @dataclass
 class _Text:
-    """A segment on one strand, the borders of its tokens, and the changes of each of its jobs."""
+    """A segment on one strand and the borders of its tokens."""
 
     letters: str
     borders: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
