@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from helixbag.functions.sequence import clean_seq, keep_tokens, reverse_complement
 from helixbag.operators.merge_kernel import MergeKernel, in_order
+from helixbag.operators.pair_index import apply_merges, build_blocks, changes, pair_of, pair_totals
 from helixbag.session import discard, materialize
 
 # The special token, the start alphabet, and the least pair count worth a merge.
@@ -22,6 +24,8 @@ MIN_FREQUENCY = 5
 # Most candidate pairs looked at per learning round and most merges applied in one.
 ROUND_CANDIDATES = 1_000
 ROUND_MERGES = 200
+# Most pairs that the driver knows the counts of.
+KNOWN_PAIRS = 100_000
 # Rounds between lineage cuts.
 CUT_EVERY = 10
 # Longest merge list that is applied as a fold of string replacements.
@@ -111,17 +115,29 @@ def _exact_batch(ranked: list[tuple[int, int, int]], tokens: list[str], complete
     return chosen
 
 
+def _frequent(blocks: DataFrame, least: int) -> tuple[dict[int, int], tuple[int, int], bool]:
+    """The most frequent pairs with their counts, the place in the order where the list ends, and whether it is whole."""
+    rows = pair_totals(blocks).where(f"n >= {int(least)}").orderBy(F.desc("n"), "pair").limit(KNOWN_PAIRS + 1).collect()
+    known = {r["pair"]: r["n"] for r in rows[:KNOWN_PAIRS]}
+    if len(rows) <= KNOWN_PAIRS:
+        return known, (-least, 1 << 63), True
+    return known, (-rows[KNOWN_PAIRS - 1]["n"], rows[KNOWN_PAIRS - 1]["pair"]), False
+
+
 def bpe_train(corpus: DataFrame, vocab_size: int, min_frequency: int = MIN_FREQUENCY,
               text: str = "sentence") -> BpeModel:
     """Learn merges: join the most frequent pair until the vocabulary is full or no pair is frequent enough.
 
     Equal counts go to the pair of lower token ids; ids are the special token, the letters in order, then
-    merges as they come. Sentences stay distributed as strings of token ids, beside a table of pair counts. Each round
-    brings the few top pairs to the driver, applies every merge that strict order is certain to take next, and counts
-    again only the sentences that hold one of them: their counts before go off the table, those after go on.
+    merges as they come. Sentences stay distributed in blocks with an index of their pairs (``pair_index``). Each round is
+    one job: it applies every merge that strict order is certain to take next, inside the blocks whose index holds one
+    of them, and returns how pair counts changed.
+
+    The driver keeps the KNOWN_PAIRS most frequent pairs. A pair beyond them can only lose occurrences, as only pairs with
+    a new token gain some, so the list stays right until its pairs fall behind the place where it ended; then, or after
+    a merge spelled an older token, it is taken from the indexes again.
     """
-    spark = corpus.sparkSession
-    sentences = corpus.groupBy(F.col(text).alias("sentence")).agg(F.count(F.lit(1)).alias("n"))
+    sentences = corpus.groupBy(F.col(text).alias("sentence")).agg(F.count(F.lit(1)).alias("n")).where("sentence <> ''")
     # The distinct letters of a corpus are few by nature: after cleaning, the bases and X.
     letters = [r[0] for r in sentences.select(F.explode(F.array_distinct(F.split("sentence", ""))).alias("c"))
                .where("c <> ''").distinct().collect()]
@@ -129,53 +145,49 @@ def bpe_train(corpus: DataFrame, vocab_size: int, min_frequency: int = MIN_FREQU
     ids = {token: i for i, token in enumerate(tokens)}
     merges: list[tuple[str, str]] = []
 
-    state = _letters(F.col("sentence"))
-    # Letters are replaced by ids through a private range, so that an id digit is never taken for a letter.
-    for token, i in ids.items():
-        state = F.replace(state, F.lit(f"|{token}|"), F.lit(f"|#{i}|"))
-    current = materialize(sentences.select(F.replace(state, F.lit("#"), F.lit("")).alias("state"), "n"), "bpe")
-
+    blocks = stored = materialize(build_blocks(sentences, ids), "bpe")
+    known, end, whole = _frequent(blocks, min_frequency)
     rounds = 0
     held: list[DataFrame] = []
-    pairs = materialize(_count_pairs(current), "bpe-pairs")
     while len(tokens) < vocab_size:
-        top = (
-            pairs.where(f"n >= {int(min_frequency)}")
-            .selectExpr("cast(left as int) as left", "cast(right as int) as right", "n")
-            .orderBy(F.desc("n"), "left", "right").limit(ROUND_CANDIDATES).collect()
-        )
+        top = heapq.nsmallest(ROUND_CANDIDATES, ((-n, pair) for pair, n in known.items() if (-n, pair) <= end))
+        if not top and not whole:
+            known, end, whole = _frequent(blocks, min_frequency)
+            continue
         if not top:
             break
-        ranked = [(r["left"], r["right"], r["n"]) for r in top]
-        batch = []
-        for a, b in _exact_batch(ranked, tokens, complete=len(ranked) < ROUND_CANDIDATES):
+        ranked = [(*pair_of(pair), -n) for n, pair in top]
+        batch, first, again = [], len(tokens), False
+        for a, b in _exact_batch(ranked, tokens, complete=whole and len(ranked) < ROUND_CANDIDATES):
             if len(tokens) >= vocab_size:
                 break
             merged = tokens[a] + tokens[b]
             merges.append((tokens[a], tokens[b]))
+            again = again or merged in ids
             if merged not in ids:
                 ids[merged] = len(tokens)
                 tokens.append(merged)
-            batch.append(f"struct('|{a}||{b}|' as old, '|{ids[merged]}|' as new)")
-        merged_state = f"aggregate(array({', '.join(batch)}), state, (s, m) -> replace(s, m.old, m.new)) as state"
-        applied_state = current.selectExpr(merged_state, "n")
-        touched = current.where(f"exists(array({', '.join(batch)}), m -> contains(state, m.old))")
-        sides = touched.selectExpr("state", "-n as n").union(touched.selectExpr(merged_state, "n"))
-        changed = pairs.union(_count_pairs(sides)).groupBy("left", "right").agg(F.sum("n").alias("n")).where("n > 0")
-        past, pairs = pairs, materialize(changed, "bpe-pairs")
-        discard(past)
+            batch.append((a, b, ids[merged]))
+        blocks = apply_merges(blocks, batch).persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(blocks)
+        # At most the pairs beside a merged token: four vocabularies for each merge.
+        for pair, n in changes(blocks).collect():
+            if pair in known or max(pair_of(pair)) >= first:
+                known[pair] = known.get(pair, 0) + n
+                if (-known[pair], pair) > end:
+                    del known[pair]
         rounds += 1
-        # The state of a round is computed by the pair count of the next one; its source stays cached until then.
-        done = [] if rounds % CUT_EVERY else held
-        if rounds % CUT_EVERY:
-            current = applied_state.persist(StorageLevel.MEMORY_AND_DISK)
-            held.append(current)
-            done, held = held[:-2], held[-2:]
+        if rounds % CUT_EVERY == 0:
+            past, stored = stored, materialize(blocks, "bpe")
+            blocks = stored
+            discard(past)
+            done, held = held, []
         else:
-            current = materialize(applied_state, "bpe")
-            held = []
+            done, held = held[:-2], held[-2:]
         for earlier in done:
             earlier.unpersist()
+        if again:
+            known, end, whole = _frequent(blocks, min_frequency)
     for earlier in held:
         earlier.unpersist()
     return BpeModel(tuple(tokens), tuple(merges))
@@ -198,8 +210,6 @@ def fold_encode(text: Column, merges: list[tuple[str, str]] | tuple[tuple[str, s
 
 def _segment_tokens(segment: str, rank: dict[tuple[str, str], int]) -> list[str]:
     """Merge the pair of least rank, leftmost first, until none is left (a linked list and a heap)."""
-    import heapq
-
     sym: list[str | None] = list(segment)
     n = len(sym)
     after = list(range(1, n + 1))

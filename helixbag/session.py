@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 100_000
 # Most bytes of Parquet files of a broadcast side whose size is measured; in memory it is a few times as large.
 BROADCAST_BYTES = 16 << 20
+# Bytes of one Arrow batch between Spark and Python, where rows are large.
+ARROW_BYTES = 4 << 20
 # Scratch tables of this process that have not been deleted.
 _written: list[str] = []
 
@@ -88,6 +90,14 @@ def clear_scratch(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes; steps whose rows are large call this before they plan."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(setting)
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= ARROW_BYTES:
+        spark.conf.set(setting, str(ARROW_BYTES))
+
+
 def bounded_broadcast(df: DataFrame, bound: int | None) -> DataFrame:
     """Broadcast a side whose row count is proven to stay within ``bound``; otherwise leave the join to AQE."""
     return F.broadcast(df) if bound is not None and bound <= BROADCAST_ROWS else df
