@@ -4,13 +4,16 @@ from pyspark.sql import functions as F
 
 from helixbag.catalog.cohorts import labelled
 from helixbag.catalog.registry import query
-from helixbag.catalog.sequences import BOUNDARY, LOCATED, LONG_MERGES, LONG_MODEL, cut_sql, encode_sql, panel
+from helixbag.catalog.sequences import (
+    BOUNDARY, LOCATED, LONG_MERGES, LONG_MODEL, cut_sql, encode_sql, kmers_sql, panel, weights_sql,
+)
 from helixbag.operators import features as X
 from helixbag.operators import knockout as K
 from helixbag.operators.bpe import bpe_train
 from helixbag.operators.forest import LEAF, Forest
 from helixbag.operators.loci import GENE_PADDING, locate_genes
 from helixbag.operators.resync import subword_counter
+from helixbag.operators.stages import KmerVectorizer
 from helixbag.operators.terms import zip_importances
 from helixbag.session import materialize, scratch_path
 from helixbag.sources.files import load_model, save_model
@@ -129,6 +132,20 @@ def _(t):
     return table.drop("mean_fit_time", "mean_score_time")
 
 
+@query("vectorizer_pipeline", "select genome, idx, tfidf from (" + weights_sql(
+    kmers_sql("talk", 3) + " union all " + kmers_sql("talk", 4)) + ")")
+def _(t):
+    """Weights of a vectorizer that was fitted in a pipeline, saved and loaded."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    talk, path = t.conversation_contigs().select("genome", "seq"), scratch_path(t.spark, "pipeline")
+    Pipeline(stages=[KmerVectorizer(kMin=3, kMax=4)]).fit(talk).write().save(path)
+    found = PipelineModel.load(path).transform(talk)
+    weights = found.select("genome", F.posexplode(vector_to_array("features")).alias("idx", "tfidf")).where("tfidf <> 0")
+    return weights.select("genome", F.col("idx").cast("bigint").alias("idx"), F.round("tfidf", 6).alias("tfidf"))
+
+
 class Study:
     """A small fitted study over the whole test tables: 3-mer features and a classifier of the disease label."""
 

@@ -129,19 +129,24 @@ def with_empty_documents(features: DataFrame, dataset: DataFrame, size: int) ->
     return dataset.join(features, "genome", "left").withColumn("features", F.coalesce("features", empty))
 
 
-def train_classifier(train: DataFrame, max_bin: int = 32, max_depth: int = 5, n_estimators: int = 20,
-                     num_leaves: int = 256, learning_rate: float = LEARNING_RATE, seed: int = 0) -> PipelineModel:
-    """Constant features dropped, then boosted trees. Spark trees have no leaf count, so the number of leaves
-    limits the depth."""
-    context = train.sparkSession.sparkContext
+def classifier_stages(spark, max_bin: int = 32, max_depth: int = 5, n_estimators: int = 20, num_leaves: int = 256,
+                      learning_rate: float = LEARNING_RATE, seed: int = 0) -> list:
+    """Pipeline stages over ``features`` and ``label``: constant features dropped, then boosted trees. Spark trees have no
+    leaf count, so the number of leaves limits the depth."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_path(train.sparkSession, "trees"))
+        context.setCheckpointDir(scratch_path(spark, "trees"))
     depth = min(max_depth, math.ceil(math.log2(num_leaves)))
-    return Pipeline(stages=[
+    return [
         VarianceThresholdSelector(featuresCol="features", outputCol="kept", varianceThreshold=0.0),
         GBTClassifier(featuresCol="kept", labelCol="label", maxBins=max_bin, maxDepth=depth, maxIter=n_estimators,
                       stepSize=learning_rate, seed=seed, checkpointInterval=10),
-    ]).fit(train)
+    ]
+
+
+def train_classifier(train: DataFrame, **params) -> PipelineModel:
+    """The classifier stages fitted to a table of ``features`` and ``label``."""
+    return Pipeline(stages=classifier_stages(train.sparkSession, **params)).fit(train)
 
 
 def predict_proba(model: PipelineModel, df: DataFrame, keys: Sequence[str] = ("genome",)) -> DataFrame:
