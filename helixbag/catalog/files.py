@@ -46,18 +46,18 @@ def _(t):
 @query("read_gff3_odd_lines", """
 select genome, seqid, start_pos, end_pos, case when start_pos % 5 > 0 then locus_tag end as locus_tag from loci""")
 def _(t):
-    # Attributes that repeat, blanks after semicolons, loci without a tag, and a sequence section behind.
+    # Attributes that repeat, blanks after semicolons, loci without a tag, and a sequence section behind each genome.
     path = scratch_path(t.spark, "gff3")
     loci = t.loci()
     tag = F.when(F.col("start_pos") % 5 > 0, F.concat(F.lit("; locus_tag="), "locus_tag")).otherwise("")
-    attributes = F.concat(F.lit("Dbxref=A:1;Dbxref=B:2;old_locus_tag=none"), tag)
+    attributes = F.concat(F.lit("Dbxref=A:1;Dbxref=B:2;old_locus_tag=none"), tag, S.gff3_genome())
     fields = ["seqid", F.lit("annotation"), F.lit("gene"), F.col("start_pos").cast("string"),
               F.col("end_pos").cast("string"), F.lit("."), F.lit("+"), F.lit("."), attributes]
     line = F.concat_ws("\t", *fields)
     tail = F.explode(F.array(*map(F.lit, ("##FASTA", ">c0", "ACGT"))))
     rows = loci.select("genome", F.lit(0).alias("_at"), line.alias("value")).union(
         loci.select("genome").distinct().select("genome", F.lit(1), tail))
-    rows.repartition("genome").sortWithinPartitions("genome", "_at").drop("_at").write.partitionBy("genome").text(path)
+    rows.repartition("genome").sortWithinPartitions("genome", "_at").select("value").write.text(path)
     return S.read_gff3(t.spark, path)
 
 
