@@ -97,7 +97,7 @@ where regexp_full_match(term, '[ACGT]+') group by 1, 2, 3"""
 
 @query("kmer_extract", KMERS34)
 def _(t):
-    return T.kmer_extract(t.contigs(), 3, 4).groupBy("genome", "contig_idx", "term").agg(F.count(F.lit(1)).alias("n"))
+    return T.kmer_extract(T.deal_out(t.contigs()), 3, 4).groupBy("genome", "contig_idx", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("kmer_extract_sql", KMERS34)
@@ -108,7 +108,7 @@ def _(t):
     register_functions(t.spark)
     return t.spark.sql("""
         select genome, contig_idx, term, count(*) as n
-        from (select genome, contig_idx, clean_seq(seq) as seq from {contigs}) c, lateral kmers(seq, 3, 4) group by genome, contig_idx, term""", contigs=t.contigs())
+        from (select genome, contig_idx, clean_seq(seq) as seq from {contigs}) c, lateral kmers(seq, 3, 4) group by genome, contig_idx, term""", contigs=T.deal_out(t.contigs()))
 
 
 WORDS3 = """(select a.c || b.c || d.c as term from (values ('A'), ('C'), ('G'), ('T')) a(c)

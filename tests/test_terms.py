@@ -111,3 +111,21 @@ def test_counts_of_one_size_are_shuffled_once(spark):
     frame = spark.createDataFrame([(1, 0, "ACGTACGT")], "genome long, contig_idx long, seq string")
     plan = T.kmer_counts(frame, 3, 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") - plan.count("RoundRobin") == 1
+
+
+def test_long_kmers_deal_out_contigs_once(spark):
+    rows = spark.createDataFrame([(g, i, "ACGTTGCA" * (g + i) + "NAC") for g in range(5) for i in range(4)],
+                                 "genome long, contig_idx long, seq string")
+    counted = T.kmer_counts(rows, 3, 8)
+    extracted = T.kmer_extract(T.deal_out(rows), 3, 4).groupBy("genome", "contig_idx", "term").count()
+    for df in (counted, extracted):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+    plain = {}
+    for genome, _, seq in rows.collect():
+        for k in range(3, 9):
+            for i in range(len(seq) - k + 1):
+                if "N" not in seq[i : i + k]:
+                    plain[genome, seq[i : i + k]] = plain.get((genome, seq[i : i + k]), 0) + 1
+    assert {(r["genome"], r["term"]): r["tf"] for r in counted.collect()} == plain
+    assert T.kmer_counts(rows.limit(0), 3, 8).count() == 0
