@@ -148,3 +148,14 @@ def test_the_registered_query_learns_from_all_contigs(spark, monkeypatch):
     monkeypatch.setattr(learned, "bpe_train", train)
     assert QUERIES["bpe_train"](spark, "/root/testdata/sf0.001").count() == 1
     assert seen["rows"] > 0 and seen["least"] < 500 and seen["size"] == 2_000
+
+
+def test_learning_holds_few_blocks_at_once(spark, monkeypatch):
+    names = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.inMemoryColumnarStorage.batchSize")
+    seen, apply = [], B.apply_merges
+    monkeypatch.setattr(B, "apply_merges", lambda *a: seen.extend(int(spark.conf.get(n)) for n in names) or apply(*a))
+    before = [spark.conf.get(n) for n in names]
+    B.bpe_train(spark.createDataFrame([("ACGTACGT" * 4,)] * 3, "sentence string"), 7)
+    # A block has a few hundred KB, and a task holds that many at once.
+    assert seen and max(seen) <= 64
+    assert [spark.conf.get(n) for n in names] == before
