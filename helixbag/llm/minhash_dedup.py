@@ -192,6 +192,17 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, shingle: int, percent: i
     return met.select(F.col("doc").alias("a"), F.col("_doc").alias("b")).distinct()
 
 
+def _joined(nodes: DataFrame, links: DataFrame, label: str) -> DataFrame:
+    """(node, component) after more links, given the components ``_a`` and ``_b`` of their ends.
+
+    Only distinct pairs of components are followed, so the many links between two parts of a large group are one.
+    """
+    found = components(links.select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b").distinct(), label)
+    further = found.select(F.col("node").alias("component"), F.col("component").alias("_further"))
+    moved = nodes.join(further, "component", "left").select("node", F.coalesce("_further", "component").alias("component"))
+    return materialize(moved.union(found.join(nodes, "node", "left_anti")), label)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept (whether it is the component's first)."""
     if percent < 80:
@@ -237,14 +248,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     apart = placed(placed(pairs.select("a", "b"), "a"), "b").where("_a <> _b").select("a", "b")
     apart = apart.join(best.withColumn("_tried", F.lit(1)), ["a", "b"], "left").where("_tried is null").select("a", "b")
-    links = links.union(materialize(confirm(apart, texts, shingle, percent), "links-2")).union(held)
-    nodes = components(links, "components-2")
+    nodes = _joined(nodes, placed(placed(materialize(confirm(apart, texts, shingle, percent), "links-2"), "a"), "b"), "components-2")
 
     members = materialize(placed(shared.where(F.col("docs") > SHORT).select("key", "doc"), "doc"), "long-lists")
     mixed = members.groupBy("key").agg(F.min("_doc").alias("_low"), F.max("_doc").alias("_high")).where("_low < _high").select("key")
     rest = members.join(mixed, "key", "left_semi").select("doc", F.col("_doc").alias("component")).distinct()
     more = materialize(confirm(likely(_prefix_pairs(rest, texts, shingle, percent), firsts), texts, shingle, percent), "links-3")
-    nodes = components(links.union(more), "components-3")
+    nodes = _joined(nodes, placed(placed(more, "a"), "b"), "components-3")
 
     whole = found.join(classes.withColumnRenamed("n", "_n"), (found.d1.eqNullSafe(classes.d1)) & (found.d2 == classes.d2) & (found.n == F.col("_n")), "left")
     out = whole.select("doc", found.n.alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("first", "doc")).alias("_first"))

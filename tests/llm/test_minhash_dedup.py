@@ -106,3 +106,13 @@ def test_a_text_larger_than_a_slice(spark):
     long = " ".join(f"{rng.choice('abc')}{rng.randint(0, 9999)}" for _ in range(200_000))
     rows = [(1, long), (2, long[: len(long) * 9 // 10]), (3, long[: len(long) // 2])]
     assert found(spark, rows) == brute(rows)
+
+
+def test_links_between_two_parts_are_followed_as_one(spark, monkeypatch):
+    followed, plain = [], D.components
+    monkeypatch.setattr(D, "components", lambda links, label: followed.append(links.count()) or plain(links, label))
+    nodes = spark.createDataFrame([(i, i // 20 * 20) for i in range(60)], "node long, component long")
+    links = [(i, j, 0, 20) for i in range(20) for j in range(20, 40)] + [(99, 21, 99, 20), (70, 71, 70, 71), (3, 4, 0, 0)]
+    got = D._joined(nodes, spark.createDataFrame(links, "a long, b long, _a long, _b long"), "joined")
+    assert followed == [3]
+    assert dict(map(tuple, got.collect())) == {**{i: 0 for i in range(40)}, **{i: 40 for i in range(40, 60)}, 99: 0, 70: 70, 71: 70}
