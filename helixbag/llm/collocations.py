@@ -9,8 +9,8 @@ Visits count 64-bit keys of phrases, so only numbers are shuffled, and a shared
 reached the threshold goes to the tasks as bitmaps of a bounded size, which can only have bits too many. So nothing of the
 threshold's frequency is lost, and a last pass counts the phrases left by their words, exactly; those below the threshold go.
 
-A visit adds to the running counts in one shuffle, and a phrase leaves these when its cycle is complete. Each batch is counted
-before anything is shuffled, so a word of a third of all rows is one row a batch.
+A visit adds to the running counts in one shuffle, and a phrase leaves these when its cycle is complete. Batches are counted
+and added up in the worker before anything is shuffled, so a word of a third of all rows is one row for some batches.
 
 Defined results: a null text is empty, a null language ``und``; rows are counted as they come, so repeated rows and null keys
 count; ties are ordered by count and phrase; texts of any length are read whole; an empty table gives an empty table; extra
@@ -36,6 +36,8 @@ BITS_PER_DOC, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 26
 
 # Rows of exact counts that a worker adds up at once, about 50 MB.
 HELD_ROWS = 600_000
+# Counts of keys that a worker adds up at once, 16 bytes each and as much again while they are sorted.
+HELD_KEYS = 2_000_000
 
 # Bytes in lower case; and by kind: 0 in words, 1 between words, 2 between pieces.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -101,6 +103,16 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[at], np.diff(np.append(at, len(values)))
 
 
+def _summed(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and the sums of their counts."""
+    order = np.argsort(values)
+    values, n = values[order], n[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    at = np.flatnonzero(new)
+    return values[at], np.add.reduceat(n, at)
+
+
 def _has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     index = keys & np.uint64(64 * len(bitmap) - 1)
     return (bitmap[(index >> np.uint64(6)).astype(np.int64)] >> (index & np.uint64(63))) & np.uint64(1) > 0
@@ -122,7 +134,20 @@ def _visit(shard: DataFrame, turn: int, states: list[dict[int, np.ndarray]], sha
     # The state of this visit, of those before it in the cycle, and of the last visit to this shard.
     shared = shard.sparkSession.sparkContext.broadcast(list(reversed(states[-shards - 1 :])))
 
+    def rows(length: int, time: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        ends = np.full(len(keys), turn + shards - time, dtype=np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(keys), length, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n), pa.array(ends)],
+            names=["length", "key", "n", "until"])
+
+    def added(held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for (length, time), parts in held.items():
+            yield rows(length, time, *(parts[0] if len(parts) == 1 else _summed(*map(np.concatenate, zip(*parts)))))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Counts of some batches are added up before they leave the worker.
+        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
         for batch in batches:
             found = Phrases(batch.column("text"), batch.column("lang")).keys(longest)
             for length, (keys, _) in enumerate(found, 1):
@@ -134,10 +159,13 @@ def _visit(shard: DataFrame, turn: int, states: list[dict[int, np.ndarray]], sha
                         times += (times == back) & _active(found, length, state)
                 for time in range(1, shards + 1):
                     each, n = _distinct(keys[times == time])
-                    ends = np.full(len(each), turn + shards - time, dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(each), length, dtype=np.int32)), pa.array(each.view(np.int64)),
-                         pa.array(n.astype(np.int64)), pa.array(ends)], names=["length", "key", "n", "until"])
+                    if len(each):
+                        held.setdefault((length, time), []).append((each, n.astype(np.int64)))
+                        size += len(each)
+            if size >= HELD_KEYS:
+                yield from added(held)
+                held, size = {}, 0
+        yield from added(held)
 
     return shard.mapInArrow(run, COUNTS)
 

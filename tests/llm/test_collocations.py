@@ -98,3 +98,15 @@ def test_empty_table(spark):
     assert run(spark, []) == []
     with pytest.raises(ValueError):
         run(spark, [], longest=1)
+
+
+def test_a_worker_adds_up_its_batches(spark):
+    docs = spark.createDataFrame([("one two one three", "en")] * 6, "text string, lang string").coalesce(1)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    past = spark.conf.get(setting)
+    spark.conf.set(setting, "2")
+    try:
+        rows = collocations._visit(docs, 0, [{}], 2, 3).where("n > 0").collect()
+    finally:
+        spark.conf.set(setting, past)
+    assert sorted(r["n"] for r in rows) == [6, 6, 12] and {r["length"] for r in rows} == {1}
