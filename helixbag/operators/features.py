@@ -57,6 +57,13 @@ class TokenCounter:
     margin: int | None = None
 
     def counts(self, contigs: DataFrame, keys: Sequence[str] = ("genome",), sign: Column | None = None) -> DataFrame:
+        # Tokens of a learned model are counted batch by batch beforehand.
+        counted = getattr(self.tokenize, "counts", None)
+        if counted and sign is None:
+            return counted(contigs, keys).groupBy(*keys, "term").agg(F.sum("n").alias("tf"))
+        if counted:
+            rows = counted(contigs.withColumn("_sign", sign), [*keys, "_sign"])
+            return rows.groupBy(*keys, "term").agg(F.sum(F.col("n") * F.col("_sign")).alias("tf"))
         if sign is None:
             rows = token_rows(contigs, self.tokenize, keys)
             return rows.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
