@@ -9,7 +9,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VarianceThresholdSelector
@@ -108,12 +109,11 @@ class TfidfVectorizer:
         return TfidfModel(self.counter, vocab, vocab.count())
 
 
-@F.pandas_udf(VectorUDT())
-def _sparse(size: pd.Series, indices: pd.Series, values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({
-        "type": pd.Series([0] * len(size), dtype="int8"), "size": size.astype("int32"),
-        "indices": indices, "values": values,
-    })
+@F.arrow_udf(VectorUDT())
+def _sparse(size: pa.Array, indices: pa.Array, values: pa.Array) -> pa.Array:
+    return pa.StructArray.from_arrays(
+        [pa.array(np.zeros(len(size), dtype=np.int8)), size.cast(pa.int32()), indices.cast(pa.list_(pa.int32())),
+         values.cast(pa.list_(pa.float64()))], names=["type", "size", "indices", "values"])
 
 
 def sparse_vector(entries: Column, size: int) -> Column:

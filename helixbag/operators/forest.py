@@ -9,17 +9,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from helixbag.session import scratch_path
+from helixbag.session import scratch_path, small_batches
 
 # Norms this close to the end of a range, relatively, count as outside it, so that rounding decides nothing.
 NEAR = 1e-9
 LEAF = -1
+# Jobs scored at once hold about so many features, and walk about so many trees.
+BLOCK_CELLS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -84,18 +88,25 @@ class Forest:
         idf = {r["idx"]: r["idf"] for r in vocab.join(F.broadcast(used), "idx").select("idx", "idf").collect()}
         return Forest.from_nodes(nodes, idf)
 
-    def walk(self, trees: np.ndarray, amounts: np.ndarray, norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Values of trees for weights amounts / norm, and the ends of the range of norms with the same walks."""
+    @cached_property
+    def splits(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the trees of each used feature begin in one list of all, and the list."""
+        sizes = [len(t) for t in self.trees_of]
+        return np.cumsum([0, *sizes]), np.concatenate([np.zeros(0, dtype=np.int64), *self.trees_of])
+
+    def walk(self, trees: np.ndarray, rows: np.ndarray, amounts: np.ndarray, norms: np.ndarray):
+        """Values of trees, each for the weights amounts[row] / norm, and the ends of the range of norms with the same walk."""
         node = self.roots[trees]
         low, high = np.zeros(len(trees)), np.full(len(trees), np.inf)
+        scale = np.where(norms > 0, norms, 1.0)
         while len(self.used):
             feature = self.feature[node]
             inner = feature != LEAF
             if not inner.any():
                 break
-            amount = np.where(inner, amounts[feature], 0.0)
+            amount = np.where(inner, amounts[rows, feature], 0.0)
             threshold = self.threshold[node]
-            goes_left = (amount / norm if norm > 0 else amount) <= threshold
+            goes_left = amount / scale <= threshold
             # Without the feature, or at a threshold that no weight reaches from above, the norm changes nothing.
             bound = inner & (amount > 0) & (threshold > 0)
             edge = np.divide(amount, threshold, out=np.zeros(len(trees)), where=bound)
@@ -104,34 +115,63 @@ class Forest:
             node = np.where(inner, np.where(goes_left, self.left[node], self.right[node]), node)
         return self.value[node], low, high
 
-    def touched(self, changed: np.ndarray, norm: float, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Trees that a job must walk: those that split on a changed feature and those whose range the norm has left."""
-        marks = (norm < low * (1 + NEAR)) | (norm > high * (1 - NEAR))
-        for i in changed.tolist():
-            marks[self.trees_of[i]] = True
-        return np.flatnonzero(marks)
+    def touched(self, jobs: np.ndarray, changed: np.ndarray, norms: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Marks the trees that each job must walk: those that split on a feature it changes, and those whose range its norm has
+        left. ``changed`` are places of features, ``jobs`` the rows that change them."""
+        marks = (norms[:, None] < low * (1 + NEAR)) | (norms[:, None] > high * (1 - NEAR))
+        starts, listed = self.splits
+        sizes = starts[changed + 1] - starts[changed]
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        marks[np.repeat(jobs, sizes), listed[np.repeat(starts[changed], sizes) + within]] = True
+        return marks
 
     def score(self, norm2: float, counts: Sequence[tuple[int, int]],
               jobs: Sequence[tuple[float, Sequence[tuple[int, int]]]]) -> Iterator[float]:
         """Margin of each job of a genome. ``counts`` are its (index, count) pairs of used features; a job has the shift of
         the squared norm and the changes of such counts."""
-        held = np.zeros(len(self.used))
-        for index, n in counts:
-            held[np.searchsorted(self.used, index)] = n
-        amounts = held * self.idf
-        every = np.arange(len(self.roots))
-        norm = np.sqrt(norm2)
-        values, low, high = self.walk(every, amounts, norm)
-        for shift, changes in jobs:
-            after = np.sqrt(max(norm2 + shift, 0.0))
-            at = np.searchsorted(self.used, np.array([i for i, _ in changes], dtype=np.int64))
-            by = np.array([n for _, n in changes], dtype=float)
-            amounts[at] = np.maximum(held[at] + by, 0) * self.idf[at]
-            trees = self.touched(at, after, low, high) if after > 0 and norm > 0 else every
-            scored = values.copy()
-            scored[trees] = self.walk(trees, amounts, after)[0]
-            amounts[at] = held[at] * self.idf[at]
-            yield float(scored.sum())
+        held = [(0, *pair) for pair in counts]
+        changes = [(j, *pair) for j, (_, pairs) in enumerate(jobs) for pair in pairs]
+
+        def columns(rows):
+            return tuple(np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
+
+        shifts = np.array([shift for shift, _ in jobs], dtype=float)
+        yield from self.score_many(np.array([norm2], dtype=float), columns(held), np.zeros(len(jobs), dtype=np.int64), shifts,
+                                   columns(changes)).tolist()
+
+    def score_many(self, norm2: np.ndarray, counts: tuple[np.ndarray, ...], of: np.ndarray, shifts: np.ndarray,
+                   changes: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Margins of the jobs of many genomes. ``counts`` are (genome, index, count), ``of`` is the genome of each job, in order,
+        and ``changes`` are (job, index, change), in order of jobs."""
+        out, step = np.zeros(len(of)), max(1, BLOCK_CELLS // max(len(self.used), len(self.roots), 1))
+        for begin in range(0, len(of), step):
+            end = min(begin + step, len(of))
+            first, last = int(of[begin]), int(of[end - 1]) + 1
+            mine = slice(*np.searchsorted(counts[0], [first, last]))
+            its = slice(*np.searchsorted(changes[0], [begin, end]))
+            out[begin:end] = self._block(
+                norm2[first:last], (counts[0][mine] - first, counts[1][mine], counts[2][mine]), of[begin:end] - first,
+                shifts[begin:end], (changes[0][its] - begin, changes[1][its], changes[2][its]))
+        return out
+
+    def _block(self, norm2, counts, of, shifts, changes) -> np.ndarray:
+        n, trees = len(norm2), len(self.roots)
+        held = np.zeros((n, len(self.used)))
+        held[counts[0], np.searchsorted(self.used, counts[1])] = counts[2]
+        norms = np.sqrt(norm2)
+        values, low, high = self.walk(
+            np.tile(np.arange(trees), n), np.repeat(np.arange(n), trees), held * self.idf, np.repeat(norms, trees))
+        values, low, high = values.reshape(n, trees), low.reshape(n, trees), high.reshape(n, trees)
+        after = np.sqrt(np.maximum(norm2[of] + shifts, 0.0))
+        at, amounts = np.searchsorted(self.used, changes[1]), held[of]
+        amounts[changes[0], at] = np.maximum(amounts[changes[0], at] + changes[2], 0)
+        amounts *= self.idf
+        marks = self.touched(changes[0], at, after, low[of], high[of])
+        marks[~((after > 0) & (norms[of] > 0))] = True
+        job, tree = np.nonzero(marks)
+        scored = values[of]
+        scored[job, tree] = self.walk(tree, job, amounts, after[job])[0]
+        return scored.sum(axis=1)
 
 
 def score_jobs(genomes: DataFrame, forest: Forest) -> DataFrame:
@@ -140,18 +180,26 @@ def score_jobs(genomes: DataFrame, forest: Forest) -> DataFrame:
     # At most a few numbers per node of the model.
     shared = genomes.sparkSession.sparkContext.broadcast(forest)
 
+    def listed(column: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        """The row of each struct of a list column, and the fields of the structs."""
+        return pc.list_parent_indices(column).to_numpy(), column.flatten().flatten()
+
+    def numbers(fields: list[pa.Array]) -> tuple[np.ndarray, ...]:
+        return tuple(f.to_numpy() for f in fields)
+
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for i in range(len(batch)):
-                row = batch.slice(i, 1).to_pylist()[0]
-                jobs = [(j["shift"], [(c["idx"], c["n"]) for c in j["changes"]]) for j in row["jobs"]]
-                margins = np.array(list(shared.value.score(row["norm2"], [(c["idx"], c["n"]) for c in row["counts"]], jobs)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["genome"]] * len(jobs), batch.schema.field("genome").type),
-                     pa.array([j["target"] for j in row["jobs"]], pa.string()),
-                     # Two margins are the log odds of Spark's boosted trees.
-                     pa.array(1 / (1 + np.exp(-2 * margins)), pa.float64())], names=["genome", "target", "probability"])
+            genome, counts = listed(batch.column("counts"))
+            of, (target, shift, changes) = listed(batch.column("jobs"))
+            job, changed = listed(changes)
+            margins = shared.value.score_many(
+                batch.column("norm2").to_numpy(), (genome, *numbers(counts)), of, shift.to_numpy(), (job, *numbers(changed)))
+            # Two margins are the log odds of Spark's boosted trees.
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("genome").take(pa.array(of)), target, pa.array(1 / (1 + np.exp(-2 * margins)), pa.float64())],
+                schema=pa.schema([batch.schema.field("genome"), pa.field("target", pa.string()), pa.field("probability", pa.float64())]))
 
     schema = T.StructType([T.StructField("genome", genomes.schema["genome"].dataType), T.StructField("target", T.StringType()),
                            T.StructField("probability", T.DoubleType())])
+    small_batches(genomes.sparkSession)
     return genomes.select("genome", "norm2", "counts", "jobs").mapInArrow(batches, schema)

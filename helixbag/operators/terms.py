@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from helixbag.functions.letters import key_numbers, tally, text_bytes, walled
 from helixbag.functions.ranks import alphabetical_index
 from helixbag.functions.sequence import clean_seq, keep_tokens, reverse_complement
-from helixbag.session import bounded_broadcast
+from helixbag.session import bounded_broadcast, small_batches
 
 # Vocabulary size of each k-mer model and its smallest and largest k, both included.
 KMER_VOCABULARIES = {
@@ -30,6 +34,8 @@ CONTIG_KEYS = ("genome", "contig_idx")
 LETTERS_PER_TASK = 1 << 20
 # From this k on a genome has hardly fewer distinct windows than letters, so texts are dealt out and not windows.
 DEALT_FROM = 6
+# Letters whose windows a task numbers at once, about 40 bytes each.
+WINDOW_LETTERS = 1 << 20
 
 
 def kmer_bound(k_min: int, k_max: int) -> int:
@@ -97,11 +103,75 @@ def kmer_extract(contigs: DataFrame, k_min: int, k_max: int, keys: Sequence[str]
     return _prefixes(_windows(contigs, k_min, k_max, keys), k_min, k_max)
 
 
+def _text_slices(batch: pa.RecordBatch, overlap: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The texts of a batch, about WINDOW_LETTERS letters at a time: the first row, bytes, and offsets. A longer text comes in
+    parts, each but the last with ``overlap`` letters of the next one."""
+    data, offsets = text_bytes(batch.column("seq"))
+    row = 0
+    while row < batch.num_rows:
+        stop = max(int(np.searchsorted(offsets, offsets[row] + WINDOW_LETTERS, side="right")) - 1, row + 1)
+        low, high = int(offsets[row]), int(offsets[stop])
+        if stop == row + 1:
+            for at in range(low, high, WINDOW_LETTERS):
+                part = data[at : min(at + WINDOW_LETTERS + overlap, high)]
+                yield row, part, np.array([0, len(part)])
+        else:
+            yield row, data[low:high], offsets[row : stop + 1] - low
+        row = stop
+
+
+def _counted_windows(contigs: DataFrame, k_min: int, k_max: int, keys: Sequence[str]) -> DataFrame:
+    """(keys, window, n): the rows of ``_windows`` counted per key of a batch, which Spark then adds up."""
+    # The words of each length in order, so that a window is numbered by its length and its letters as base-4 digits.
+    first = {k: kmer_bound(k_min, k - 1) for k in range(k_min, k_max + 1)}
+    size = kmer_bound(k_min, k_max)
+    schema = T.StructType([*[contigs.schema[k] for k in keys], T.StructField("window", T.StringType()), T.StructField("n", T.LongType())])
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(["".join(w) for k in range(k_min, k_max + 1) for w in product("ACGT", repeat=k)], pa.string())
+        digit = np.full(256, 4, dtype=np.uint8)
+        digit[[65, 67, 71, 84]] = range(4)
+        for batch in rows:
+            number, some = key_numbers(batch, keys)
+            groups, found, counts = [], [], []
+            for row, data, offsets in _text_slices(batch, k_max - 1):
+                own = np.full(len(data), True)
+                if len(offsets) == 2 and len(data) > WINDOW_LETTERS:
+                    own[WINDOW_LETTERS:] = False
+                digits = walled(digit[data], offsets, 4)
+                whole = walled(own, offsets, False)
+                group = np.repeat(number[row : row + len(offsets) - 1], np.diff(offsets) + 1)
+                fits, value, window = whole[:-1] & True, np.zeros(len(digits) - 1, dtype=np.int64), None
+                for k in range(1, k_max + 1):
+                    fits, value = fits[: len(digits) - k], value[: len(digits) - k]
+                    next_digit = digits[k - 1 : len(digits) - 1]
+                    fits = fits & (next_digit < 4)
+                    value = value * 4 + next_digit
+                    if k == k_min:
+                        window, kept = np.where(fits, value, -1), fits
+                    elif k > k_min:
+                        window[: len(fits)][fits] = first[k] + value[fits]
+                if window is None or not len(window):
+                    continue
+                held = np.flatnonzero(kept)
+                g, w, n = tally(group[held], window[held], len(some), size)
+                groups.append(g), found.append(w), counts.append(n)
+            if groups:
+                taken = pa.array(some[np.concatenate(groups)])
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(k).take(taken) for k in keys], words.take(pa.array(np.concatenate(found))),
+                     pa.array(np.concatenate(counts), pa.int64())], schema=pa.schema(
+                         [*[batch.schema.field(k) for k in keys], pa.field("window", pa.string()), pa.field("n", pa.int64())]))
+
+    small_batches(contigs.sparkSession)
+    return contigs.select(*keys, "seq").mapInArrow(batches, schema)
+
+
 def kmer_counts(contigs: DataFrame, k_min: int, k_max: int, keys: Sequence[str] = ("genome",),
                 sign: Column | None = None) -> DataFrame:
     """Term counts of all k-mers without making one row per k.
 
-    Windows of the largest k are counted first, combining before the shuffle; shorter k-mers are prefixes of
+    Windows of the largest k are counted first, per batch of texts and then before the shuffle; shorter k-mers are prefixes of
     the few distinct windows that remain. The second step is partitioned by the keys alone, so a later
     per-genome step needs no further shuffle; a genome brings one row per distinct window there, which the
     vocabulary bounds. For a large k, where combining saves little, the contigs themselves are dealt out by the keys.
@@ -110,8 +180,12 @@ def kmer_counts(contigs: DataFrame, k_min: int, k_max: int, keys: Sequence[str]
     if k_max >= DEALT_FROM:
         carried = deal_out(carried, keys)
     extra = [] if sign is None else ["_sign"]
-    windows = _windows(carried, k_min, k_max, [*keys, *extra])
-    amount = F.count(F.lit(1)) if sign is None else F.sum("_sign")
+    if k_max >= DEALT_FROM:
+        windows = _windows(carried, k_min, k_max, [*keys, *extra])
+        amount = F.count(F.lit(1)) if sign is None else F.sum("_sign")
+    else:
+        windows = _counted_windows(carried, k_min, k_max, [*keys, *extra])
+        amount = F.sum("n") if sign is None else F.sum(F.col("n") * F.col("_sign"))
     counted = windows.groupBy(*keys, "window").agg(amount.alias("n"))
     if k_min == k_max:
         return counted.select(*keys, F.col("window").alias("term"), F.col("n").alias("tf"))

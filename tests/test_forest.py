@@ -88,3 +88,33 @@ def test_every_job_equals_the_model_on_whole_vectors(spark, study, counter):  #
     vectors = K.knockout_features(tf, changes, jobs, model)
     want = {(r["genome"], r["target"]): r["probability"] for r in X.predict_proba(classifier, vectors, K.KEYS).collect()}
     assert got == pytest.approx(want, abs=1e-9) and len(got) > 100 and len(set(got.values())) > 1
+
+
+def test_jobs_of_many_genomes_are_scored_together(monkeypatch):
+    rng = random.Random(9)
+    nodes = grown(rng, 20, 30, 3)
+    idf = {i * 3: rng.uniform(1, 4) for i in range(30)}
+    forest = W.Forest.from_nodes(nodes, idf)
+    norm2, counts, of, shifts, changes, want = [], [], [], [], [], []
+    for g in range(7):
+        held = {i: rng.randint(1, 9) for i in idf if rng.random() < 0.5} if g else {}
+        norm2.append(sum((n * idf[i]) ** 2 for i, n in held.items()))
+        counts += [(g, i, n) for i, n in held.items()]
+        for _ in range(rng.randint(1, 9)):
+            after = dict(held)
+            for i in rng.sample(sorted(idf), rng.randint(0, 4)):
+                n = rng.randint(-held.get(i, 0), 3)
+                changes.append((len(of), i, n))
+                after[i] = held.get(i, 0) + n
+            total = sum((n * idf[i]) ** 2 for i, n in after.items())
+            of.append(g), shifts.append(total - norm2[g])
+            norm = np.sqrt(total)
+            want.append(plain(nodes, {i: n * idf[i] / norm for i, n in after.items() if n and norm}))
+    columns = [tuple(np.array(c) for c in zip(*rows)) for rows in (counts, changes)]
+    calls, walk = [], W.Forest.walk
+    monkeypatch.setattr(W.Forest, "walk", lambda self, *rest: (calls.append(1), walk(self, *rest))[1])
+    for cells, most in ((1 << 18, 2), (90, 2 * len(of))):
+        calls.clear()
+        monkeypatch.setattr(W, "BLOCK_CELLS", cells)
+        got = forest.score_many(np.array(norm2), columns[0], np.array(of), np.array(shifts), columns[1])
+        assert got == pytest.approx(want, abs=1e-9) and len(calls) <= most
