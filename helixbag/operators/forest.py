@@ -13,10 +13,10 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from helixbag.operators.genome_jobs import GenomeJobs
 from helixbag.session import scratch_path, small_batches
 
 # Norms this close to the end of a range, relatively, count as outside it, so that rounding decides nothing.
@@ -175,31 +175,24 @@ class Forest:
 
 
 def score_jobs(genomes: DataFrame, forest: Forest) -> DataFrame:
-    """(genome, target, probability) for rows (genome, norm2, counts, jobs): ``counts`` an array of (idx, n) structs, ``jobs``
-    of (target, shift, changes) structs with changes like counts. A genome has one job per target."""
+    """(genome, target, probability) of the jobs of ``genome_rows``."""
     # At most a few numbers per node of the model.
     shared = genomes.sparkSession.sparkContext.broadcast(forest)
 
-    def listed(column: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
-        """The row of each struct of a list column, and the fields of the structs."""
-        return pc.list_parent_indices(column).to_numpy(), column.flatten().flatten()
-
-    def numbers(fields: list[pa.Array]) -> tuple[np.ndarray, ...]:
-        return tuple(f.to_numpy() for f in fields)
-
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = shared.value.used
         for batch in rows:
-            genome, counts = listed(batch.column("counts"))
-            of, (target, shift, changes) = listed(batch.column("jobs"))
-            job, changed = listed(changes)
-            margins = shared.value.score_many(
-                batch.column("norm2").to_numpy(), (genome, *numbers(counts)), of, shift.to_numpy(), (job, *numbers(changed)))
+            held = GenomeJobs.read(batch)
+            norm2, shift = held.norms2()
+            counts, changes = [
+                tuple(c[np.isin(columns[1], used)] for c in columns[:3]) for columns in (held.counts, held.changes)]
+            margins = shared.value.score_many(norm2, counts, held.of, shift, changes)
             # Two margins are the log odds of Spark's boosted trees.
             yield pa.RecordBatch.from_arrays(
-                [batch.column("genome").take(pa.array(of)), target, pa.array(1 / (1 + np.exp(-2 * margins)), pa.float64())],
+                [held.genome.take(pa.array(held.of)), held.fields["target"], pa.array(1 / (1 + np.exp(-2 * margins)), pa.float64())],
                 schema=pa.schema([batch.schema.field("genome"), pa.field("target", pa.string()), pa.field("probability", pa.float64())]))
 
     schema = T.StructType([T.StructField("genome", genomes.schema["genome"].dataType), T.StructField("target", T.StringType()),
                            T.StructField("probability", T.DoubleType())])
     small_batches(genomes.sparkSession)
-    return genomes.select("genome", "norm2", "counts", "jobs").mapInArrow(batches, schema)
+    return genomes.mapInArrow(batches, schema)

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from helixbag.functions.sequence import mask_intervals, masked_snippets
+from helixbag.functions.sequence import mask_intervals
 from helixbag.operators import loci as L
-from helixbag.operators.features import TfidfModel, sparse_vector
+from helixbag.operators.features import TfidfModel
 from helixbag.operators.forest import Forest, score_jobs
-from helixbag.operators.resync import SubwordCounter
-from helixbag.session import bounded_broadcast, checked_broadcast
+from helixbag.operators.genome_jobs import genome_rows, job_vectors
+from helixbag.operators.resync import SubwordCounter, masked_spans, parts_around
+from helixbag.session import checked_broadcast, small_batches
 
 KEYS = ("genome", "target")
 # The tasks whose predictions a knockout may start from.
@@ -58,13 +61,32 @@ def changed_contigs(contigs: DataFrame, located: DataFrame, padding: int, all_co
     Contigs no target touches never enter. Terms of at most ``margin`` + 1 letters change only around masked stretches, so
     with a margin only these parts come out, and the rest of a contig is never counted again; without one, whole contigs do.
     """
+    if margin is not None:
+        return _masked_parts(targeted_contigs(contigs, located), padding, all_copies, margin)
     each = targeted_contigs(contigs, located).select("genome", "seq", F.inline("_targets"))
     masked = mask_intervals(F.col("seq"), F.col("_cuts"), padding, all_copies)
-    changed = each.select("genome", "target", "seq", masked.alias("masked")).where("masked <> seq")
-    if margin is None:
-        return changed
-    parts = masked_snippets(F.col("seq"), F.col("masked"), margin)
-    return changed.select("genome", "target", F.inline(parts)).where("masked <> seq")
+    return each.select("genome", "target", "seq", masked.alias("masked")).where("masked <> seq")
+
+
+def _masked_parts(targeted: DataFrame, padding: int, all_copies: bool, margin: int) -> DataFrame:
+    """(genome, target, seq, masked): the stretches that a target masks with ``margin`` letters on both sides, those whose
+    margins would meet or overlap being one part."""
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            places, targets, before, after = [], [], [], []
+            for i, (seq, jobs) in enumerate(zip(batch.column("seq").to_pylist(), batch.column("_targets").to_pylist())):
+                for job in jobs:
+                    for text, masked in parts_around(seq, masked_spans(seq, job["_cuts"], padding, all_copies), margin):
+                        if text != masked:
+                            places.append(i), targets.append(job["target"]), before.append(text), after.append(masked)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("genome").take(pa.array(places, pa.int64())), *[pa.array(c, pa.string()) for c in (targets, before, after)]],
+                schema=pa.schema([batch.schema.field("genome"), *[pa.field(c, pa.string()) for c in ("target", "seq", "masked")]]))
+
+    small_batches(targeted.sparkSession)
+    texts = [T.StructField(c, T.StringType()) for c in ("target", "seq", "masked")]
+    return targeted.select("genome", "seq", "_targets").where("seq is not null").mapInArrow(
+        batches, T.StructType([targeted.schema["genome"], *texts]))
 
 
 def count_changes(changed: DataFrame, counter) -> DataFrame:
@@ -85,82 +107,22 @@ def term_changes(contigs: DataFrame, located: DataFrame, padding: int, counter,
     return count_changes(changed_contigs(contigs, located, padding, all_copies, counter.margin), counter)
 
 
-def _norm_shifts(base_tf: DataFrame, changes: DataFrame, jobs: DataFrame, model: TfidfModel):
-    """Known terms of the jobs' genomes, their changes, the squared norms, and how each job shifts them."""
-    vocab = bounded_broadcast(model.vocab.select("term", "idx", "idf"), model.size)
-    base = base_tf.join(jobs.select("genome").distinct(), "genome", "left_semi").join(vocab, "term")
-    delta = changes.withColumnRenamed("tf", "change").join(vocab, "term")
-
-    w2 = F.col("tf") * F.col("tf") * F.col("idf") * F.col("idf")
-    norms = base.groupBy("genome").agg(F.sum(w2).alias("_norm2"))
-    old = F.coalesce(F.col("_old"), F.lit(0))
-    new = old + F.col("change")
-    shift = (new * new - old * old) * F.col("idf") * F.col("idf")
-    moved = (
-        delta.join(base.select("genome", "term", F.col("tf").alias("_old")), ["genome", "term"], "left")
-        .groupBy(*KEYS).agg(F.sum(shift).alias("_shift"))
-    )
-    return base, delta, norms, moved
-
-
 def knockout_features(base_tf: DataFrame, changes: DataFrame, jobs: DataFrame, model: TfidfModel) -> DataFrame:
     """Feature vectors of knocked-out genomes without counting whole genomes again.
 
-    tf(new) = tf(genome) + change, exactly, because terms never span contigs. The squared norm is corrected
-    by the changed terms alone. A job without changes keeps its vector.
+    tf(new) = tf(genome) + change, exactly, because terms never span contigs. A genome meets its counts once, with all its
+    jobs. A job without changes keeps its vector.
     """
-    base, delta, norms, moved = _norm_shifts(base_tf, changes, jobs, model)
-
-    def entries(rows: DataFrame, amount: str, keys: Sequence[str], out: str) -> DataFrame:
-        entry = F.struct(F.col("idx"), F.struct(F.col(amount).alias("n"), F.col("idf").alias("idf")))
-        return rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias(out))
-
-    none = F.expr("cast(map() as map<bigint, struct<n:bigint,idf:double>>)")
-    joined = (
-        jobs.join(norms, "genome", "left").join(moved, list(KEYS), "left")
-        .join(entries(base, "tf", ["genome"], "_base"), "genome", "left")
-        .join(entries(delta, "change", KEYS, "_delta"), list(KEYS), "left")
-    )
-    merged = F.map_zip_with(
-        F.coalesce("_base", none), F.coalesce("_delta", none),
-        lambda _, a, b: F.struct((F.coalesce(a["n"], F.lit(0)) + F.coalesce(b["n"], F.lit(0))).alias("n"),
-                                 F.coalesce(a["idf"], b["idf"]).alias("idf")),
-    )
-    norm = F.sqrt(F.coalesce("_norm2", F.lit(0.0)) + F.coalesce("_shift", F.lit(0.0)))
-    present = F.filter(F.map_entries(F.col("_merged")), lambda e: e["value"]["n"] > 0)
-    weights = F.transform(F.array_sort(present), lambda e: F.struct(
-        e["key"].alias("idx"), (e["value"]["n"] * e["value"]["idf"] / F.col("_norm")).alias("weight")
-    ))
-    return (
-        joined.withColumn("_merged", merged).withColumn("_norm", norm)
-        .select(*jobs.columns, sparse_vector(weights, model.size).alias("features"))
-    )
+    return job_vectors(genome_rows(base_tf, changes, jobs, model), jobs, model.size)
 
 
 def forest_scores(base_tf: DataFrame, changes: DataFrame, jobs: DataFrame, model: TfidfModel, forest: Forest) -> DataFrame:
     """Scores (genome, target, probability) of knocked-out genomes from their changed features.
 
-    Each genome meets its features once, with all its jobs, of which it has one per target; a job carries the changes of
-    features that trees split on and the shift of the squared norm, which covers the whole vocabulary.
+    Each genome meets its features once, with all its jobs, of which it has one per target; the squared norm is corrected by
+    the changed terms of the whole vocabulary, and trees see those that they split on.
     """
-    spark = base_tf.sparkSession
-    base, delta, norms, moved = _norm_shifts(base_tf, changes, jobs, model)
-    # At most one row per node of the model.
-    used = F.broadcast(spark.createDataFrame([(int(i),) for i in forest.used], "idx long"))
-    none = F.expr("cast(array() as array<struct<idx:bigint,n:bigint>>)")
-
-    def entries(rows: DataFrame, amount: str, keys: Sequence[str], out: str) -> DataFrame:
-        entry = F.struct(F.col("idx").cast("bigint").alias("idx"), F.col(amount).cast("bigint").alias("n"))
-        return rows.join(used, "idx", "left_semi").groupBy(*keys).agg(F.collect_list(entry).alias(out))
-
-    each = jobs.select(*KEYS).join(moved, list(KEYS), "left").join(entries(delta, "change", KEYS, "changes"), list(KEYS), "left")
-    job = F.struct("target", F.coalesce("_shift", F.lit(0.0)).alias("shift"), F.coalesce("changes", none).alias("changes"))
-    genomes = (
-        each.groupBy("genome").agg(F.collect_list(job).alias("jobs"))
-        .join(norms, "genome", "left").join(entries(base, "tf", ["genome"], "_counts"), "genome", "left")
-    )
-    return score_jobs(genomes.select(
-        "genome", F.coalesce("_norm2", F.lit(0.0)).alias("norm2"), F.coalesce("_counts", none).alias("counts"), "jobs"), forest)
+    return score_jobs(genome_rows(base_tf, changes, jobs.select(*KEYS), model), forest)
 
 
 def linear_score(features: DataFrame, weights: DataFrame, bias: float = 0.0, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -172,8 +134,24 @@ def linear_score(features: DataFrame, weights: DataFrame, bias: float = 0.0, key
 
 def long_features(features: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """The entries of feature vectors as rows (keys, idx, weight)."""
-    entries = F.transform(vector_to_array("features"), lambda w, i: F.struct(i.cast("bigint").alias("idx"), w.alias("weight")))
-    return features.select(*keys, F.inline(F.filter(entries, lambda e: e["weight"] != 0)))
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            kinds, _, indices, values = batch.column("features").flatten()
+            at = pc.list_parent_indices(values).to_numpy()
+            sizes = np.bincount(at, minlength=len(batch))
+            # A dense vector has no indices: its values are numbered.
+            idx = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            idx[kinds.fill_null(-1).to_numpy()[at] == 0] = indices.flatten().to_numpy()
+            weights = values.flatten().to_numpy()
+            held = np.flatnonzero(weights != 0)
+            taken = pa.array(at[held])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k).take(taken) for k in keys], pa.array(idx[held], pa.int64()), pa.array(weights[held])],
+                schema=pa.schema([*[batch.schema.field(k) for k in keys], pa.field("idx", pa.int64()), pa.field("weight", pa.float64())]))
+
+    small_batches(features.sparkSession)
+    fields = [*[features.schema[k] for k in keys], T.StructField("idx", T.LongType()), T.StructField("weight", T.DoubleType())]
+    return features.select(*keys, "features").mapInArrow(batches, T.StructType(fields))
 
 
 def score_knockouts(contigs: DataFrame, located: DataFrame, jobs: DataFrame, vectorizer: TfidfModel,

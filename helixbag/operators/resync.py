@@ -36,7 +36,9 @@ def masked_spans(seq: str, cuts: Sequence[dict], padding: int, all_copies: bool
     """The stretches that ``mask_intervals`` overwrites, in order, those that touch joined."""
     half, spans = padding // 2, []
     for i, cut in enumerate(cuts):
-        low, high = max(cut["start"] - half, 0), min(cut["end"] + half, len(seq))
+        # A missing end of an interval is that of the text.
+        low = 0 if cut["start"] is None else max(cut["start"] - half, 0)
+        high = len(seq) if cut["end"] is None else min(cut["end"] + half, len(seq))
         if low >= high:
             continue
         text, width = seq[low:high], high - low
@@ -56,6 +58,24 @@ def masked_spans(seq: str, cuts: Sequence[dict], padding: int, all_copies: bool
     return joined
 
 
+def parts_around(seq: str, spans: Sequence[tuple[int, int]], margin: int) -> Iterator[tuple[str, str]]:
+    """The parts of a text around masked spans, before and after: ``margin`` letters on both sides of each span, spans whose
+    margins would meet or overlap in one part."""
+    groups: list[list[tuple[int, int]]] = []
+    for span in spans:
+        if groups and span[0] - groups[-1][-1][1] < 2 * margin:
+            groups[-1].append(span)
+        else:
+            groups.append([span])
+    for group in groups:
+        start, end = max(group[0][0] - margin, 0), min(group[-1][1] + margin, len(seq))
+        pieces, at = [], start
+        for low, high in group:
+            pieces += [seq[at:low], MASK * (high - low)]
+            at = high
+        yield seq[start:end], "".join(pieces) + seq[at:end]
+
+
 @dataclass
 class _Text:
     """A segment on one strand and the borders of its tokens."""
