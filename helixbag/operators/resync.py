@@ -24,6 +24,7 @@ from helixbag.functions.sequence import IUPAC, IUPAC_COMPLEMENT, MASK
 from helixbag.operators.bpe import SPECIAL, BpeModel, bpe_tokenizer
 from helixbag.operators.features import TokenCounter
 from helixbag.operators.merge_kernel import SLICE_LETTERS, MergeKernel, in_order
+from helixbag.session import small_batches
 
 # Tokens encoded beside a cut at first, and how many times more with each further try.
 REACH, MORE = 8, 4
@@ -112,15 +113,16 @@ def _borders(kernel: MergeKernel, texts: Sequence[str]) -> Iterator[np.ndarray]:
         begin = end
 
 
-def _count(counts: Counter, letters: str, borders: np.ndarray, by: int) -> None:
-    places = borders.tolist()
+def _count(counts: Counter, letters: str, places: list[int], by: int) -> None:
     for low, high in zip(places, places[1:]):
         if high - low > 2:
             counts[letters[low:high]] += by
 
 
-def _common(new: np.ndarray, old: np.ndarray) -> np.ndarray:
-    return new[np.isin(new, old, assume_unique=True)]
+def _common(new: list[int], old: np.ndarray) -> list[int]:
+    # A few borders as a rule, where a set is faster than arrays.
+    known = set(old.tolist())
+    return [border for border in new if border in known]
 
 
 def _settle(kernel: MergeKernel, rests: list[_Rest]) -> None:
@@ -144,22 +146,22 @@ def _settle(kernel: MergeKernel, rests: list[_Rest]) -> None:
         for rest, right, left in tried:
             letters, old = rest.text.letters, rest.text.borders
             if right is None:
-                _count(rest.counts, letters, next(found) + rest.low, 1)
+                _count(rest.counts, letters, (next(found) + rest.low).tolist(), 1)
                 continue
-            after, before = next(found) + rest.low, next(found) + left
+            after, before = (next(found) + rest.low).tolist(), (next(found) + left).tolist()
             first, last = rest.low, rest.high
             if rest.low > 0:
-                shared = _common(after[after < right], old[bisect_left(old, rest.low) : bisect_left(old, right)])
-                first = int(shared[0]) if len(shared) else None
+                shared = _common(after[: bisect_left(after, right)], old[bisect_left(old, rest.low) : bisect_left(old, right)])
+                first = shared[0] if shared else None
             if rest.high < len(letters):
-                shared = _common(before[before > left], old[bisect_right(old, left) : bisect_right(old, rest.high)])
-                last = int(shared[-1]) if len(shared) else None
+                shared = _common(before[bisect_right(before, left) :], old[bisect_right(old, left) : bisect_right(old, rest.high)])
+                last = shared[-1] if shared else None
             if first is None or last is None:
                 rests.append(rest)
                 continue
             rest.first, rest.last = first, last
-            _count(rest.counts, letters, after[after <= first], 1)
-            _count(rest.counts, letters, before[before >= last], 1)
+            _count(rest.counts, letters, after[: bisect_right(after, first)], 1)
+            _count(rest.counts, letters, before[bisect_left(before, last) :], 1)
         reach *= MORE
 
 
@@ -167,7 +169,7 @@ def _lost(text: _Text, rests: list[_Rest], counts: Counter) -> None:
     """Count off the tokens of the whole text that no rest keeps."""
     at = 0
     for low, high in [*[(r.first, r.last) for r in rests if r.first is not None], (len(text.letters),) * 2]:
-        _count(counts, text.letters, text.borders[bisect_left(text.borders, at) : bisect_right(text.borders, low)], -1)
+        _count(counts, text.letters, text.borders[bisect_left(text.borders, at) : bisect_right(text.borders, low)].tolist(), -1)
         at = high
 
 
@@ -224,25 +226,30 @@ class SubwordCounter(TokenCounter):
         def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kernel = MergeKernel(shared.value)
             for batch in rows:
-                kind = batch.schema.field("genome").type
+                seqs, targets = batch.column("seq").to_pylist(), batch.column("_targets").to_pylist()
                 begin = 0
                 while begin < len(batch):
-                    held, letters = [], 0
-                    while begin < len(batch) and (not held or letters < SLICE_LETTERS):
-                        held.append(batch.slice(begin, 1).to_pylist()[0])
-                        letters += len(held[-1]["seq"])
-                        begin += 1
-                    spans = [(r["seq"], [masked_spans(r["seq"], t["_cuts"], padding, all_copies) for t in r["_targets"]])
-                             for r in held]
-                    for row, changed in zip(held, token_changes(kernel, spans)):
-                        found = [(row["genome"], t["target"], term, n) for t, counts in zip(row["_targets"], changed)
-                                 for term, n in counts.items() if n]
-                        if found:
-                            genome, target, term, n = zip(*found)
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(genome, kind), pa.array(target, pa.string()), pa.array(term, pa.string()),
-                                 pa.array(n, pa.int64())], names=["genome", "target", "term", "tf"])
-
+                    end, letters = begin, 0
+                    while end < len(batch) and (end == begin or letters < SLICE_LETTERS):
+                        letters += len(seqs[end])
+                        end += 1
+                    spans = [(seqs[i], [masked_spans(seqs[i], t["_cuts"], padding, all_copies) for t in targets[i]])
+                             for i in range(begin, end)]
+                    # One batch for all contigs of a slice.
+                    places, names, terms, ns = [], [], [], []
+                    for i, changed in enumerate(token_changes(kernel, spans), begin):
+                        for t, counts in zip(targets[i], changed):
+                            found = {term: n for term, n in counts.items() if n}
+                            places += [i] * len(found)
+                            names += [t["target"]] * len(found)
+                            terms += found
+                            ns += found.values()
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("genome").take(pa.array(places, pa.int64())), pa.array(names, pa.string()), pa.array(terms, pa.string()),
+                         pa.array(ns, pa.int64())], names=["genome", "target", "term", "tf"])
+                    begin = end
+
+        small_batches(targeted.sparkSession)
         schema = T.StructType([T.StructField("genome", targeted.schema["genome"].dataType), T.StructField("target", T.StringType()),
                                T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
         rows = targeted.select("genome", "seq", "_targets").where("seq is not null").mapInArrow(batches, schema)

@@ -114,3 +114,24 @@ def test_counter_equals_counting_changed_contigs_whole(spark):
 def test_ranks_that_fall_count_whole_contigs(spark):
     falling = B.BpeModel(("X", "A", "C", "AC", "ACA"), (("AC", "A"), ("A", "C")))
     assert not isinstance(R.subword_counter(falling, spark), R.SubwordCounter)
+
+
+def test_changes_of_all_contigs_of_a_slice_leave_in_one_batch(spark):
+    """Rows of many contigs and targets, null genomes among them, against counting whole contigs."""
+    rng = random.Random(8)
+    rows, want = [], Counter()
+    model = LONG_MODEL
+    kernel = MergeKernel(model.merges)
+    for i in range(40):
+        seq = "".join(rng.choices("ACGTB", (9, 9, 9, 9, 1), k=rng.randint(0, 90)))
+        cuts = [("t%d" % k, [(0, a, a + rng.randint(0, 25))]) for k in range(3) for a in [rng.randint(0, 80)]]
+        rows.append((i % 5 or None, seq, cuts))
+        for name, ((_, start, end),) in cuts:
+            (changed,), = R.token_changes(kernel, [(seq, [R.masked_spans(seq, [{"start": start, "end": end}], 4)])])
+            for term, n in changed.items():
+                want[i % 5 or None, name, term] += n
+    df = spark.createDataFrame(
+        rows, "genome long, seq string, _targets array<struct<target:string,_cuts:array<struct<pos:int,start:int,end:int>>>>").coalesce(1)
+    got = R.subword_counter(model, spark).changes(df, 4)
+    assert {tuple(r)[:3]: r.tf for r in got.collect()} == {k: n for k, n in want.items() if n}
+    assert len(want) > 100
