@@ -22,12 +22,15 @@ BLOCK_ENTRIES = 1 << 19
 
 def genome_rows(base_tf: DataFrame, changes: DataFrame, jobs: DataFrame, model) -> DataFrame:
     """(genome, jobs, counts, changes): ``jobs`` an array of structs of the other job columns, ``counts`` of (idx, n, idf) and
-    ``changes`` of (target, idx, n, idf) structs, of known terms."""
+    ``changes`` of (target, idx, n, idf) structs, of known terms. Changes come as rows (genome, target, term, tf), or as lists
+    (genome, target, idx, n, idf) that one target and contig bring; these stay lists, and may name a term again."""
     vocab = bounded_broadcast(model.vocab.select("term", "idx", "idf"), model.size)
     base = base_tf.join(jobs.select("genome").distinct(), "genome", "left_semi").join(vocab, "term")
     entry = [F.col("idx").cast("bigint").alias("idx"), F.col("tf").cast("bigint").alias("n"), "idf"]
     counts = base.groupBy("genome").agg(F.collect_list(F.struct(*entry)).alias("counts"))
-    moved = changes.join(vocab, "term").groupBy("genome").agg(F.collect_list(F.struct("target", *entry)).alias("changes"))
+    found = F.struct("target", "idx", "n", "idf") if "term" not in changes.columns else F.struct("target", *entry)
+    known = changes.join(vocab, "term") if "term" in changes.columns else changes
+    moved = known.groupBy("genome").agg(F.collect_list(found).alias("changes"))
     each = jobs.groupBy("genome").agg(F.collect_list(F.struct(*[c for c in jobs.columns if c != "genome"])).alias("jobs"))
     joined = each.join(counts, "genome", "left").join(moved, "genome", "left")
     return joined.select("genome", "jobs", *[
@@ -44,6 +47,14 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
+def _added(job: np.ndarray, idx: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Changes with one entry per job and term, in their order, those that cancel left out."""
+    cells, firsts, where = np.unique(job * (idx.max(initial=0) + 1) + idx, return_index=True, return_inverse=True)
+    total = np.bincount(where, n, len(cells)).astype(np.int64)
+    held = firsts[total != 0]
+    return job[held], idx[held], total[total != 0], idf[held]
+
+
 @dataclass
 class GenomeJobs:
     """A batch of genome rows: ``of`` is the row of each job, ``counts`` are (row, idx, n, idf), and ``changes`` are
@@ -67,14 +78,17 @@ class GenomeJobs:
         width = len(named.dictionary) + 2
         wanted = of * width + np.where(codes[: len(of)] < 0, width - 2, codes[: len(of)])
         given = at * width + np.where(codes[len(of) :] < 0, width - 1, codes[len(of) :])
+        if pa.types.is_list(change[0].type):
+            given = given[pc.list_parent_indices(change[0]).to_numpy()]
+            change = [c.flatten() for c in change]
         order = np.argsort(given, kind="stable")
         given = given[order]
         starts = np.searchsorted(given, wanted)
         sizes = np.searchsorted(given, wanted, side="right") - starts
         places = order[_ranges(starts, sizes)]
+        changes = (np.repeat(np.arange(len(of)), sizes), *[c.to_numpy()[places] for c in change])
         return GenomeJobs(
-            batch.column("genome"), of, fields, (row, *[c.to_numpy() for c in counts]),
-            (np.repeat(np.arange(len(of)), sizes), *[c.to_numpy()[places] for c in change]))
+            batch.column("genome"), of, fields, (row, *[c.to_numpy() for c in counts]), _added(*changes))
 
     def norms2(self) -> tuple[np.ndarray, np.ndarray]:
         """The squared norm of each genome, and how each job shifts it: by its changed terms alone."""

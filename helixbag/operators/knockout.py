@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from helixbag.functions.sequence import mask_intervals
 from helixbag.operators import loci as L
-from helixbag.operators.features import TfidfModel
+from helixbag.operators.features import KmerCounter, TfidfModel
 from helixbag.operators.forest import Forest, score_jobs
 from helixbag.operators.genome_jobs import genome_rows, job_vectors
 from helixbag.operators.resync import SubwordCounter, masked_spans, parts_around
+from helixbag.operators.terms import DEALT_FROM, kmer_words, tally_windows, window_prefixes
 from helixbag.session import checked_broadcast, small_batches
 
 KEYS = ("genome", "target")
@@ -73,12 +74,7 @@ def _masked_parts(targeted: DataFrame, padding: int, all_copies: bool, margin: i
     margins would meet or overlap being one part."""
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            places, targets, before, after = [], [], [], []
-            for i, (seq, jobs) in enumerate(zip(batch.column("seq").to_pylist(), batch.column("_targets").to_pylist())):
-                for job in jobs:
-                    for text, masked in parts_around(seq, masked_spans(seq, job["_cuts"], padding, all_copies), margin):
-                        if text != masked:
-                            places.append(i), targets.append(job["target"]), before.append(text), after.append(masked)
+            places, targets, _, before, after = _cut_parts(batch, padding, all_copies, margin)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("genome").take(pa.array(places, pa.int64())), *[pa.array(c, pa.string()) for c in (targets, before, after)]],
                 schema=pa.schema([batch.schema.field("genome"), *[pa.field(c, pa.string()) for c in ("target", "seq", "masked")]]))
@@ -89,6 +85,67 @@ def _masked_parts(targeted: DataFrame, padding: int, all_copies: bool, margin: i
         batches, T.StructType([targeted.schema["genome"], *texts]))
 
 
+def _cut_parts(batch: pa.RecordBatch, padding: int, all_copies: bool, margin: int) -> tuple[list, ...]:
+    """The changed parts of a batch of targeted contigs: the row, the target, the number of the target of a contig, and the
+    part before and after."""
+    places, targets, numbers, before, after = [], [], [], [], []
+    number = 0
+    for i, (seq, jobs) in enumerate(zip(batch.column("seq").to_pylist(), batch.column("_targets").to_pylist())):
+        for job in jobs:
+            for text, masked in parts_around(seq, masked_spans(seq, job["_cuts"], padding, all_copies), margin):
+                if text != masked:
+                    places.append(i), targets.append(job["target"]), numbers.append(number)
+                    before.append(text), after.append(masked)
+            number += 1
+    return places, targets, numbers, before, after
+
+
+def _listed_changes(targeted: DataFrame, padding: int, all_copies: bool, counter: KmerCounter, vocab: DataFrame) -> DataFrame:
+    """(genome, target, idx, n, idf): lists of the known k-mers whose counts a target changes in one contig, and by how much.
+
+    Parts are cut and counted in the same batch, so no k-mer becomes a row; what several contigs change of one term is added
+    up where the genome's jobs are read.
+    """
+    k_min, k_max = counter.k_min, counter.k_max
+    words = kmer_words(k_min, k_max)
+    # At most one row per word of less than DEALT_FROM letters.
+    known = {r["term"]: r for r in vocab.select("term", "idx", "idf").collect()}
+    index = np.array([known[w]["idx"] if w in known else -1 for w in words], dtype=np.int64)
+    weight = np.array([known[w]["idf"] if w in known else 0.0 for w in words], dtype=float)
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            places, targets, numbers, before, after = _cut_parts(batch, padding, all_copies, counter.margin)
+            if not places:
+                continue
+            # The parts of one target of a contig are neighbours and make one row.
+            _, firsts, group = np.unique(np.array(numbers), return_index=True, return_inverse=True)
+            keys, by = [], []
+            for texts, sign in ((before, -1), (after, 1)):
+                parts = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["seq"])
+                groups, windows, counts = tally_windows(parts, group, len(firsts), k_min, k_max)
+                at, found = window_prefixes(windows, k_min, k_max)
+                keys.append(groups[at] * len(words) + found), by.append(sign * counts[at])
+            cells, where = np.unique(np.concatenate(keys), return_inverse=True)
+            change = np.bincount(where, np.concatenate(by), len(cells)).astype(np.int64)
+            held = (change != 0) & (index[cells % len(words)] >= 0)
+            cells, change = cells[held], change[held]
+            found = cells % len(words)
+            starts = pa.array(np.append(0, np.cumsum(np.bincount(cells // len(words), minlength=len(firsts)))), pa.int32())
+            lists = [pa.ListArray.from_arrays(starts, values) for values in (
+                pa.array(index[found], pa.int64()), pa.array(change, pa.int64()), pa.array(weight[found], pa.float64()))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("genome").take(pa.array(places, pa.int64()).take(pa.array(firsts))),
+                 pa.array(targets, pa.string()).take(pa.array(firsts)), *lists],
+                names=["genome", "target", "idx", "n", "idf"])
+
+    small_batches(targeted.sparkSession)
+    longs = T.ArrayType(T.LongType())
+    return targeted.select("genome", "seq", "_targets").where("seq is not null").mapInArrow(batches, T.StructType(
+        [targeted.schema["genome"], T.StructField("target", T.StringType()), T.StructField("idx", longs),
+         T.StructField("n", longs), T.StructField("idf", T.ArrayType(T.DoubleType()))]))
+
+
 def count_changes(changed: DataFrame, counter) -> DataFrame:
     """Change of each term count per (genome, target): masked contigs counted up, their originals down."""
     sides = F.explode(F.array(
@@ -99,11 +156,17 @@ def count_changes(changed: DataFrame, counter) -> DataFrame:
     return counter.counts(rows, KEYS, sign=F.col("by")).where("tf <> 0")
 
 
-def term_changes(contigs: DataFrame, located: DataFrame, padding: int, counter, all_copies: bool = True) -> DataFrame:
+def term_changes(contigs: DataFrame, located: DataFrame, padding: int, counter, all_copies: bool = True,
+                 vocab: DataFrame | None = None) -> DataFrame:
     """Change of each term count per (genome, target), by what of a contig the counter has to read again: the parts around
-    masks for k-mers, tokens up to the next common border for subwords of a model, whole contigs for other tokens."""
+    masks for k-mers, tokens up to the next common border for subwords of a model, whole contigs for other tokens.
+
+    With a vocabulary, changes of short k-mers come as lists (genome, target, idx, n, idf), one row per target and contig.
+    """
     if isinstance(counter, SubwordCounter):
         return counter.changes(targeted_contigs(contigs, located), padding, all_copies)
+    if vocab is not None and isinstance(counter, KmerCounter) and counter.k_max < DEALT_FROM:
+        return _listed_changes(targeted_contigs(contigs, located), padding, all_copies, counter, vocab)
     return count_changes(changed_contigs(contigs, located, padding, all_copies, counter.margin), counter)
 
 
@@ -161,7 +224,7 @@ def score_knockouts(contigs: DataFrame, located: DataFrame, jobs: DataFrame, vec
     if base_tf is None:
         wanted = contigs.join(scored_jobs.select("genome").distinct(), "genome", "left_semi")
         base_tf = vectorizer.counter.counts(wanted)
-    changes = term_changes(contigs, located, padding, vectorizer.counter)
+    changes = term_changes(contigs, located, padding, vectorizer.counter, vocab=vectorizer.vocab)
     forest = Forest.from_model(classifier, vectorizer.vocab)
     after = forest_scores(base_tf, changes, scored_jobs, vectorizer, forest).withColumnRenamed("probability", "after")
     return jobs.join(after, list(KEYS), "left")

@@ -120,53 +120,74 @@ def _text_slices(batch: pa.RecordBatch, overlap: int) -> Iterator[tuple[int, np.
         row = stop
 
 
+def kmer_words(k_min: int, k_max: int) -> list[str]:
+    """The words of each length in order, so that a word is numbered by its length and its letters as base-4 digits."""
+    return ["".join(w) for k in range(k_min, k_max + 1) for w in product("ACGT", repeat=k)]
+
+
+def tally_windows(batch: pa.RecordBatch, number: np.ndarray, n_groups: int, k_min: int, k_max: int) -> tuple[np.ndarray, ...]:
+    """(group, window, count) of the texts of a batch whose groups are ``number``; a window is numbered as in ``kmer_words``."""
+    first = {k: kmer_bound(k_min, k - 1) for k in range(k_min, k_max + 1)}
+    digit = np.full(256, 4, dtype=np.uint8)
+    digit[[65, 67, 71, 84]] = range(4)
+    found = [(np.zeros(0, dtype=np.int64),) * 3]
+    for row, data, offsets in _text_slices(batch, k_max - 1):
+        own = np.full(len(data), True)
+        if len(offsets) == 2 and len(data) > WINDOW_LETTERS:
+            own[WINDOW_LETTERS:] = False
+        digits = walled(digit[data], offsets, 4)
+        whole = walled(own, offsets, False)
+        group = np.repeat(number[row : row + len(offsets) - 1], np.diff(offsets) + 1)
+        fits, value, window = whole[:-1] & True, np.zeros(len(digits) - 1, dtype=np.int64), None
+        for k in range(1, k_max + 1):
+            fits, value = fits[: len(digits) - k], value[: len(digits) - k]
+            next_digit = digits[k - 1 : len(digits) - 1]
+            fits = fits & (next_digit < 4)
+            value = value * 4 + next_digit
+            if k == k_min:
+                window, kept = np.where(fits, value, -1), fits
+            elif k > k_min:
+                window[: len(fits)][fits] = first[k] + value[fits]
+        if window is None or not len(window):
+            continue
+        held = np.flatnonzero(kept)
+        found.append(tally(group[held], window[held], n_groups, kmer_bound(k_min, k_max)))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def _counted_windows(contigs: DataFrame, k_min: int, k_max: int, keys: Sequence[str]) -> DataFrame:
     """(keys, window, n): the rows of ``_windows`` counted per key of a batch, which Spark then adds up."""
-    # The words of each length in order, so that a window is numbered by its length and its letters as base-4 digits.
-    first = {k: kmer_bound(k_min, k - 1) for k in range(k_min, k_max + 1)}
-    size = kmer_bound(k_min, k_max)
     schema = T.StructType([*[contigs.schema[k] for k in keys], T.StructField("window", T.StringType()), T.StructField("n", T.LongType())])
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = pa.array(["".join(w) for k in range(k_min, k_max + 1) for w in product("ACGT", repeat=k)], pa.string())
-        digit = np.full(256, 4, dtype=np.uint8)
-        digit[[65, 67, 71, 84]] = range(4)
+        words = pa.array(kmer_words(k_min, k_max), pa.string())
         for batch in rows:
             number, some = key_numbers(batch, keys)
-            groups, found, counts = [], [], []
-            for row, data, offsets in _text_slices(batch, k_max - 1):
-                own = np.full(len(data), True)
-                if len(offsets) == 2 and len(data) > WINDOW_LETTERS:
-                    own[WINDOW_LETTERS:] = False
-                digits = walled(digit[data], offsets, 4)
-                whole = walled(own, offsets, False)
-                group = np.repeat(number[row : row + len(offsets) - 1], np.diff(offsets) + 1)
-                fits, value, window = whole[:-1] & True, np.zeros(len(digits) - 1, dtype=np.int64), None
-                for k in range(1, k_max + 1):
-                    fits, value = fits[: len(digits) - k], value[: len(digits) - k]
-                    next_digit = digits[k - 1 : len(digits) - 1]
-                    fits = fits & (next_digit < 4)
-                    value = value * 4 + next_digit
-                    if k == k_min:
-                        window, kept = np.where(fits, value, -1), fits
-                    elif k > k_min:
-                        window[: len(fits)][fits] = first[k] + value[fits]
-                if window is None or not len(window):
-                    continue
-                held = np.flatnonzero(kept)
-                g, w, n = tally(group[held], window[held], len(some), size)
-                groups.append(g), found.append(w), counts.append(n)
-            if groups:
-                taken = pa.array(some[np.concatenate(groups)])
+            groups, found, counts = tally_windows(batch, number, len(some), k_min, k_max)
+            if len(groups):
+                taken = pa.array(some[groups])
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(k).take(taken) for k in keys], words.take(pa.array(np.concatenate(found))),
-                     pa.array(np.concatenate(counts), pa.int64())], schema=pa.schema(
-                         [*[batch.schema.field(k) for k in keys], pa.field("window", pa.string()), pa.field("n", pa.int64())]))
+                    [*[batch.column(k).take(taken) for k in keys], words.take(pa.array(found)), pa.array(counts, pa.int64())],
+                    schema=pa.schema(
+                        [*[batch.schema.field(k) for k in keys], pa.field("window", pa.string()), pa.field("n", pa.int64())]))
 
     small_batches(contigs.sparkSession)
     return contigs.select(*keys, "seq").mapInArrow(batches, schema)
 
 
+def window_prefixes(windows: np.ndarray, k_min: int, k_max: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k-mers that start where numbered windows start: the place of the window, and the number of the k-mer."""
+    ends = np.array([kmer_bound(k_min, k) for k in range(k_min, k_max + 1)])
+    length = k_min + np.searchsorted(ends, windows, side="right")
+    value = windows - np.append(0, ends)[length - k_min]
+    places, words = [], []
+    for k in range(k_min, k_max + 1):
+        held = np.flatnonzero(length >= k)
+        places.append(held)
+        words.append(kmer_bound(k_min, k - 1) + value[held] // 4 ** (length[held] - k))
+    return np.concatenate(places), np.concatenate(words)
+
+
 def kmer_counts(contigs: DataFrame, k_min: int, k_max: int, keys: Sequence[str] = ("genome",),
                 sign: Column | None = None) -> DataFrame:
     """Term counts of all k-mers without making one row per k.

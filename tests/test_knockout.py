@@ -167,3 +167,49 @@ def test_snippets_merge_where_margins_meet(spark):
     # The first two runs are 4 letters apart: their margins meet but share nothing.
     assert [[tuple(p) for p in r["s"]] for r in got] == [
         [("ACGTA", "ACXTA"), ("CGTAC", "CGXAC"), ("CGT", "CGX")], [("AAAA", "XXXX")], []]
+
+
+@pytest.mark.parametrize("k", [(3, 3), (2, 4)])
+def test_changed_kmers_never_become_rows(spark, k):
+    """Changes listed per target and contig equal those counted as rows, with repeated contigs and targets on several contigs."""
+    from helixbag.operators.genome_jobs import genome_rows
+    from tests.test_letters import plan
+
+    rng = random.Random(5)
+    rows = [(g, c, f"c{c}", "".join(rng.choices("ACGTN", k=rng.choice([0, 5, 90])))) for g in (1, 2, 3) for c in range(4)]
+    frame = spark.createDataFrame([*rows, rows[1], rows[1], (4, 0, "c0", None)], CONTIGS)
+    cuts = [(g, t, c, p, s, s + rng.choice([0, 4, 30])) for g in (1, 2, 3, 4) for c in range(4)
+            for p, (t, s) in enumerate([("a", 3), ("a", 40), ("b", 60), (None, 10)])]
+    located = spark.createDataFrame(cuts, "genome long, target string, contig_idx long, pos long, start long, end long")
+    jobs = spark.createDataFrame([(g, t) for g in (1, 2, 3, 4) for t in ("a", "b", "d")], "genome long, target string")
+    counter = X.KmerCounter(*k)
+    fitted = X.TfidfVectorizer(counter, min_df=2).fit(frame)
+    tf = counter.counts(frame)
+
+    def vectors(changes):
+        got = K.knockout_features(tf, changes, jobs, fitted).select("genome", "target", vector_to_array("features").alias("v"))
+        return {(r.genome, r.target): r.v for r in got.collect()}
+
+    counted = K.count_changes(K.changed_contigs(frame, located, 6, margin=counter.margin), counter)
+    listed = K.term_changes(frame, located, 6, counter, vocab=fitted.vocab)
+    want, got = vectors(counted), vectors(listed)
+    assert len(want) == 12 and want[1, "a"] != want[1, "d"] and set(got) == set(want)
+    assert all(got[key] == pytest.approx(want[key], abs=1e-12) for key in want)
+    assert "term" not in listed.columns and plan(listed).count("MapInArrow") == 1
+    moved = genome_rows(tf, listed, jobs, fitted)
+    assert moved.count() == 4
+
+
+def test_windows_and_their_prefixes_are_numbered_alike():
+    import numpy as np
+    import pyarrow as pa
+    from helixbag.operators import terms
+
+    words = terms.kmer_words(2, 4)
+    batch = pa.RecordBatch.from_arrays([pa.array(["ACGTA", "GG", "NAC", None, "A"])], names=["seq"])
+    groups, windows, counts = terms.tally_windows(batch, np.array([0, 0, 1, 1, 1]), 2, 2, 4)
+    assert sorted(zip(groups.tolist(), [words[w] for w in windows], counts.tolist())) == [
+        (0, "ACGT", 1), (0, "CGTA", 1), (0, "GG", 1), (0, "GTA", 1), (0, "TA", 1), (1, "AC", 1)]
+    at, found = terms.window_prefixes(windows, 2, 4)
+    assert sorted((words[windows[i]], words[w]) for i, w in zip(at, found)) == sorted(
+        (words[w], words[w][:n]) for w in windows for n in range(2, len(words[w]) + 1))
