@@ -36,6 +36,12 @@ LETTERS_PER_TASK = 1 << 20
 DEALT_FROM = 6
 # Letters whose windows a task numbers at once, about 40 bytes each.
 WINDOW_LETTERS = 1 << 20
+# Most words that a task lists to number them; beyond, windows stay texts.
+LISTED_WORDS = 1 << 17
+# Rows of counts that a task hands over at once.
+ROWS_AT_ONCE = 1 << 16
+# Types whose equal values are the same Arrow value, so that a task can tell where the next key begins.
+PLAIN_KEYS = (T.StringType(), T.LongType(), T.IntegerType(), T.ShortType(), T.ByteType(), T.BooleanType(), T.DateType())
 
 
 def kmer_bound(k_min: int, k_max: int) -> int:
@@ -175,6 +181,91 @@ def _counted_windows(contigs: DataFrame, k_min: int, k_max: int, keys: Sequence[
     return contigs.select(*keys, "seq").mapInArrow(batches, schema)
 
 
+def tally_kmers(data: np.ndarray, offsets: np.ndarray, own: int, groups: np.ndarray, k_min: int,
+                k_max: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, word, count) of the k-mers of some texts that start in their first ``own`` letters; a word is numbered as in
+    ``kmer_words``. Windows are sorted once, as the k-mers of every length then stand in order."""
+    digit = np.full(256, 4, dtype=np.uint8)
+    digit[[65, 67, 71, 84]] = range(4)
+    digits = walled(digit[data], offsets, 4)
+    fits, window, size = np.arange(len(digits)) <= own, np.zeros(len(digits), dtype=np.int64), np.zeros(len(digits), dtype=np.int64)
+    for k in range(k_max):
+        following = digits[k:]
+        fits[: len(following)] &= following < 4
+        fits[len(following) :] = False
+        window <<= 2
+        window[: len(following)] |= following * fits[: len(following)]
+        size += fits
+    held = np.flatnonzero(size >= k_min)
+    owner = np.repeat(groups, np.diff(offsets) + 1)
+    # Group, window filled up with zeros, and its length in one number.
+    keys = (owner[held] << 2 * k_max | window[held]) << 6 | size[held]
+    keys.sort()
+    found = []
+    for k in range(k_min, k_max + 1):
+        starts = keys[(keys & 63) >= k] >> 6 + 2 * (k_max - k)
+        first = np.flatnonzero(np.append(True, starts[1:] != starts[:-1]))[: len(starts)]
+        words = starts[first]
+        found.append((words >> 2 * k, (words & (1 << 2 * k) - 1) + kmer_bound(k_min, k - 1), np.diff(first, append=len(starts))))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _counted_kmers(contigs: DataFrame, k_min: int, k_max: int, keys: Sequence[str]) -> DataFrame:
+    """(keys, term, tf), one row for each k-mer of a key. All rows of a key stand in one partition, one after the other.
+
+    A key that goes on is kept as one number for each word, so a key may be larger than what a task looks at.
+    """
+    schema = T.StructType([*[contigs.schema[k] for k in keys], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(kmer_words(k_min, k_max), pa.string())
+        sums, last = np.zeros(len(words), dtype=np.int64), None
+
+        def out(owners: pa.RecordBatch, places: np.ndarray, found: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(found), ROWS_AT_ONCE):
+                some = slice(at, at + ROWS_AT_ONCE)
+                taken = owners.take(pa.array(places[some]))
+                yield pa.RecordBatch.from_arrays(
+                    [*taken.columns, words.take(pa.array(found[some])), pa.array(counts[some], pa.int64())],
+                    names=[*keys, "term", "tf"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            found = np.flatnonzero(sums)
+            yield from out(last, np.zeros(len(found), dtype=np.int64), found, sums[found])
+            sums[:] = 0
+
+        for batch in rows:
+            if not batch.num_rows:
+                continue
+            owners = batch.select(list(keys))
+            both = owners if last is None else pa.Table.from_batches([last, owners]).combine_chunks().to_batches()[0]
+            number, _ = key_numbers(both, keys)
+            begins = np.append(True, number[1:] != number[:-1])[-batch.num_rows :]
+            # The key of the batch before is group 0, those that begin here follow.
+            group = np.cumsum(begins)
+            firsts = np.append(0, np.flatnonzero(begins))
+            now = 0
+            for row, data, offsets in _text_slices(batch, k_max - 1):
+                own = WINDOW_LETTERS if len(offsets) == 2 else len(data) + len(offsets)
+                groups, found, counts = tally_kmers(data, offsets, own, group[row : row + len(offsets) - 1], k_min, k_max)
+                end = int(group[row + len(offsets) - 2])
+                again = groups == now
+                sums[found[again]] += counts[again]
+                if end > now:
+                    if last is not None:
+                        yield from close()
+                    whole = (groups > now) & (groups < end)
+                    yield from out(owners, firsts[groups[whole]], found[whole], counts[whole])
+                    opened = groups == end
+                    sums[found[opened]] += counts[opened]
+                    now, last = end, owners.slice(int(firsts[end]), 1)
+        if last is not None:
+            yield from close()
+
+    small_batches(contigs.sparkSession)
+    return contigs.select(*keys, "seq").mapInArrow(batches, schema)
+
+
 def window_prefixes(windows: np.ndarray, k_min: int, k_max: int) -> tuple[np.ndarray, np.ndarray]:
     """The k-mers that start where numbered windows start: the place of the window, and the number of the k-mer."""
     ends = np.array([kmer_bound(k_min, k) for k in range(k_min, k_max + 1)])
@@ -195,8 +286,13 @@ def kmer_counts(contigs: DataFrame, k_min: int, k_max: int, keys: Sequence[str]
     Windows of the largest k are counted first, per batch of texts and then before the shuffle; shorter k-mers are prefixes of
     the few distinct windows that remain. The second step is partitioned by the keys alone, so a later
     per-genome step needs no further shuffle; a genome brings one row per distinct window there, which the
-    vocabulary bounds. For a large k, where combining saves little, the contigs themselves are dealt out by the keys.
+    vocabulary bounds. For a large k, where combining saves little, the contigs themselves are dealt out by the keys, and a task
+    counts all k-mers of a key at once.
     """
+    listed = kmer_bound(k_min, k_max) <= LISTED_WORDS and all(
+        k in contigs.columns and contigs.schema[k].dataType in PLAIN_KEYS for k in keys)
+    if sign is None and k_max >= DEALT_FROM and listed:
+        return _counted_kmers(deal_out(contigs, keys).sortWithinPartitions(*keys), k_min, k_max, keys)
     carried = contigs if sign is None else contigs.withColumn("_sign", sign)
     if k_max >= DEALT_FROM:
         carried = deal_out(carried, keys)
