@@ -120,3 +120,28 @@ def test_cells_equal_plain_lists(seed, monkeypatch):
         held.merge(0, 0, made + 2)
         held.undo(2, made + 1)
         assert all((c == d).all() for c, (d, _, _) in zip(cells, held.chunks))
+
+
+def test_learning_by_jobs_caches_no_blocks(spark, monkeypatch):
+    """Rounds repeat past merges over stored blocks of two bytes a token, and write them anew after some rounds."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("ACGTN", (9, 6, 5, 8, 1), k=70)) for _ in range(40)] + ["A" * 9]
+    frame = spark.createDataFrame([(t,) for t in texts], "sentence string")
+    want = B.bpe_train(frame, 60, 2)
+    held, kinds, wrote = set(), set(), []
+    inner, store = B.apply_merges, B.materialize
+    seen = lambda: {r for r in spark.sparkContext._jsc.getPersistentRDDs().keySet().toArray()}
+    past = seen()
+
+    def spy(blocks, merges, before=(), kind=None):
+        held.update(seen() - past)
+        kinds.add(kind)
+        return inner(blocks, merges, before, kind)
+
+    monkeypatch.setattr(B, "apply_merges", spy)
+    monkeypatch.setattr(B, "materialize", lambda *a: wrote.append(a[1]) or store(*a))
+    monkeypatch.setattr(B, "FEW_MERGES", 10 ** 9)
+    monkeypatch.setattr(B, "CUT_EVERY", 2)
+    assert B.bpe_train(frame, 60, 2) == want and len(want.merges) > 30
+    assert not held and kinds == {np.int16} and len(wrote) > 2
+    assert P.cell_type(1 << 15) == np.int32
