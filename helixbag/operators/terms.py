@@ -36,6 +36,8 @@ LETTERS_PER_TASK = 1 << 20
 DEALT_FROM = 6
 # Letters whose windows a task numbers at once, about 40 bytes each.
 WINDOW_LETTERS = 1 << 20
+# Letters whose k-mers of all lengths a task counts at once, up to 200 bytes each.
+KMER_LETTERS = 1 << 18
 # Most words that a task lists to number them; beyond, windows stay texts.
 LISTED_WORDS = 1 << 17
 # Rows of counts that a task hands over at once.
@@ -109,17 +111,17 @@ def kmer_extract(contigs: DataFrame, k_min: int, k_max: int, keys: Sequence[str]
     return _prefixes(_windows(contigs, k_min, k_max, keys), k_min, k_max)
 
 
-def _text_slices(batch: pa.RecordBatch, overlap: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The texts of a batch, about WINDOW_LETTERS letters at a time: the first row, bytes, and offsets. A longer text comes in
+def _text_slices(batch: pa.RecordBatch, overlap: int, letters: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The texts of a batch, about ``letters`` or WINDOW_LETTERS letters at a time: the first row, bytes, and offsets. A longer text comes in
     parts, each but the last with ``overlap`` letters of the next one."""
     data, offsets = text_bytes(batch.column("seq"))
-    row = 0
+    row, letters = 0, letters or WINDOW_LETTERS
     while row < batch.num_rows:
-        stop = max(int(np.searchsorted(offsets, offsets[row] + WINDOW_LETTERS, side="right")) - 1, row + 1)
+        stop = max(int(np.searchsorted(offsets, offsets[row] + letters, side="right")) - 1, row + 1)
         low, high = int(offsets[row]), int(offsets[stop])
         if stop == row + 1:
-            for at in range(low, high, WINDOW_LETTERS):
-                part = data[at : min(at + WINDOW_LETTERS + overlap, high)]
+            for at in range(low, high, letters):
+                part = data[at : min(at + letters + overlap, high)]
                 yield row, part, np.array([0, len(part)])
         else:
             yield row, data[low:high], offsets[row : stop + 1] - low
@@ -245,8 +247,8 @@ def _counted_kmers(contigs: DataFrame, k_min: int, k_max: int, keys: Sequence[st
             group = np.cumsum(begins)
             firsts = np.append(0, np.flatnonzero(begins))
             now = 0
-            for row, data, offsets in _text_slices(batch, k_max - 1):
-                own = WINDOW_LETTERS if len(offsets) == 2 else len(data) + len(offsets)
+            for row, data, offsets in _text_slices(batch, k_max - 1, KMER_LETTERS):
+                own = KMER_LETTERS if len(offsets) == 2 else len(data) + len(offsets)
                 groups, found, counts = tally_kmers(data, offsets, own, group[row : row + len(offsets) - 1], k_min, k_max)
                 end = int(group[row + len(offsets) - 2])
                 again = groups == now

@@ -39,7 +39,7 @@ def test_a_long_text_is_numbered_in_parts(monkeypatch):
 
 
 @pytest.mark.parametrize("ks,letters", [((3, 8), 1 << 20), ((6, 6), 50), ((1, 7), 9)])
-def test_long_kmers_of_a_key_are_counted_in_one_go(spark, monkeypatch, ks, letters):
+def test_long_kmers_of_a_key_are_counted_in_one_go(spark, ks, letters):
     """Keys that are null, lie in several batches and slices, or have texts without a window; no row is made per window."""
     rows = [(i % 3 if i % 4 else None, str(i % 2), t) for i, t in enumerate([*TEXTS, "ACGTTGCAXN" * 9, None, "é", "GATTACA"] * 3)]
     df = spark.createDataFrame(rows, "genome long, target string, seq string")
@@ -59,11 +59,10 @@ def test_long_kmers_of_a_key_are_counted_in_one_go(spark, monkeypatch, ks, lette
     assert len(found) == len(want) and {r[:3]: r[3] for r in found} == dict(want)
 
     # The same function in this process, by short slices.
-    monkeypatch.setattr(T, "WINDOW_LETTERS", letters)
     made = Counter()
     batch = pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows])], names=["seq"])
     words = T.kmer_words(*ks)
-    for row, data, offsets in T._text_slices(batch, ks[1] - 1):
+    for row, data, offsets in T._text_slices(batch, ks[1] - 1, letters):
         own = letters if len(offsets) == 2 else len(data) + len(offsets)
         groups = T.np.arange(row, row + len(offsets) - 1) % 5
         for group, word, n in zip(*(v.tolist() for v in T.tally_kmers(data, offsets, own, groups, *ks))):
