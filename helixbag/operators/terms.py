@@ -112,8 +112,8 @@ def kmer_extract(contigs: DataFrame, k_min: int, k_max: int, keys: Sequence[str]
 
 
 def _text_slices(batch: pa.RecordBatch, overlap: int, letters: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The texts of a batch, about ``letters`` or WINDOW_LETTERS letters at a time: the first row, bytes, and offsets. A longer text comes in
-    parts, each but the last with ``overlap`` letters of the next one."""
+    """The texts of a batch, about ``letters`` or WINDOW_LETTERS letters at a time: the first row, bytes, and offsets. A longer
+    text comes in parts, each but the last with ``overlap`` letters of the next one."""
     data, offsets = text_bytes(batch.column("seq"))
     row, letters = 0, letters or WINDOW_LETTERS
     while row < batch.num_rows:
